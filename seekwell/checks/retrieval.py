@@ -184,7 +184,7 @@ def two_runs(t):
 
 @register("hybrid_search", f"""WITH {NEIGHBOUR_SQL},
  p AS (SELECT coalesce(d.qid, s.qid) AS qid, coalesce(d.docid, s.docid) AS docid, d.score AS d, s.score AS s FROM dense d FULL JOIN other s ON d.qid = s.qid AND d.docid = s.docid),
- f AS (SELECT qid, docid, round(0.3e0 * coalesce(s, min(s) OVER (PARTITION BY qid), 0) + coalesce(d, min(d) OVER (PARTITION BY qid), 0), 6) AS score FROM p) """
+ f AS (SELECT qid, docid, round(0.3e0 * coalesce(s, min(s) OVER (PARTITION BY qid), 0) + coalesce(d, min(d) OVER (PARTITION BY qid), 0), 8) AS score FROM p) """
           + S.ranked("f", 10))
 def _(t):
     d, s = two_runs(t)

@@ -23,7 +23,7 @@ def hybrid_search(dense: DataFrame, sparse: DataFrame, alpha: float, k: int) ->
     pairs = stacked.groupBy("qid", "docid").agg(F.max("d").alias("d"), F.max("s").alias("s"))
     zero = F.lit(0.0)
     score = (F.lit(float(alpha)) * F.coalesce("s", "min_s", zero)) + F.coalesce("d", "min_d", zero)
-    scored = pairs.join(floor, "qid").select("qid", "docid", F.round(score, 6).alias("score"))
+    scored = pairs.join(floor, "qid").select("qid", "docid", F.round(score, 8).alias("score"))
     return top_k(scored, "qid", "score", k)
 
 
