@@ -177,7 +177,6 @@ def score_choice(pred, labels) -> Column:
 def score_code_debug(pred, name, letter) -> Column:
     """The prediction opens with the option letter, or names it behind an answer phrase."""
     text = _c(pred)
-    opens = F.substring(text, 1, 2).isin(".", ":")
     opens = (F.substring(text, 1, 2) == F.concat(_c(letter), F.lit("."))) | (F.substring(text, 1, 2) == F.concat(_c(letter), F.lit(":")))
     clean = _blank(F.trim(text), DEBUG_BREAKS)
     clean = F.regexp_replace(F.replace(F.replace(clean, F.lit("Option"), F.lit(" ")), F.lit("option"), F.lit(" ")), " {2,}", " ")
@@ -206,7 +205,7 @@ def score_math_calc(pred, truth) -> Column:
     pos = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
     wrong = F.filter(pos, lambda i: F.coalesce(F.get(p, i) != F.get(t, i).cast("long"), F.lit(True)))
     good = F.coalesce(F.get(wrong, F.lit(0)), F.size(t))
-    return good.cast("double") / F.size(t)
+    return F.when(F.size(t) > 0, good.cast("double") / F.size(t)).otherwise(F.lit(0.0))
 
 
 def task_score(task, pred, labels, classes=None) -> Column:

@@ -31,11 +31,11 @@ def vec_l2(a, b) -> Column:
 
 
 def vec_cos(a, b) -> Column:
-    return vec_dot(a, b) / (vec_norm(a) * vec_norm(b))
+    return F.try_divide(vec_dot(a, b), vec_norm(a) * vec_norm(b))
 
 
 def l2_normalize(a) -> Column:
-    return F.transform(F.arrays_zip(_d(a).alias("x"), F.array_repeat(vec_norm(a), F.size(_c(a))).alias("n")), lambda s: s["x"] / s["n"])
+    return F.transform(F.arrays_zip(_d(a).alias("x"), F.array_repeat(vec_norm(a), F.size(_c(a))).alias("n")), lambda s: F.when(s["n"] > 0, s["x"] / s["n"]).otherwise(F.lit(0.0)))
 
 
 def min_max(a) -> Column:
