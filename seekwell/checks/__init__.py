@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["retrieval", "intake", "text", "evaluation", "training"]
+FAMILIES = ["retrieval", "intake", "text", "evaluation", "training", "prompts"]
 
 
 def load():
