@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from seekwell.functions.vectors import mix, vec_cos, vec_dot, vec_l2
 from seekwell.operators.ranking import top_k
-from seekwell.scale import BROADCAST_BYTES
+from seekwell.scale import BROADCAST_BYTES, cut
 
 RUN = "qid long, docid long, score double"
 # Vectors scored against one query block at a time inside a task.
@@ -133,7 +133,8 @@ def dense_search_approx(queries: DataFrame, corpus: DataFrame, k: int, n_lists:
         order = np.argsort(dist, axis=1, kind="stable")
         return pd.Series([row[:n].tolist() for row, n in zip(order, count)])
 
-    placed = points.select("docid", "embedding", nearest("embedding", F.lit(1))[0].alias("list"))
+    # written once: list sizes and list scans then read the same assignment
+    placed = cut(points.select("docid", "embedding", nearest("embedding", F.lit(1))[0].alias("list")), "lists")
     sizes = F.broadcast(placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("salts")))
     left = (queries.select("qid", "embedding", F.explode(nearest("embedding", F.lit(n_probe))).alias("list"))
             .join(sizes, "list").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))

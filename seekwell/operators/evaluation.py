@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seekwell.functions.scoring import best_of, f1_answer
 from seekwell.functions.text import contains_tokens, simple_tokens
-from seekwell.scale import running_total, stack, top_rows
+from seekwell.scale import running_total, running_totals, stack, top_rows
 
 # Metric and category of the long-context benchmark datasets.
 DATASET_METRIC = {
@@ -156,8 +156,7 @@ def rerank_quality(scored: DataFrame, k: int = 10, by: str = "qid", item: str =
     queries) the best score counts.
     """
     best = scored.groupBy(by, item).agg(F.max("score").alias("score"), F.max("rel").alias("rel"))
-    w = W.partitionBy(by).orderBy(F.col("score").desc(), F.col(item))
-    rows = best.withColumn("rank", F.row_number().over(w)).withColumn("found", F.sum("rel").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = running_totals(best.withColumn("_key", -F.col("score")), [by], "_key", {"rank": F.lit(1), "found": F.col("rel")}, [item])
     per = rows.groupBy(by).agg(
         F.sum("rel").alias("pos"), F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("rel") == 1, F.col("found") / F.col("rank"))).alias("prec"),
@@ -268,8 +267,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 def average_precision(df: DataFrame, score: str, rel: str) -> DataFrame:
     """Area under precision and recall steps at every distinct score."""
     steps = df.groupBy(F.col(score).alias("_s")).agg(F.sum(rel).alias("_pos"), F.count(F.lit(1)).alias("_n")).withColumn("_key", -F.col("_s"))
-    hits = running_total(steps, [], "_key", F.col("_pos"), "_hits")
-    both = running_total(hits, [], "_key", F.col("_n"), "_seen")
+    both = running_totals(steps, [], "_key", {"_hits": F.col("_pos"), "_seen": F.col("_n")})
     return both.agg(F.round(F.sum(F.col("_pos") * F.col("_hits") / F.col("_seen")) / F.sum("_pos"), 6).alias("average_precision"))
 
 

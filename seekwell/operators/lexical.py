@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seekwell.functions.text import token_counts, tokens
 from seekwell.operators.ranking import top_k
-from seekwell.scale import BROADCAST_TERM_ROWS, MAX_HOT_KEYS, ROWS_PER_SALT, fits_rows
+from seekwell.scale import MAX_HOT_KEYS, ROWS_PER_SALT, fits_broadcast
 
 
 @dataclass
@@ -72,17 +72,20 @@ def query_terms(queries: DataFrame, tokenizer="whitespace", stop: list[str] | No
     return queries.select("qid", F.inline(token_counts(t))).select("qid", "token", F.col("n").alias("qtf"))
 
 
-def term_match(doc_terms: DataFrame, q_terms: DataFrame, doc_weight: Column, k: int, n_terms: Column | None = None) -> DataFrame:
+def term_match(doc_terms: DataFrame, q_terms: DataFrame, doc_weight: Column, k: int, n_terms: Column | None = None,
+               asked: DataFrame | None = None) -> DataFrame:
     """Top ``k`` documents per query by the sum of ``w * doc_weight`` over shared tokens.
 
-    ``q_terms`` is ``(qid, token, w)`` and optionally ``df``. With a query side below the
+    ``q_terms`` is ``(qid, token, w)`` and optionally ``df``; ``asked`` is the same list of
+    tokens before weighting, which is cheaper to count. With a query side below the
     broadcast bound, matching postings are placed by document: the sum per (query,
     document) then needs no further shuffle and every task sends only its own top ``k``.
     A larger query side joins by token; tokens with many postings are spread over salts.
     """
-    if fits_rows(q_terms.select("qid"), BROADCAST_TERM_ROWS):
+    asked = q_terms if asked is None else asked
+    if fits_broadcast(asked.select("qid", "token")):
         q = F.broadcast(q_terms.select("qid", "token", "w"))
-        vocabulary = F.broadcast(q_terms.select("token").distinct())
+        vocabulary = F.broadcast(asked.select("token").distinct())
         placed = doc_terms.join(vocabulary, "token", "left_semi").repartition("docid")
         matched = placed.join(q, "token")
     else:
@@ -129,7 +132,7 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 0.9
         "qid", "token", "df", (F.col("qtf") * idf * F.lit(k1 + 1)).alias("w"))
     length = F.col("dl") / stats["avg"] if length_norm else F.col("dl").cast("double")
     saturation = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * length))
-    return term_match(index.postings, weights, saturation, k, stats["total"])
+    return term_match(index.postings, weights, saturation, k, stats["total"], q)
 
 
 def lexical_vector(weights: DataFrame, special: list[str] | None = None) -> DataFrame:

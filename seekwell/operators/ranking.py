@@ -37,10 +37,8 @@ def sort_by_score(items: Column, scores: Column) -> Column:
 
 
 def budget_cut(df: DataFrame, by: str, order: str, length: str, budget: int) -> DataFrame:
-    """Leading rows per group while the running length stays within ``budget``. Groups are
-    example lists of one prompt."""
-    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn("used", F.sum(length).over(w)).filter(F.col("used") <= budget)
+    """Leading rows per group while the running length stays within ``budget``."""
+    return running_total(df, [by], order, F.col(length), "used").filter(F.col("used") <= budget)
 
 
 def with_docs(run: DataFrame, corpus: DataFrame, digits: int = 3) -> DataFrame:

@@ -41,9 +41,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_TERM_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and its text stays below the byte
+    bound. Reads no more than ``max_rows`` + 1 rows."""
+    text = [F.octet_length(name) for name, kind in df.dtypes if kind == "string"]
+    size = sum((F.coalesce(t, F.lit(0)) for t in text), F.lit(16 * len(df.columns)))
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return seen["n"] <= max_rows and seen["bytes"] <= BROADCAST_BYTES
 
 
 def stack(*frames: DataFrame) -> DataFrame:
@@ -83,14 +87,15 @@ def hash_rank(df: DataFrame, parts: list[str], key: str, tie: list[str], out: st
     offset, a window inside the bucket gives the rest.
     """
     b = df.withColumn("_bucket", F.conv(F.substring(key, 1, 3), 16, 10).cast("int"))
-    return _offset_rank(b, parts, [key, *tie], out, F.lit(1))
+    return _offset_totals(b, parts, [key, *tie], {out: F.lit(1)})
 
 
-def running_total(df: DataFrame, parts: list[str], order: str, value: Column, out: str, buckets: int = 256) -> DataFrame:
-    """Inclusive running sum of ``value`` by the unique numeric ``order`` inside ``parts``.
+def running_totals(df: DataFrame, parts: list[str], order: str, values: dict[str, Column], tie: list[str] | None = None, buckets: int = 256) -> DataFrame:
+    """Inclusive running sums by the numeric ``order`` (then ``tie``) inside ``parts``.
 
-    Two passes: totals per quantile bucket, then a window inside the bucket. The bucket
-    borders are at most ``buckets`` numbers.
+    Two passes: totals per quantile bucket, then a window inside the bucket, so that one
+    large group is still summed by many tasks. The bucket borders are at most ``buckets``
+    numbers.
     """
     borders = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
     if not borders:
@@ -99,27 +104,30 @@ def running_total(df: DataFrame, parts: list[str], order: str, value: Column, ou
         splits = [float("-inf"), *borders, float("inf")]
         b = df.withColumn("_order", F.col(order).cast("double"))
         b = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform(b).drop("_order")
-    return _offset_rank(b, parts, [order], out, value)
+    return _offset_totals(b, parts, [order, *(tie or [])], values)
 
 
-def _offset_rank(b: DataFrame, parts: list[str], order: list[str], out: str, value: Column) -> DataFrame:
-    b = b.withColumn("_value", value)
-    totals = b.groupBy(*parts, "_bucket").agg(F.sum("_value").alias("_total"))
-    before = W.partitionBy(*parts).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*parts, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    inside = W.partitionBy(*parts, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = b.withColumn("_inside", F.sum("_value").over(inside))
+def running_total(df: DataFrame, parts: list[str], order: str, value: Column, out: str) -> DataFrame:
+    """One running sum, see :func:`running_totals`."""
+    return running_totals(df, parts, order, {out: value})
+
+
+def _offset_totals(b: DataFrame, parts: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    names = list(values)
+    b = b.withColumns({f"_v_{n}": v for n, v in values.items()})
     keys = [*parts, "_bucket"]
-    o = offsets.select(*[F.col(k).alias(f"_o_{i}") for i, k in enumerate(keys)], "_offset")
+    totals = b.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    before = W.partitionBy(*parts).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_o_{i}") for i, k in enumerate(keys)],
+                            *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in names])
+    inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = b.withColumns({f"_in_{n}": F.sum(f"_v_{n}").over(inside) for n in names})
     on = None
     for i, k in enumerate(keys):
         eq = F.col(k).eqNullSafe(F.col(f"_o_{i}"))
         on = eq if on is None else on & eq
-    return (
-        ranked.join(o, on)
-        .withColumn(out, (F.col("_inside") + F.col("_offset")))
-        .drop("_bucket", "_value", "_inside", "_offset", *[f"_o_{i}" for i in range(len(keys))])
-    )
+    out = ranked.join(offsets, on).withColumns({n: F.col(f"_in_{n}") + F.col(f"_before_{n}") for n in names})
+    return out.drop("_bucket", *[f"{p}_{n}" for n in names for p in ("_v", "_in", "_before")], *[f"_o_{i}" for i in range(len(keys))])
 
 
 def top_rows(df: DataFrame, parts: list[str], order: list, n: int, out: str = "rank") -> DataFrame:
