@@ -273,11 +273,12 @@ def average_precision(df: DataFrame, score: str, rel: str) -> DataFrame:
 
 def v_measure(df: DataFrame, label: str, cluster: str) -> DataFrame:
     """Homogeneity, completeness and their harmonic mean from two labelings."""
-    cells = df.groupBy(label, cluster).agg(F.count(F.lit(1)).alias("c"))
-    a = cells.groupBy(label).agg(F.sum("c").alias("a"))
-    b = cells.groupBy(cluster).agg(F.sum("c").alias("b"))
+    pair = df.select(F.col(label).alias("l"), F.col(cluster).alias("k"))
+    cells = pair.groupBy("l", "k").agg(F.count(F.lit(1)).alias("c"))
+    a = cells.groupBy("l").agg(F.sum("c").alias("a"))
+    b = cells.groupBy("k").agg(F.sum("c").alias("b"))
     n = cells.agg(F.sum("c")).scalar()
-    joined = cells.join(a, label).join(b, cluster).withColumn("n", n)
+    joined = cells.join(a, "l").join(b, "k").withColumn("n", n)
     cond = joined.agg(
         F.sum(-F.col("c") / F.col("n") * F.log(F.col("c") / F.col("b"))).alias("h_lc"),
         F.sum(-F.col("c") / F.col("n") * F.log(F.col("c") / F.col("a"))).alias("h_cl"))
