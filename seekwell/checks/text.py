@@ -8,7 +8,7 @@ from seekwell.checks import sql as S
 from seekwell.checks.registry import register
 from seekwell.functions import scoring as Q, text as X
 from seekwell.operators.ranking import sort_by_score
-from seekwell.sources.files import MLDR_LANGUAGES, check_languages
+from seekwell.sources.files import LONG_DOC_LANGUAGES, check_languages
 
 PUNCT = r"[!-/:-@\[-`{-~]"
 
@@ -138,7 +138,7 @@ def _(t):
 
 @register("language_check", "SELECT lang, count(*) AS n FROM documents WHERE lang IN ('ar','de','en','es','fr','hi','it','ja','ko','pt','ru','th','zh') GROUP BY lang")
 def _(t):
-    return t.documents.filter(F.col("lang").isin(check_languages(MLDR_LANGUAGES, MLDR_LANGUAGES))).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return t.documents.filter(F.col("lang").isin(check_languages(LONG_DOC_LANGUAGES, LONG_DOC_LANGUAGES))).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("answer_in_text", f"""SELECT a.conv_id, a.turn, contains({S.padded('a.text')}, {S.padded("split_part(b.text, ' ', 1)")}) AS found

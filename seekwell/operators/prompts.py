@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from seekwell.functions.text import fill_template, tokens, truncate, truncate_left_of_pair
 from seekwell.scale import hash_rank, seeded, top_rows
 
-# Instruction in front of queries and keys, by model family and task.
+# Instruction in front of queries and keys, by instruction family and task.
 INSTRUCTIONS = {
-    "llm-embedder": {
+    "by_task": {
         "qa": ("Represent this query for retrieving relevant documents: ", "Represent this document for retrieval: "),
         "convsearch": ("Encode this query and context for searching relevant passages: ", "Encode this passage for retrieval: "),
         "chat": ("Embed this dialogue to find useful historical dialogues: ", "Embed this historical dialogue for retrieval: "),
@@ -17,9 +17,9 @@ INSTRUCTIONS = {
         "icl": ("Convert this example into vector to look for useful examples: ", "Convert this example into vector for retrieval: "),
         "tool": ("Transform this user request for fetching helpful tool descriptions: ", "Transform this tool description for retrieval: "),
     },
-    "bge": {"*": ("Represent this sentence for searching relevant passages: ", "")},
-    "e5": {"*": ("query: ", "passage: ")},
-    "instructor": {
+    "sentence": {"*": ("Represent this sentence for searching relevant passages: ", "")},
+    "query_passage": {"*": ("query: ", "passage: ")},
+    "duplicate": {
         "qa": ("Represent the query for retrieving supporting documents: ", "Represent the document for retrieval: "),
         "convsearch": ("Represent the query and context for retrieving supporting passages: ", "Represent the passage for retrieval: "),
         "chat": ("Represent the dialogue for retrieving useful historical dialogues: ", "Represent the historical dialogue for retrieval: "),

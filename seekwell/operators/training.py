@@ -168,6 +168,11 @@ def length_bucket(length: Column, borders=LENGTH_BORDERS) -> Column:
     return out
 
 
+def write_buckets(df: DataFrame, path: str, by: str = "bucket") -> None:
+    """One folder of JSON lines per length bucket."""
+    df.write.mode("overwrite").partitionBy(by).json(path)
+
+
 def bucket_report(df: DataFrame, by: str = "bucket", length: str = "length") -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(length), 6).alias("avg_length"))
 

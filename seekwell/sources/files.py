@@ -12,8 +12,8 @@ from seekwell.scale import hash_rank, running_total, seeded, stack, top_rows
 # Accepted names of the document id, best first.
 ID_NAMES = ("docid", "id", "_id")
 # Languages of the two multilingual evaluation sets.
-MKQA_LANGUAGES = ("en ar fi ja ko ru es sv he th da de fr it nl pl pt hu vi ms km no tr zh_cn zh_hk zh_tw").split()
-MLDR_LANGUAGES = "ar de en es fr hi it ja ko pt ru th zh".split()
+OPEN_QA_LANGUAGES = ("en ar fi ja ko ru es sv he th da de fr it nl pl pt hu vi ms km no tr zh_cn zh_hk zh_tw").split()
+LONG_DOC_LANGUAGES = "ar de en es fr hi it ja ko pt ru th zh".split()
 # Three intents of the router.
 INTENTS = {0: "chat", 1: "consult", 2: "human"}
 

@@ -31,10 +31,10 @@ def test_capped_path():
 
 
 def test_languages():
-    assert A.check_languages("en", A.MLDR_LANGUAGES) == ["en"]
+    assert A.check_languages("en", A.LONG_DOC_LANGUAGES) == ["en"]
     with pytest.raises(ValueError):
-        A.check_languages(["en", "xx"], A.MKQA_LANGUAGES)
-    assert len(A.MKQA_LANGUAGES) == 26 and len(A.MLDR_LANGUAGES) == 13
+        A.check_languages(["en", "xx"], A.OPEN_QA_LANGUAGES)
+    assert len(A.OPEN_QA_LANGUAGES) == 26 and len(A.LONG_DOC_LANGUAGES) == 13
 
 
 def test_train_group_repeats_negatives(spark):
@@ -131,7 +131,7 @@ def test_unknown_verdict_gets_its_own_route(spark):
 
 
 def test_instruction_tables():
-    assert {f: len(t) for f, t in M.INSTRUCTIONS.items()} == {"llm-embedder": 6, "bge": 1, "e5": 1, "instructor": 6}
+    assert {f: len(t) for f, t in M.INSTRUCTIONS.items()} == {"by_task": 6, "sentence": 1, "query_passage": 1, "duplicate": 6}
 
 
 def test_missing_score_is_an_error(spark):
