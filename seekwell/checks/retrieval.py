@@ -40,7 +40,7 @@ def _(t):
     return L.term_stats(L.build_index(t.corpus, stop=["the", "of", "de", "la"]).postings)
 
 
-@register("index_corpus_stats", "SELECT count(*) AS n_docs, sum(len(string_split(text, ' '))) AS n_tokens FROM documents")
+@register("index_corpus_stats", "SELECT count(*) AS n_docs, sum(len(string_split(text, ' ')))::BIGINT AS n_tokens FROM documents")
 def _(t):
     return L.build_index(t.corpus).stats
 

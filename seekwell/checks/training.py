@@ -275,7 +275,7 @@ def _(t):
     return R.first_per_group(t.documents.select("lang", "doc_id"), "lang", "doc_id", 5)
 
 
-@register("budget_cut", "SELECT conv_id, turn, used FROM (SELECT conv_id, turn, sum(len(string_split(text, ' '))) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) WHERE used <= 200")
+@register("budget_cut", "SELECT conv_id, turn, used FROM (SELECT conv_id, turn, sum(len(string_split(text, ' '))) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS used FROM conversations) WHERE used <= 200")
 def _(t):
     rows = t.conversations.select("conv_id", "turn", F.size(space_tokens("text")).alias("n"))
     return R.budget_cut(rows, "conv_id", "turn", "n", 200).drop("n")

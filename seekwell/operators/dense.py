@@ -12,7 +12,6 @@ from seekwell.functions.vectors import mix, vec_cos, vec_dot, vec_l2
 from seekwell.operators.ranking import top_k
 from seekwell.scale import BROADCAST_BYTES, cut
 
-RUN = "qid long, docid long, score double"
 # Vectors scored against one query block at a time inside a task.
 BLOCK_ROWS = 50_000
 # Cells of one score block, which bounds the memory of a task.
@@ -55,15 +54,19 @@ def _local_top(qids, q, ids, d, k, metric, skip_self) -> pd.DataFrame:
         rows = np.broadcast_to(qids[at:at + step, None], best.shape)
         out_q.append(rows[keep]); out_d.append(ids[best][keep]); out_s.append(picked[keep])
     if not out_q:
-        return pd.DataFrame({"qid": [], "docid": [], "score": []}).astype({"qid": "int64", "docid": "int64", "score": "float64"})
+        return pd.DataFrame({"qid": qids[:0], "docid": ids[:0], "score": np.zeros(0)})
     return pd.DataFrame({"qid": np.concatenate(out_q), "docid": np.concatenate(out_d), "score": np.concatenate(out_s)})
 
 
+def _run_schema(q: DataFrame, c: DataFrame) -> str:
+    kind = lambda df, name: df.schema[name].dataType.simpleString()
+    return f"qid {kind(q, 'qid')}, docid {kind(c, 'docid')}, score double"
+
+
 def dense_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", skip_self: bool = False) -> DataFrame:
     """Exact top ``k`` by inner product, cosine or (ascending) L2.
 
-    ``queries`` is ``(qid, embedding)``, ``corpus`` is ``(docid, embedding)`` with integer
-    ids. Queries whose matrix stays below the broadcast bound travel to every task, and
+    ``queries`` is ``(qid, embedding)``, ``corpus`` is ``(docid, embedding)``. Queries whose matrix stays below the broadcast bound travel to every task, and
     the corpus is scanned in place without a shuffle. More queries are cut into blocks and
     paired with corpus blocks. Both ways each task returns only its own top ``k``.
     """
@@ -78,15 +81,15 @@ def dense_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "i
 def _scan(q: DataFrame, c: DataFrame, k: int, metric: str, skip_self: bool) -> DataFrame:
     local = q.toPandas().sort_values("qid")
     shared = q.sparkSession.sparkContext.broadcast(
-        (local["qid"].to_numpy(dtype=np.int64), _prepare(_matrix(local["embedding"]), metric)))
+        (local["qid"].to_numpy(), _prepare(_matrix(local["embedding"]), metric)))
 
     def search(batches):
         qids, qm = shared.value
         for pdf in batches:
             if len(pdf) and len(qids):
-                yield _local_top(qids, qm, pdf["docid"].to_numpy(dtype=np.int64), _prepare(_matrix(pdf["embedding"]), metric), k, metric, skip_self)
+                yield _local_top(qids, qm, pdf["docid"].to_numpy(), _prepare(_matrix(pdf["embedding"]), metric), k, metric, skip_self)
 
-    return c.mapInPandas(search, RUN)
+    return c.mapInPandas(search, _run_schema(q, c))
 
 
 def _grid(q: DataFrame, c: DataFrame, cells: int, k: int, metric: str, skip_self: bool) -> DataFrame:
@@ -99,10 +102,10 @@ def _grid(q: DataFrame, c: DataFrame, cells: int, k: int, metric: str, skip_self
                      F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"))
 
     def pair(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        return _local_top(lp["qid"].to_numpy(dtype=np.int64), _prepare(_matrix(lp["embedding"]), metric),
-                          rp["docid"].to_numpy(dtype=np.int64), _prepare(_matrix(rp["embedding"]), metric), k, metric, skip_self)
+        return _local_top(lp["qid"].to_numpy(), _prepare(_matrix(lp["embedding"]), metric),
+                          rp["docid"].to_numpy(), _prepare(_matrix(rp["embedding"]), metric), k, metric, skip_self)
 
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(pair, RUN)
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(pair, _run_schema(q, c))
 
 
 def mix_search(q1: DataFrame, q2: DataFrame, corpus: DataFrame, ratio: float, k: int, skip_self: bool = False) -> DataFrame:
@@ -144,11 +147,11 @@ def dense_search_approx(queries: DataFrame, corpus: DataFrame, k: int, n_lists:
              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(_blocks(queries) - 1)))))
 
     def pair(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        return _local_top(lp["qid"].to_numpy(dtype=np.int64), _matrix(lp["embedding"]),
-                          rp["docid"].to_numpy(dtype=np.int64), _matrix(rp["embedding"]), k, "ip", skip_self)
+        return _local_top(lp["qid"].to_numpy(), _matrix(lp["embedding"]),
+                          rp["docid"].to_numpy(), _matrix(rp["embedding"]), k, "ip", skip_self)
 
     keys = ("list", "salt", "qb")
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, RUN)
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, _run_schema(queries, corpus))
     return top_k(best, "qid", "score", k)
 
 

@@ -195,3 +195,24 @@ def test_zero_vector_has_no_direction(spark):
     df = spark.sql("select array(0.0D, 0.0D) as a, array(1.0D, 0.0D) as b")
     r = df.select(V.vec_cos("a", "b").alias("c"), V.l2_normalize("a").alias("n"), V.min_max("a").alias("m")).first()
     assert r.c is None and r.n == [0.0, 0.0] and r.m == [0.0, 0.0]
+
+
+def test_dense_with_text_ids(spark, monkeypatch):
+    c = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "docid string, embedding array<double>")
+    q = spark.createDataFrame([("q", [1.0, 0.1]), ("a", [0.0, 1.0])], "qid string, embedding array<double>")
+    want = [("a", 1, "c"), ("a", 2, "b"), ("q", 1, "a"), ("q", 2, "b")]
+    assert rows(D.dense_search(q, c, 2, skip_self=True), "qid", "rank", "docid") == want
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 10)
+    assert rows(D.dense_search(q, c, 2, skip_self=True), "qid", "rank", "docid") == want
+
+
+def test_scratch_folder_follows_the_session(spark, tmp_path):
+    class Session:
+        def __init__(self, folder, master):
+            self.conf = {"spark.checkpoint.dir": folder}
+            self.sparkContext = type("Context", (), {"master": master, "getCheckpointDir": lambda self: None})()
+
+    assert scale.scratch_path(Session(str(tmp_path), "yarn"), "x").startswith(f"{tmp_path}/x-")
+    with pytest.raises(ValueError):
+        scale.scratch_path(Session(None, "yarn"), "x")
+    assert scale.cut(spark.range(3)).count() == 3
