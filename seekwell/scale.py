@@ -92,14 +92,16 @@ def hash_rank(df: DataFrame, parts: list[str], key: str, tie: list[str], out: st
     return _offset_totals(b, parts, [key, *tie], {out: F.lit(1)})
 
 
-def running_totals(df: DataFrame, parts: list[str], order: str, values: dict[str, Column], tie: list[str] | None = None, buckets: int = 256) -> DataFrame:
+def running_totals(df: DataFrame, parts: list[str], order: str, values: dict[str, Column], tie: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Inclusive running sums by the numeric ``order`` (then ``tie``) inside ``parts``.
 
     Two passes: totals per quantile bucket, then a window inside the bucket, so that one
-    large group is still summed by many tasks. The bucket borders are at most ``buckets``
-    numbers.
+    large group is still summed by many tasks. There are two buckets per shuffle partition
+    unless ``buckets`` is given; only their borders, at most 4095 numbers, reach the driver.
     """
-    borders = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
+    if buckets is None:
+        buckets = min(max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64), 4096)
+    borders = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
     if not borders:
         b = df.withColumn("_bucket", F.lit(0.0))
     else:
