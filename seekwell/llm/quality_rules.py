@@ -28,7 +28,7 @@ THRESHOLDS = (
     ("n_symbols", "n_words", "max", 10, 10),
     ("n_stop_words", "n_words", "min", 3, 30),
     ("word_chars", "n_words", "max", 2000, 10),
-    ("n_dup_lines", "n_lines", "max", 30, 10),
+    ("n_dup_lines", "n_lines", "max", 50, 10),
 )
 
 
