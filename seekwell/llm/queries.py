@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekwell.llm import decontamination, quality_classifier, quality_rules
+from seekwell.llm import decontamination, quality_classifier, quality_rules, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("hit_words", "items")
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", simhash.hex_fingerprint(groups["fp"]).alias("fingerprint"), "component_id")
+
+
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, folder, "labels")))
@@ -28,6 +33,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
+    "op4_simhash": op4_simhash,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
 }
