@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekwell.llm import decontamination, packing_genetic, quality_classifier, quality_rules, simhash
+from seekwell.llm import decontamination, packing_genetic, quality_classifier, quality_rules, secrets, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,12 +35,17 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"))
 
 
+def op9_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op9_secret_scans": op9_secret_scans,
 }
 SQL: dict[str, str] = {
     "op3_decontamination": decontamination.sql(),
