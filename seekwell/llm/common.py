@@ -49,6 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
     component. Alternating large and small stars, each round written to shared storage, so lineage stays short and a
     chain of any length ends after a logarithmic number of rounds. Nothing but two totals reaches the driver."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
+    e = cut(e, "links")
     before = None
     while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -63,3 +64,20 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def whole_groups(batches, columns: list[str]):
+    """Rows of sorted pandas batches, cut only where a group of ``columns`` ends."""
+    import pandas as pd
+
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        keys = b[columns].to_numpy()
+        same = (keys == keys[-1]).all(axis=1)
+        end = len(b) - int(same[::-1].cumprod().sum())  # the last group may go on in the next batch
+        if end:
+            yield b.iloc[:end]
+        rest = b.iloc[end:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest

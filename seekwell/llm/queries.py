@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekwell.llm import decontamination, packing_genetic, quality_classifier, quality_rules, secrets, simhash
+from seekwell.llm import decontamination, packing_genetic, quality_classifier, quality_rules, secrets, simhash, substring_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, folder, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, folder, "documents")))
 
@@ -45,9 +49,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scans": op9_secret_scans,
 }
 SQL: dict[str, str] = {
     "op3_decontamination": decontamination.sql(),
     "op7_quality_rules": quality_rules.sql(),
+    "op8_substring_dedup": substring_dedup.sql(),
 }

@@ -28,7 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seekwell.llm.common import clean_input, components, cut, same_key, sized_broadcast, with_row_key
+from seekwell.llm.common import clean_input, components, cut, same_key, sized_broadcast, whole_groups, with_row_key
 
 SHINGLE, BITS, SEED = 4, 4, 42
 HOT = 16_384
@@ -131,16 +131,7 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
             at = bucket_links(fps.view(np.uint64), group, bits)
             return pd.DataFrame({"a": fps[at[:, 0]], "b": fps[at[:, 1]]})
 
-        rest = None
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            same = (b[place].to_numpy() == b[place].iloc[-1].to_numpy()).all(axis=1)
-            cut_at = len(b) - int(same[::-1].cumprod().sum())  # the last bucket may go on in the next batch
-            if cut_at:
-                yield of(b.iloc[:cut_at])
-            rest = b.iloc[cut_at:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield of(rest)
+        yield from map(of, whole_groups(batches, place))
 
     return ordered.mapInPandas(found, "a long, b long")
 
@@ -148,12 +139,13 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
 def near_groups(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest id of its component)."""
     slim = cut(with_fingerprints(docs, shingle), "fingerprints")
-    distinct = slim.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = cut(slim.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     stars = components(links(distinct.select("fp"), bits))
     known = cut(stars.join(distinct, stars["node"] == distinct["fp"]).select("node", "root", "first"), "members")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     named = known.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    whole = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # written, so that the last join is between two plain shuffles, of which a skewed one can be split
+    whole = cut(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "named")
     return slim.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
