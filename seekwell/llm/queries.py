@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekwell.llm import decontamination, packing_genetic, quality_classifier, quality_rules, secrets, simhash, substring_dedup, suffix_dedup
+from seekwell.llm import decontamination, katz, packing_genetic, quality_classifier, quality_rules, secrets, simhash, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint(groups["fp"]).alias("fingerprint"), "component_id")
 
 
+def op5_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score(table(spark, folder, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality_classifier.classify(docs, quality_classifier.train(docs, table(spark, folder, "labels")))
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
+    "op5_katz_backoff": op5_katz_backoff,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
