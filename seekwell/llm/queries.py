@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekwell.llm import decontamination, katz, packing_genetic, quality_classifier, quality_rules, secrets, simhash, substring_dedup, suffix_dedup
+from seekwell.llm import decontamination, katz, packing_genetic, quality_classifier, quality_rules, quotation, secrets, simhash, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing_genetic.packed_pieces(table(spark, folder, "documents"))
 
 
+def op2_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
+    return quotation.threads(table(spark, folder, "conversations"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("hit_words", "items")
 
@@ -53,6 +57,7 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_quotation_linking": op2_quotation_linking,
     "op3_decontamination": op3_decontamination,
     "op4_simhash": op4_simhash,
     "op5_katz_backoff": op5_katz_backoff,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 SQL: dict[str, str] = {
+    "op2_quotation_linking": quotation.sql(),
     "op3_decontamination": decontamination.sql(),
     "op7_quality_rules": quality_rules.sql(),
     "op8_substring_dedup": substring_dedup.sql(),
