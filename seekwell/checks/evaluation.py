@@ -79,7 +79,7 @@ def _(t):
     labelled = run.join(it.select(F.col("id").alias("qid"), F.col("label").alias("a")), "qid").join(it.select(F.col("id").alias("docid"), F.col("label").alias("b")), "docid")
     gap = F.abs(F.col("a") - F.col("b"))
     qrels = labelled.select("qid", "docid", F.when(gap == 0, 2).when(gap == 1, 1).otherwise(0).alias("grade"))
-    return E.mean_metrics(E.query_metrics(E.judge(run, qrels), E.label_totals(qrels, 10), [10])).filter("metric = 'ndcg@10'")
+    return E.mean_metrics(E.query_metrics(E.judge(run, qrels), E.label_totals(qrels), [10])).filter("metric = 'ndcg@10'")
 
 
 @register("rerank_map_mrr", f"""WITH {S.dense('run', 20)},

@@ -71,7 +71,7 @@ def _(t):
 
 
 @register("few_shot_same_task_random", """WITH o AS (SELECT vec_id AS docid, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) AS pos, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
- q AS (SELECT e.vec_id AS qid, label, ('0x' || substr(md5('42|' || e.vec_id), 1, 8))::BIGINT AS start, unnest(range(1, least(8, (SELECT count(*) FROM embeddings x WHERE x.label = e.label)) + 1)) AS rank FROM embeddings e)
+ q AS (SELECT e.vec_id AS qid, label, ('0x' || substr(md5('42|' || e.vec_id), 1, 15))::BIGINT AS start, unnest(range(1, least(8, (SELECT count(*) FROM embeddings x WHERE x.label = e.label)) + 1)) AS rank FROM embeddings e)
  SELECT qid, docid, rank FROM q JOIN o ON o.label = q.label AND o.pos = (q.start + q.rank) % o.n + 1""")
 def _(t):
     tasks = items(t)
@@ -221,8 +221,8 @@ def service_runs(t):
     return bm25_run(t, 20, k1=0.82, b=0.68, length_norm=True), bm25_run(t, 20)
 
 
-@register("faq_match", f"""WITH {HYBRID} SELECT h.qid, h.docid, d.text AS question, d.source AS answer, CASE WHEN contains(d.text, q.text) THEN 'answered' WHEN length(d.source) = 4 THEN 'clauses' ELSE 'unknown' END AS route
- FROM hy h JOIN documents d ON d.doc_id = h.docid JOIN benchmark q ON q.item_id = h.qid WHERE h.rank = 1""")
+@register("faq_match", f"""WITH {HYBRID} SELECT q.item_id AS qid, h.docid, d.text AS question, d.source AS answer, CASE WHEN h.docid IS NULL THEN 'clauses' WHEN contains(d.text, q.text) THEN 'answered' WHEN length(d.source) = 4 THEN 'clauses' ELSE 'unknown' END AS route
+ FROM benchmark q LEFT JOIN hy h ON q.item_id = h.qid AND h.rank = 1 LEFT JOIN documents d ON d.doc_id = h.docid""")
 def _(t):
     dense, sparse = service_runs(t)
     return J.faq_match(t.topics, dense, sparse, faq(t), containment_judge)
@@ -246,7 +246,7 @@ def echo_length():
 @register("clause_search", "WITH bm AS (SELECT 1), benchmark6 AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS text FROM benchmark), "
           + S.bm25("run", 3, 0.82, 0.68, True).replace("FROM benchmark", "FROM benchmark6")
           + """, c AS (SELECT r.qid, string_agg(r.docid::VARCHAR, ' ' ORDER BY r.rank) AS docids, string_agg('条款' || r.rank || '：' || chr(10) || d.text, chr(10) ORDER BY r.rank) AS ctx FROM run r JOIN documents d ON d.doc_id = r.docid GROUP BY r.qid)
- SELECT c.qid, docids, length('问题：' || chr(10) || b.text || chr(10) || ctx)::VARCHAR AS answer FROM c JOIN benchmark b ON b.item_id = c.qid""")
+ SELECT b.item_id AS qid, coalesce(docids, '') AS docids, length('问题：' || chr(10) || b.text || chr(10) || coalesce(ctx, ''))::VARCHAR AS answer FROM benchmark b LEFT JOIN c ON b.item_id = c.qid""")
 def _(t):
     index = L.build_index(t.corpus)
     search = lambda q: J.batch_retrieve(index, None, q, 3)

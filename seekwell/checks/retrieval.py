@@ -165,7 +165,7 @@ def _(t):
 
 
 @register("random_search", """WITH o AS (SELECT doc_id AS docid, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS pos, count(*) OVER () AS n FROM documents),
- q AS (SELECT item_id AS qid, ('0x' || substr(md5('42|' || item_id), 1, 8))::BIGINT AS start, unnest(range(1, 11)) AS rank FROM benchmark)
+ q AS (SELECT item_id AS qid, ('0x' || substr(md5('42|' || item_id), 1, 15))::BIGINT AS start, unnest(range(1, 11)) AS rank FROM benchmark)
  SELECT qid, docid, rank FROM q JOIN o ON o.pos = (q.start + q.rank) % o.n + 1""")
 def _(t):
     return R.random_search(t.topics, t.corpus, 10)

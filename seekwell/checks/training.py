@@ -55,7 +55,7 @@ def _(t):
 @register("backfilled_negatives", f"""WITH {NEG_SQL}, o AS (SELECT doc_id AS docid, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS at, count(*) OVER () AS n FROM documents),
  s AS (SELECT item_id AS qid, (SELECT count(*) FROM neg WHERE neg.qid = item_id) AS have, (SELECT count(*) FROM qrels WHERE qrels.qid = item_id) AS npos FROM benchmark),
  d AS (SELECT qid, have, unnest(range(1, least(25 + npos, (SELECT count(*) FROM documents)) + 1)) AS draw FROM s WHERE have < 25),
- f AS (SELECT d.qid, have, draw, o.docid FROM d JOIN o ON o.at = (('0x' || substr(md5('42|' || d.qid), 1, 8))::BIGINT + draw) % o.n + 1),
+ f AS (SELECT d.qid, have, draw, o.docid FROM d JOIN o ON o.at = (('0x' || substr(md5('42|' || d.qid), 1, 15))::BIGINT + draw) % o.n + 1),
  k AS (SELECT f.* FROM f ANTI JOIN (SELECT qid, docid FROM neg UNION SELECT qid, docid FROM qrels) u ON u.qid = f.qid AND u.docid = f.docid)
  SELECT * FROM neg UNION ALL SELECT qid, docid, pos FROM (SELECT qid, docid, have + row_number() OVER (PARTITION BY qid ORDER BY draw) AS pos FROM k) WHERE pos <= 25""")
 def _(t):
@@ -316,7 +316,7 @@ HISTORY = """q AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE ro
 
 def history_sql(order: str, join_order: str, extra: str = "", source: str = "h") -> str:
     return f"""WITH {HISTORY}{extra}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY {order}) AS rank FROM {source}), p AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY {join_order}) AS t FROM r WHERE rank <= 2 GROUP BY conv_id)
- SELECT conv_id, p.t || chr(10) || cur.text AS prompt FROM p JOIN cur USING (conv_id)"""
+ SELECT conv_id, coalesce(p.t || chr(10), '') || cur.text AS prompt FROM cur LEFT JOIN p USING (conv_id)"""
 
 
 LOCAL_BM25 = """, it AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS token, len(string_split(text, ' ')) AS dl FROM h), tf AS (SELECT conv_id, turn, token, count(*) AS tf, max(dl) AS dl FROM it GROUP BY ALL),
@@ -350,7 +350,7 @@ def chunk_sql(mode: str) -> str:
  qt AS (SELECT doc_id, unnest(toks) AS token FROM cc WHERE item = c - 2), sc AS (SELECT tf.doc_id, tf.item, round(sum(ln((n - df + 0.5e0) / (df + 0.5e0) + 1) * 1.9e0 * tf.tf / (tf.tf + 0.9e0 * (0.6e0 + 0.4e0 * tf.dl))), 6) AS score FROM qt JOIN tf ON tf.doc_id = qt.doc_id AND tf.token = qt.token JOIN dfc ON dfc.doc_id = qt.doc_id AND dfc.token = qt.token JOIN nc ON nc.doc_id = qt.doc_id GROUP BY ALL),
  r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item) AS rank FROM sc WHERE score <> 0) WHERE rank <= 2),
  v AS (SELECT doc_id, rank, unnest([item, item + 1]) AS item FROM r), g AS (SELECT v.doc_id, string_agg(array_to_string(cc.toks, ' '), ' ' ORDER BY v.rank DESC, v.item) FILTER (len(cc.toks) > 0) AS found FROM v JOIN cc ON cc.doc_id = v.doc_id AND cc.item = v.item GROUP BY v.doc_id)
- SELECT doc_id, found || ' ' || array_to_string(list_filter(t[(c - ({keep})) * 32 + 1:], lambda x: x <> '<pad>'), ' ') AS context FROM g JOIN b USING (doc_id)"""
+ SELECT doc_id, coalesce(found || ' ', '') || array_to_string(list_filter(t[(c - (CASE WHEN found IS NULL THEN w ELSE {keep} END)) * 32 + 1:], lambda x: x <> '<pad>'), ' ') AS context FROM b LEFT JOIN g USING (doc_id)"""
 
 
 for _mode in ("replace", "concat"):

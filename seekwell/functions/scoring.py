@@ -189,13 +189,15 @@ def score_code_run(pred, truth) -> Column:
     w = words(_blank(F.trim(_c(pred)), CODE_BREAKS))
     last = F.when(F.size(w) > 0, F.element_at(w, -1))
     number = F.when(last.rlike(r"^[+-]?[0-9]+$"), last.try_cast("long"))
-    return _num(F.coalesce(number == _c(truth).cast("long"), F.lit(False)))
+    return _num(F.coalesce(number == _c(truth).try_cast("long"), F.lit(False)))
 
 
 def score_math_find(pred, truth) -> Column:
     """The first number equals the true one; an integer truth needs the same integer text."""
     found = F.regexp_extract(_c(pred), r"([0-9]+\.[0-9]+|[0-9]+)", 1)
-    return _num(F.coalesce(found.try_cast("double") == _c(truth).cast("double"), F.lit(False)))
+    whole = _c(truth).rlike(r"^[+-]?[0-9]+$")
+    same = F.when(whole, found == _c(truth)).otherwise(found.try_cast("double") == _c(truth).try_cast("double"))
+    return _num(F.coalesce(same, F.lit(False)))
 
 
 def score_math_calc(pred, truth) -> Column:
@@ -203,7 +205,7 @@ def score_math_calc(pred, truth) -> Column:
     t = _c(truth)
     p = F.transform(integers(pred), lambda x: x.try_cast("long"))
     pos = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
-    wrong = F.filter(pos, lambda i: F.coalesce(F.get(p, i) != F.get(t, i).cast("long"), F.lit(True)))
+    wrong = F.filter(pos, lambda i: F.coalesce(F.get(p, i) != F.get(t, i).try_cast("long"), F.lit(True)))
     good = F.coalesce(F.get(wrong, F.lit(0)), F.size(t))
     return F.when(F.size(t) > 0, good.cast("double") / F.size(t)).otherwise(F.lit(0.0))
 

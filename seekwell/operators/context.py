@@ -61,8 +61,9 @@ def history_retrieve(history: DataFrame, query: DataFrame, method: str = "recent
     key = {"sequential": F.col("turn").cast("long"), "relevance": -F.col("rank").cast("long")}[order]
     joined = picked.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(key.alias("o"), "text"))).alias("_h"))
     text = F.array_join(F.transform("_h", lambda x: x["text"]), "\n")
-    return joined.join(query.select("conv_id", F.col("text").alias("_q")), "conv_id").select(
-        "conv_id", F.concat(text, F.lit("\n"), F.col("_q")).alias("prompt"))
+    # a conversation without a usable turn still asks its question
+    asked = query.select("conv_id", F.col("text").alias("_q")).join(joined, "conv_id", "left")
+    return asked.select("conv_id", F.when(F.col("_h").isNull(), F.col("_q")).otherwise(F.concat(text, F.lit("\n"), F.col("_q"))).alias("prompt"))
 
 
 def chunk_retrieve(docs: DataFrame, chunk: int, window: int, k: int, mode: str = "replace", continuation: bool = False, pad: str = "<pad>") -> DataFrame:
@@ -96,6 +97,9 @@ def chunk_retrieve(docs: DataFrame, chunk: int, window: int, k: int, mode: str =
               .join(chunks.select("doc_id", "item", "toks"), ["doc_id", "item"]))
     found = values.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "item", "toks"))).alias("_v"))
     keep = F.col("_w") - 2 * k if mode == "replace" else F.col("_w")
+    # a document whose query chunk matches nothing keeps its plain window
+    keep = F.when(F.col("_v").isNull(), F.col("_w")).otherwise(keep)
     fixed = F.slice("_t", (F.col("_c") - keep) * chunk + 1, keep * chunk)
-    out = base.join(found, "doc_id").select("doc_id", F.concat(F.flatten(F.transform("_v", lambda x: x["toks"])), fixed).alias("_all"))
+    none = F.array().cast("array<string>")
+    out = base.join(found, "doc_id", "left").select("doc_id", F.concat(F.coalesce(F.flatten(F.transform("_v", lambda x: x["toks"])), none), fixed).alias("_all"))
     return out.select("doc_id", F.array_join(real(F.col("_all")), " ").alias("context"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -58,6 +60,12 @@ def _local_top(qids, q, ids, d, k, metric, skip_self) -> pd.DataFrame:
     return pd.DataFrame({"qid": np.concatenate(out_q), "docid": np.concatenate(out_d), "score": np.concatenate(out_s)})
 
 
+def _best_of(tops: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """Best ``k`` per query of several local tops, ties by id."""
+    rows = pd.concat(tops, ignore_index=True).sort_values(["qid", "score", "docid"], ascending=[True, False, True])
+    return rows[rows.groupby("qid").cumcount() < k]
+
+
 def _run_schema(q: DataFrame, c: DataFrame) -> str:
     kind = lambda df, name: df.schema[name].dataType.simpleString()
     return f"qid {kind(q, 'qid')}, docid {kind(c, 'docid')}, score double"
@@ -85,9 +93,14 @@ def _scan(q: DataFrame, c: DataFrame, k: int, metric: str, skip_self: bool) -> D
 
     def search(batches):
         qids, qm = shared.value
+        held = []
         for pdf in batches:
             if len(pdf) and len(qids):
-                yield _local_top(qids, qm, pdf["docid"].to_numpy(), _prepare(_matrix(pdf["embedding"]), metric), k, metric, skip_self)
+                held.append(_local_top(qids, qm, pdf["docid"].to_numpy(), _prepare(_matrix(pdf["embedding"]), metric), k, metric, skip_self))
+                if sum(map(len, held)) > 4 * k * len(qids):
+                    held = [_best_of(held, k)]
+        if held:
+            yield _best_of(held, k)
 
     return c.mapInPandas(search, _run_schema(q, c))
 
@@ -115,9 +128,10 @@ def mix_search(q1: DataFrame, q2: DataFrame, corpus: DataFrame, ratio: float, k:
     return dense_search(mixed, corpus, k, skip_self=skip_self)
 
 
-def dense_search_approx(queries: DataFrame, corpus: DataFrame, k: int, n_lists: int = 64, n_probe: int = 8,
-                        seed: int = 42, skip_self: bool = False) -> DataFrame:
-    """Cluster lists: vectors go to their nearest of ``n_lists`` centroids, a query reads the
+def dense_search_approx(queries: DataFrame, corpus: DataFrame, k: int, n_lists: int | None = None, n_probe: int = 8,
+                        seed: int = 42, skip_self: bool = False, max_iter: int = 20) -> DataFrame:
+    """Cluster lists: vectors go to their nearest of ``n_lists`` centroids (the square root of
+    the corpus size unless given, found in at most ``max_iter`` rounds), a query reads the
     ``n_probe`` nearest lists and scores their vectors exactly.
 
     A list that is larger than one block is salted, and its queries are copied to each
@@ -125,7 +139,8 @@ def dense_search_approx(queries: DataFrame, corpus: DataFrame, k: int, n_lists:
     """
     spark = corpus.sparkSession
     points = corpus.select("docid", "embedding")
-    model = KMeans(k=n_lists, seed=seed, maxIter=5, featuresCol="f").fit(points.select(array_to_vector("embedding").alias("f")))
+    n_lists = n_lists or max(2, math.isqrt(points.count()))
+    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="f").fit(points.select(array_to_vector("embedding").alias("f")))
     centroids = spark.sparkContext.broadcast(np.array(model.clusterCenters()))
 
     @F.pandas_udf("array<int>")

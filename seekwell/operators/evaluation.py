@@ -74,14 +74,13 @@ def class_totals(items: DataFrame) -> DataFrame:
     return items.join(size, "label").select(F.col("id").alias("qid"), "n_rel")
 
 
-def label_totals(qrels: DataFrame, depth: int = 1000) -> DataFrame:
-    """Relevant documents and the best possible gains per query, for graded labels."""
+def label_totals(qrels: DataFrame) -> DataFrame:
+    """Relevant documents per query and their number per grade, best grade first. Grades are
+    few, so the list is short however many labels a query has."""
     grade = F.col("grade") if "grade" in qrels.columns else F.lit(1)
     pos = qrels.select("qid", "docid", grade.alias("grade")).filter(F.col("grade") > 0).distinct()
-    counts = pos.groupBy("qid").agg(F.count(F.lit(1)).alias("n_rel"))
-    best = top_rows(pos, ["qid"], [F.col("grade").desc(), F.col("docid")], depth)
-    ideal = best.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "grade"))), lambda x: x["grade"]).alias("ideal"))
-    return counts.join(ideal, "qid")
+    each = pos.groupBy("qid", "grade").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("qid").agg(F.sum("n").alias("n_rel"), F.sort_array(F.collect_list(F.struct("grade", "n")), asc=False).alias("grades"))
 
 
 def _discount(rank: Column) -> Column:
@@ -91,7 +90,7 @@ def _discount(rank: Column) -> Column:
 def query_metrics(judged: DataFrame, totals: DataFrame, ks) -> DataFrame:
     """Per-query ``mrr, recall, precision, map, ndcg`` at every cutoff, in one aggregate.
 
-    ``totals`` has ``n_rel`` and, for graded labels, the sorted ``ideal`` grades.
+    ``totals`` has ``n_rel`` and, for graded labels, the numbers per grade.
     """
     hit = F.col("grade") > 0
     w = W.partitionBy("qid").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -109,8 +108,9 @@ def query_metrics(judged: DataFrame, totals: DataFrame, ks) -> DataFrame:
     n = F.col("n_rel")
     cols = [F.col("qid")]
     for k in ks:
-        if "ideal" in totals.columns:
-            grades = F.slice(F.coalesce("ideal", F.array().cast("array<int>")), 1, k)
+        if "grades" in totals.columns:
+            best = F.flatten(F.transform("grades", lambda g: F.array_repeat(g["grade"], F.least(g["n"], F.lit(k)).cast("int"))))
+            grades = F.slice(F.coalesce(best, F.array().cast(f"array<{dict(totals.select(F.col('grades')[0]['grade'].alias('g')).dtypes)['g']}>")), 1, k)
         else:
             grades = F.array_repeat(F.lit(1), F.least(n, F.lit(k)).cast("int"))
         ideal = F.aggregate(F.transform(grades, lambda g, i: g * _discount(i + 1)), F.lit(0.0), lambda a, x: a + x)
@@ -272,13 +272,15 @@ def average_precision(df: DataFrame, score: str, rel: str) -> DataFrame:
 
 
 def v_measure(df: DataFrame, label: str, cluster: str) -> DataFrame:
-    """Homogeneity, completeness and their harmonic mean from two labelings."""
+    """Homogeneity, completeness and their harmonic mean from two labelings; a missing label is
+    a label of its own."""
     pair = df.select(F.col(label).alias("l"), F.col(cluster).alias("k"))
     cells = pair.groupBy("l", "k").agg(F.count(F.lit(1)).alias("c"))
     a = cells.groupBy("l").agg(F.sum("c").alias("a"))
     b = cells.groupBy("k").agg(F.sum("c").alias("b"))
     n = cells.agg(F.sum("c")).scalar()
-    joined = cells.join(a, "l").join(b, "k").withColumn("n", n)
+    a_, b_ = a.withColumnRenamed("l", "_l"), b.withColumnRenamed("k", "_k")
+    joined = cells.join(a_, F.col("l").eqNullSafe(F.col("_l"))).join(b_, F.col("k").eqNullSafe(F.col("_k"))).withColumn("n", n)
     cond = joined.agg(
         F.sum(-F.col("c") / F.col("n") * F.log(F.col("c") / F.col("b"))).alias("h_lc"),
         F.sum(-F.col("c") / F.col("n") * F.log(F.col("c") / F.col("a"))).alias("h_cl"))

@@ -54,7 +54,7 @@ def multi_mode_score(pairs: DataFrame, weights=(1.0, 1.0, 1.0)) -> DataFrame:
 def rerank(run: DataFrame, scores: DataFrame, by: str, k: int | None = None) -> DataFrame:
     """Order the hits of a run by another score column."""
     joined = run.select("qid", "docid").join(scores.select("qid", "docid", F.col(by).alias("score")), ["qid", "docid"])
-    return top_k(joined, "qid", "score", k or 2**31 - 1)
+    return top_k(joined, "qid", "score", k)
 
 
 def dense_rerank(queries: DataFrame, candidates: DataFrame, docs: DataFrame, k: int | None = None, digits: int = 3) -> DataFrame:
@@ -63,7 +63,7 @@ def dense_rerank(queries: DataFrame, candidates: DataFrame, docs: DataFrame, k:
             .join(docs.select("docid", F.col("embedding").alias("d")), "docid")
             .join(queries.select("qid", F.col("embedding").alias("q")), "qid"))
     scored = rows.select("qid", "docid", F.round(vec_dot("q", "d"), digits).alias("score"))
-    return top_k(scored, "qid", "score", k or 2**31 - 1)
+    return top_k(scored, "qid", "score", k)
 
 
 def overlap_score(query: Column, passage: Column) -> Column:
@@ -75,4 +75,4 @@ def overlap_score(query: Column, passage: Column) -> Column:
 def pair_rerank(candidates: DataFrame, scorer=overlap_score, k: int | None = None) -> DataFrame:
     """Rerank ``(qid, query, docid, text)`` rows with a pair scorer; ``hits`` is the depth."""
     scored = candidates.withColumn("score", scorer(F.col("query"), F.col("text")))
-    return top_k(scored, "qid", "score", k or 2**31 - 1)
+    return top_k(scored, "qid", "score", k)

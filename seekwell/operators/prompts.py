@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seekwell.functions.text import fill_template, tokens, truncate, truncate_left_of_pair
-from seekwell.scale import hash_rank, seeded, top_rows
+from seekwell.scale import hash_rank, seeded, seeded_place, top_rows
 
 # Instruction in front of queries and keys, by instruction family and task.
 INSTRUCTIONS = {
@@ -115,7 +115,7 @@ def same_task_random(queries: DataFrame, docs: DataFrame, k: int, seed: int = 42
     reads ``k`` places of it, wrapping around."""
     order = hash_rank(docs.select("docid", "task").withColumn("_h", seeded(seed, "docid")), ["task"], "_h", ["docid"], "_pos").select("docid", "task", "_pos")
     sizes = docs.groupBy("task").agg(F.count(F.lit(1)).alias("_n"))
-    start = F.conv(F.substring(seeded(seed, "qid"), 1, 8), 16, 10).cast("long")
+    start = seeded_place(seed, "qid")
     wanted = (queries.select("qid", "task").join(sizes, "task")
               .withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(k), F.col("_n")))))
               .withColumn("_pos", (start + F.col("rank")) % F.col("_n") + 1))

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from seekwell.scale import hash_rank, running_total, seeded, stack, top_rows
+from seekwell.scale import hash_rank, running_total, running_totals, seeded, seeded_place, stack, top_rows
 
 
-def top_k(df: DataFrame, by: str, score: str, k: int, tie: str = "docid", ascending: bool = False) -> DataFrame:
-    """``k`` best rows per ``by`` with a 1-based ``rank``; equal scores go by ``tie``."""
+def top_k(df: DataFrame, by: str, score: str, k: int | None, tie: str = "docid", ascending: bool = False) -> DataFrame:
+    """``k`` best rows per ``by`` with a 1-based ``rank``; equal scores go by ``tie``. Without
+    ``k`` all rows are ranked, a large group by many tasks."""
+    if k is None:
+        keyed = df.withColumn("_key", F.col(score) if ascending else -F.col(score))
+        ranked = running_totals(keyed, [by], "_key", {"rank": F.lit(1)}, [tie]).drop("_key")
+        return ranked.withColumn("rank", F.col("rank").cast("int"))
     best = F.col(score).asc() if ascending else F.col(score).desc()
     return top_rows(df, [by], [best, F.col(tie)], k)
 
@@ -73,9 +78,8 @@ def random_search(queries: DataFrame, corpus: DataFrame, k: int, seed: int = 42)
     """
     order = hash_rank(corpus.select("docid").withColumn("_h", seeded(seed, "docid")), [], "_h", ["docid"], "_pos")
     n = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
-    start = F.conv(F.substring(seeded(seed, "qid"), 1, 8), 16, 10).cast("long")
     wanted = (
-        queries.select("qid", start.alias("_start"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+        queries.select("qid", seeded_place(seed, "qid").alias("_start"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
         .withColumn("_n", n)
         .filter(F.col("rank") <= F.col("_n"))
         .withColumn("_pos", (F.col("_start") + F.col("rank")) % F.col("_n") + 1)

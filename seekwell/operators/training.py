@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seekwell.functions.text import tokens
 from seekwell.operators.ranking import rank_window
-from seekwell.scale import hash_rank, seeded, stack, top_rows
+from seekwell.scale import hash_rank, seeded, seeded_place, stack, top_rows
 
 # Upper borders of the length buckets and their batch sizes by group size.
 LENGTH_BORDERS = (0, 500, 1000, 2000, 3000, 4000, 5000, 6000, 7000)
@@ -45,7 +45,7 @@ def backfill_negatives(queries: DataFrame, negatives: DataFrame, positives: Data
              .filter(F.col("_have") < n))
     order = hash_rank(corpus.select("docid").withColumn("_h", seeded(seed, "docid")), [], "_h", ["docid"], "_at").select("docid", "_at")
     size = corpus.agg(F.count(F.lit(1))).scalar()
-    start = F.conv(F.substring(seeded(seed, "qid"), 1, 8), 16, 10).cast("long")
+    start = seeded_place(seed, "qid")
     draws = (short.withColumn("_n", size)
              .select("qid", "_have", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(n) + F.col("_pos"), F.col("_n")))).alias("_draw"))
              .withColumn("_at", (start + F.col("_draw")) % F.col("_n") + 1))
@@ -188,13 +188,15 @@ def bucket_batch_size(bucket: Column, group_size: int, default: int) -> Column:
 
 
 def merge_small_sources(df: DataFrame, source: str, small: int, drop: int, merged: str = "small") -> DataFrame:
-    """Sources below ``small`` rows become one; it is dropped when still below ``drop``."""
+    """Sources below ``small`` rows become one; it is dropped when still below ``drop``. Rows
+    without a source are a source of their own."""
     counts = df.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
     is_small = F.col("_n") < small
     total = counts.agg(F.coalesce(F.sum(F.when(is_small, F.col("_n"))), F.lit(0))).scalar()
     names = counts.select(source, F.when(is_small, F.lit(merged)).otherwise(F.col(source)).alias("_to"), is_small.alias("_small"))
     names = names.withColumn("_total", total).filter(~F.col("_small") | (F.col("_total") >= drop))
-    return df.join(names.select(source, "_to"), source).withColumn(source, F.col("_to")).drop("_to")
+    names = names.select(F.col(source).alias("_from"), "_to")
+    return df.join(names, F.col(source).eqNullSafe(F.col("_from"))).withColumn(source, F.col("_to")).drop("_from", "_to")
 
 
 def batches(df: DataFrame, by: str, key: str, size, seed: int = 42, keep_tail: int | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""End-to-end question-answering jobs, each one lazy plan per batch of questions."""
+"""End-to-end question-answering jobs over batches of questions."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seekwell.operators import dense as D, evaluation as E, fusion as X, lexical as L, training as H
 from seekwell.operators.hooks import generate
 from seekwell.operators.ranking import top_k
-from seekwell.scale import stack
+from seekwell.scale import cut, stack
 from seekwell.sources.files import INTENTS
 
 # The two verdicts of the judge.
@@ -27,14 +27,15 @@ def faq_match(questions: DataFrame, dense: DataFrame, sparse: DataFrame, faq: Da
     """Best known question per question, judged.
 
     ``faq`` is ``(docid, question, answer)``. ``route`` is ``answered``, ``clauses`` (the
-    judge found the match irrelevant) or ``unknown`` (any other verdict).
+    judge found the match irrelevant, or there is no match) or ``unknown`` (any other verdict).
     """
     best = X.hybrid_search(dense, sparse, ALPHA, 1)
     rows = questions.join(best.select("qid", "docid"), "qid").join(faq, "docid")
     rows = rows.withColumn("prompt", judge_prompt(F.col("query"), F.col("question"), F.col("answer")))
     judged = generate(rows, "prompt", judge, out="verdict")
     route = F.when(F.col("verdict") == ANSWERED, "answered").when(F.col("verdict") == IRRELEVANT, "clauses").otherwise("unknown")
-    return judged.select("qid", "docid", "question", "answer", route.alias("route"))
+    judged = judged.select("qid", "docid", "question", "answer", route.alias("route"))
+    return questions.select("qid").join(judged, "qid", "left").fillna("clauses", ["route"])
 
 
 def faq_match_rerank(questions: DataFrame, dense: DataFrame, sparse: DataFrame, faq: DataFrame, scorer=X.overlap_score, k: int = 5) -> DataFrame:
@@ -48,13 +49,16 @@ def clause_search(questions: DataFrame, keywords, search, clauses: DataFrame, an
     """Keywords of the question, top clauses, one context prompt, answer.
 
     ``search`` maps ``(qid, query)`` to a run; ``keywords`` and ``answer`` are model factories.
+    Questions without a clause are answered from an empty context. Each model is called once
+    per question: the keywords are written before they are searched.
     """
-    asked = generate(questions, "query", keywords, out="keywords")
+    asked = cut(generate(questions, "query", keywords, out="keywords"), "keywords")
     run = search(asked.select("qid", F.col("keywords").alias("query")))
     top = run.filter(F.col("rank") <= CLAUSES).join(clauses.select("docid", "text"), "docid")
     context = top.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "docid", "text"))).alias("_c"))
     lines = F.transform("_c", lambda c: F.concat(F.lit("条款"), c["rank"].cast("string"), F.lit("：\n"), c["text"]))
-    rows = questions.join(context, "qid").withColumn("prompt", F.concat(F.lit("问题：\n"), "query", F.lit("\n"), F.array_join(lines, "\n")))
+    none = F.array().cast(dict(context.dtypes)["_c"])
+    rows = questions.join(context, "qid", "left").withColumn("_c", F.coalesce("_c", none)).withColumn("prompt", F.concat(F.lit("问题：\n"), "query", F.lit("\n"), F.array_join(lines, "\n")))
     return generate(rows, "prompt", answer).select("qid", F.transform("_c", lambda c: c["docid"]).alias("docids"), "prompt", "answer")
 
 

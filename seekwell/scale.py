@@ -7,11 +7,11 @@ used when lineage has to be cut.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 # A broadcast side may hold at most this many bytes, whatever the cluster.
@@ -84,31 +84,29 @@ def seeded(seed, *cols) -> Column:
 def hash_rank(df: DataFrame, parts: list[str], key: str, tie: list[str], out: str) -> DataFrame:
     """1-based rank by the hex digest ``key`` inside ``parts``.
 
-    The first three hex digits split every group into 4096 even buckets, so a group
-    that holds most of the table is still ranked by many tasks: bucket counts give the
-    offset, a window inside the bucket gives the rest.
+    Leading hex digits split every group into even buckets, at least 16 for each shuffle
+    partition, so a group that holds most of the table is still ranked by many tasks: bucket
+    counts give the offset, a window inside the bucket gives the rest.
     """
-    b = df.withColumn("_bucket", F.conv(F.substring(key, 1, 3), 16, 10).cast("int"))
+    digits = max(3, math.ceil(math.log(16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)))
+    b = df.withColumn("_bucket", F.conv(F.substring(key, 1, digits), 16, 10).cast("long"))
     return _offset_totals(b, parts, [key, *tie], {out: F.lit(1)})
 
 
 def running_totals(df: DataFrame, parts: list[str], order: str, values: dict[str, Column], tie: list[str] | None = None, buckets: int | None = None) -> DataFrame:
-    """Inclusive running sums by the numeric ``order`` (then ``tie``) inside ``parts``.
+    """Inclusive running sums by ``order`` (then ``tie``), of any sortable type, inside ``parts``.
 
-    Two passes: totals per quantile bucket, then a window inside the bucket, so that one
-    large group is still summed by many tasks. There are two buckets per shuffle partition
-    unless ``buckets`` is given; only their borders, at most 4095 numbers, reach the driver.
+    Two passes: totals per range bucket, then a window inside the bucket, so that one large
+    group is still summed by many tasks. Ranges run over ``parts``, ``order`` and ``tie``
+    together, so equal order values spread as far as ``tie`` tells them apart. There are two
+    buckets per shuffle partition unless ``buckets`` is given. The bucketed rows are written
+    once: both passes read the same buckets and the input is computed once.
     """
     if buckets is None:
-        buckets = min(max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64), 4096)
-    borders = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
-    if not borders:
-        b = df.withColumn("_bucket", F.lit(0.0))
-    else:
-        splits = [float("-inf"), *borders, float("inf")]
-        b = df.withColumn("_order", F.col(order).cast("double"))
-        b = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket").transform(b).drop("_order")
-    return _offset_totals(b, parts, [order, *(tie or [])], values)
+        buckets = max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
+    keys = [*parts, order, *(tie or [])]
+    ranged = df.repartitionByRange(buckets, *keys).withColumn("_bucket", F.spark_partition_id())
+    return _offset_totals(cut(ranged, "ranges"), parts, [order, *(tie or [])], values)
 
 
 def running_total(df: DataFrame, parts: list[str], order: str, value: Column, out: str) -> DataFrame:
@@ -135,7 +133,24 @@ def _offset_totals(b: DataFrame, parts: list[str], order: list[str], values: dic
 
 
 def top_rows(df: DataFrame, parts: list[str], order: list, n: int, out: str = "rank") -> DataFrame:
-    """First ``n`` rows per group with their rank. Catalyst turns the rank filter into a
-    group limit, so every task ships at most ``n`` rows per group."""
+    """First ``n`` rows per group with their rank.
+
+    Below the session's group-limit threshold the rank filter becomes a group limit inside
+    each task, so a task ships at most ``n`` rows per group. From there on the engine plans
+    none, and a first window over hash salts takes its place: a group is ranked by many tasks,
+    and only ``n`` rows per salt meet in the last one.
+    """
+    spark = df.sparkSession
+    if n >= int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        plain = [c for c, kind in df.dtypes if not any(x in kind for x in ("map<", "variant"))]
+        salts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, 4), 64)
+        local = W.partitionBy(*parts, "_salt").orderBy(*order)
+        df = (df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts))).withColumn("_local", F.row_number().over(local))
+              .filter(F.col("_local") <= n).drop("_salt", "_local"))
     w = W.partitionBy(*parts).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
+
+
+def seeded_place(seed, *cols) -> Column:
+    """A seeded start below 2^60, so that every place of any corpus can be drawn."""
+    return F.conv(F.substring(seeded(seed, *cols), 1, 15), 16, 10).cast("long")

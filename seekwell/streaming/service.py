@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from seekwell.functions.text import tokens
 from seekwell.operators.lexical import LexicalIndex, bm25_search, build_index, term_stats
 
 
@@ -29,39 +30,61 @@ def index_stream(corpus: DataFrame, out: str, checkpoint: str, tokenizer="whites
     up at query time, so scores always follow the whole corpus.
     """
     def add(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         part = build_index(batch, tokenizer)
         place = lambda name: f"{out}/{name}/batch={batch_id}"
         part.postings.write.mode("overwrite").parquet(place("postings"))
         saved = batch.sparkSession.read.parquet(place("postings"))
         term_stats(saved).write.mode("overwrite").parquet(place("terms"))
         part.stats.write.mode("overwrite").parquet(place("stats"))
+        sizes = batch.select("docid", F.size(tokens("text", tokenizer)).cast("long").alias("dl"))
+        sizes.write.mode("overwrite").parquet(place("documents"))
+        batch.unpersist()
 
     return corpus.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def load_streamed_index(spark: SparkSession, path: str) -> LexicalIndex:
-    read = lambda name: spark.read.parquet(f"{path}/{name}").drop("batch")
-    terms = read("terms").groupBy("token").agg(F.sum("df").alias("df"))
-    stats = read("stats").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    return LexicalIndex(read("postings"), stats, terms)
+    """The index of all deltas. A document that arrived again counts as its last version."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    arrived = read("documents").groupBy("docid").agg(F.count(F.lit(1)).alias("times"), F.max("batch").alias("last"))
+    again = arrived.filter("times > 1").select("docid", "last")
+    if again.isEmpty():
+        terms = read("terms").groupBy("token").agg(F.sum("df").alias("df"))
+        stats = read("stats").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return LexicalIndex(read("postings").drop("batch"), stats, terms)
 
+    def newest(df: DataFrame) -> DataFrame:
+        return df.join(again, "docid", "left").filter(F.col("last").isNull() | (F.col("batch") == F.col("last"))).drop("last", "batch")
 
-def rolling_history(turns: DataFrame, keep: int) -> DataFrame:
+    postings, sizes = newest(read("postings")), newest(read("documents"))
+    stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("n_tokens"))
+    return LexicalIndex(postings, stats, term_stats(postings))
+
+
+def rolling_history(turns: DataFrame, keep: int, idle_ms: int | None = None) -> DataFrame:
     """For every arriving ``(conv_id, turn, text)`` the last ``keep`` turns of its conversation.
 
-    State is the last ``keep`` texts only. Turns of one conversation must arrive in order;
-    rows of one micro-batch are put in order here.
+    State is the last ``keep`` texts only, and is dropped after ``idle_ms`` without a new turn.
+    Turns of one conversation must arrive in order over micro-batches; all rows of one
+    micro-batch are put in order here, however many Arrow batches they fill.
     """
+    kinds = dict(turns.dtypes)
+
     def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            pdf = pdf.sort_values("turn")
-            rows = []
-            for turn, text in zip(pdf["turn"], pdf["text"]):
-                last = [*last, text][-keep:]
-                rows.append((key[0], turn, "\n".join(last)))
-            yield pd.DataFrame(rows, columns=["conv_id", "turn", "history"])
+        rows = []
+        for turn, text in sorted(((turn, text) for pdf in batches for turn, text in zip(pdf["turn"], pdf["text"])), key=lambda x: x[0]):
+            last = [*last, text][-keep:]
+            rows.append((key[0], turn, "\n".join(last)))
         state.update((last,))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(rows, columns=["conv_id", "turn", "history"])
 
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return turns.groupBy("conv_id").applyInPandasWithState(
-        step, "conv_id long, turn long, history string", "texts array<string>", "append", GroupStateTimeout.NoTimeout)
+        step, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, history string", "texts array<string>", "append", timeout)
