@@ -39,9 +39,23 @@ def same_key(a: DataFrame, b: DataFrame) -> Column:
     return a["_k1"].eqNullSafe(b["_k1"]) & (a["_k2"] == b["_k2"])
 
 
+# Rows of one Arrow batch: documents can be long, and a batch is held several times on its way to Python.
+BATCH_ROWS = 2_000
+
+
+def short_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after the session was told to hand rows to Python in batches of at most ``BATCH_ROWS``. The setting has
+    no other effect and stays, because plans run later than they are made."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(docs.sparkSession.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        docs.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def clean_input(docs: DataFrame) -> DataFrame:
-    """Only the columns an operator reads, so that clashing names of other columns cannot matter."""
-    return docs.select("doc_id", "text")
+    """Only the columns an operator reads, so that clashing names of other columns cannot matter, in short batches."""
+    return short_batches(docs).select("doc_id", "text")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seekwell.llm.common import clean_input
+from seekwell.llm.common import clean_input, short_batches
 from seekwell.llm.quality_rules import STOP_WORDS
 
 MAX_TRAINING_ROWS = 20_000
@@ -152,4 +152,4 @@ def accepted(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> Dat
         for t in texts:
             yield pd.Series(model.score(np.array([statistics(v) for v in t], dtype=float).reshape(len(t), len(STATISTICS))))
 
-    return docs.filter(F.pandas_udf(scored, "double")(F.col("text")) >= threshold)
+    return short_batches(docs).filter(F.pandas_udf(scored, "double")(F.col("text")) >= threshold)

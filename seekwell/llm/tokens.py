@@ -6,7 +6,7 @@ import os
 import re
 import sys
 import types
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 TABLE_ROWS = 500_000
 _PLAIN = re.compile(r"([a-z]+)([.,]?)")
@@ -69,6 +69,8 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_all(texts: Iterable[str | None], path: str, end: bytes) -> list[bytes]:
+def encode_all(texts: Iterable[str | None], path: str, end: bytes) -> Iterator[bytes]:
+    """Ids of each text, then ``end``; one text at a time, so that a batch of ids is never held."""
     table = word_table(path)
-    return [table.encode(t or "") + end for t in texts]
+    for t in texts:
+        yield table.encode(t or "") + end
