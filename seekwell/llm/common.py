@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seekwell.scale import cut, scratch_path  # noqa: F401  (re-exported for the operators)
@@ -29,10 +31,21 @@ def sized_broadcast(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYT
     return F.broadcast(df) if total <= limit else df
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _k1, _k2): the id and a hash of the text. Rows that agree in both are repeats of one document, so
+    the key survives a second scan, which a generated row number need not."""
+    return clean_input(docs).withColumns({"_k1": F.col("doc_id"), "_k2": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_k1`` (its id) and ``_k2`` (a hash of its text). Rows that agree in both are repeats of one
-    document, so the key survives a second scan, which a generated row number need not."""
-    return docs.withColumns({"_k1": F.col("doc_id"), "_k2": F.xxhash64(F.coalesce("text", F.lit("")))})
+    """(_row, _k1, _k2): whole rows as one column, so that no name can clash, beside their key."""
+    return short_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k2"))
+
+
+def by_key(keyed: DataFrame) -> DataFrame:
+    """Rows of :func:`with_row_key` as an operator reads them, with the key in the place of the id: rows that share an
+    id are then judged by their own texts."""
+    return keyed.select(F.struct("_k1", "_k2").alias("doc_id"), F.col("_row.text").alias("text"))
 
 
 def same_key(a: DataFrame, b: DataFrame) -> Column:
@@ -95,3 +108,16 @@ def whole_groups(batches, columns: list[str]):
         rest = b.iloc[end:].reset_index(drop=True)
     if rest is not None and len(rest):
         yield rest
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Integers or floats as compressed byte planes."""
+    values = np.ascontiguousarray(values)
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes() if len(values) else b""
+    return zstandard.ZstdCompressor(level=3).compress(planes)
+
+
+def unsqueeze(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seekwell.llm.common import ascii_lower, clean_input, same_key, sized_broadcast, with_row_key
+from seekwell.llm.common import ascii_lower, by_key, clean_input, same_key, sized_broadcast, with_row_key
 
 # A word is a run of digits, Latin letters and everything beyond ASCII; A-Z is lowered after splitting.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -66,22 +66,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def without_spans(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """``docs`` whose hit words are cut out of the text; separators stay. ``hits``: rows of :func:`contamination` for
     documents with unique ids."""
-    found = hits.filter("contaminated").select(F.col("doc_id").alias("_id"), "hit_words")
-    gaps = F.split(F.col("text"), WORD, -1)
-    kept = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    found = hits.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("hit_words").alias("_hit"))
+    keyed = with_row_key(docs)
+    text = F.col("_row.text")
+    gaps = F.split(text, WORD, -1)
+    kept = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     pieces = lambda g, w, hit: F.transform(g, lambda s, i: F.concat(s, F.when(F.array_contains(hit, i), F.lit("")).otherwise(F.coalesce(F.get(w, i), F.lit("")))))
-    joined = docs.join(found, docs["doc_id"] == found["_id"], "left")
-    return joined.withColumn("text", F.when(F.col("hit_words").isNull(), F.col("text")).otherwise(F.array_join(pieces(gaps, kept, F.col("hit_words")), ""))).drop("_id", "hit_words")
+    joined = keyed.join(found, F.col("_k1") == F.col("_id"), "left")
+    new = F.when(F.col("_hit").isNull(), text).otherwise(F.array_join(pieces(gaps, kept, F.col("_hit")), ""))
+    return joined.select(*[(new if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark window; all columns stay."""
     keyed = with_row_key(docs)
-    # the operator sees the row key as the id, so that rows sharing an id are judged by their own text
-    seen = keyed.select(F.struct("_k1", "_k2").alias("doc_id"), "text")
-    dirty = contamination(seen, benchmark, window).filter("contaminated").select("doc_id._k1", "doc_id._k2").distinct()
+    dirty = contamination(by_key(keyed), benchmark, window).filter("contaminated").select("doc_id._k1", "doc_id._k2").distinct()
     dirty = sized_broadcast(dirty, F.lit(24))
-    return keyed.join(dirty, same_key(keyed, dirty), "left_anti").drop("_k1", "_k2")
+    return keyed.join(dirty, same_key(keyed, dirty), "left_anti").select("_row.*")
 
 
 def sql() -> str:

@@ -30,11 +30,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.taskcontext import TaskContext
 
-from seekwell.llm.common import clean_input, cut
+from seekwell.llm.common import clean_input, cut, squeeze, unsqueeze
 
 LIMIT = 5
 HIGH = 0.999  # what larger counts keep, so that a context of frequent pairs alone can back off as well
@@ -43,19 +42,6 @@ HOT, MOST_HOT = 1_000_000, 20_000
 BEGIN = -1  # the context before the first word
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Integers or floats as compressed byte planes."""
-    values = np.ascontiguousarray(values)
-    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes() if len(values) else b""
-    return zstandard.ZstdCompressor(level=3).compress(planes)
-
-
-def unsqueeze(data: bytes, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
-
-
 def discounts(low: list[int]) -> np.ndarray:
     """Factors for counts 0..LIMIT and, last, all above, from the counts of counts 1..LIMIT+1; index 0 is unused. Where
     Good-Turing's are not between 0 and 1 (few data), a constant is taken off each count instead."""

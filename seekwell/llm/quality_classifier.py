@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
     one = rows.mapInPandas(measured, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x"))
     got = sorted((r["x"], r["y"]) for r in one.collect())
-    return fit(np.array([r[0] for r in got], dtype=float).reshape(len(got), -1), np.array([r[1] for r in got], dtype=float))
+    return fit(np.array([r[0] for r in got], dtype=float).reshape(len(got), len(STATISTICS)), np.array([r[1] for r in got], dtype=float))
 
 
 def classify(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:

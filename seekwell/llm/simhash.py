@@ -28,7 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seekwell.llm.common import clean_input, components, cut, same_key, sized_broadcast, whole_groups, with_row_key
+from seekwell.llm.common import by_key, clean_input, components, cut, same_key, sized_broadcast, whole_groups, with_row_key
 
 SHINGLE, BITS, SEED = 4, 4, 42
 HOT = 16_384
@@ -156,13 +156,13 @@ def hex_fingerprint(fp: Column) -> Column:
 def one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of every near-duplicate component, the one with the smallest id; all columns stay."""
     keyed = with_row_key(docs)
-    groups = cut(near_groups(keyed.select(F.struct("_k1", "_k2").alias("doc_id"), "text"), bits, shingle), "groups")
+    groups = cut(near_groups(by_key(keyed), bits, shingle), "groups")
     drop = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id._k1", "doc_id._k2").distinct()
     drop = sized_broadcast(drop, F.lit(24))
     kept = keyed.join(drop, same_key(keyed, drop), "left_anti")
     again = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1").select("doc_id._k1", "doc_id._k2")
     if again.isEmpty():
-        return kept.drop("_k1", "_k2")
+        return kept.select("_row.*")
     again = sized_broadcast(again, F.lit(24))
     once = kept.join(again, same_key(kept, again), "left_semi").dropDuplicates(["_k1", "_k2"])
-    return kept.join(again, same_key(kept, again), "left_anti").unionAll(once).drop("_k1", "_k2")
+    return kept.join(again, same_key(kept, again), "left_anti").unionAll(once).select("_row.*")

@@ -1,10 +1,11 @@
 """Substring deduplication of word windows by super-k-mers.
 
-Every window of ``WINDOW`` words has a minimiser: the word pair inside it with the smallest hash, the leftmost of
-equals. Consecutive windows that share it travel as one packed string (their words joined) to the bucket of the
-minimiser, so a window of any document meets its equals in one bucket and almost no word is sent ``WINDOW`` times. In
-a bucket equal strings are taken together, the windows of the different ones are sorted, and each run of equal windows
-gives the smallest document that has it. A minimiser that occurs once needs no look at its string.
+Every window of ``WINDOW`` words has a minimiser: the run of ``GRAM`` words inside it with the smallest hash, the
+leftmost of equals. Consecutive windows that share it travel as one packed string (their words joined) to the bucket of
+the minimiser, so a window of any document meets its equals in one bucket and almost no word is sent ``WINDOW`` times.
+Strings for the same part leave a task as one compressed block. In a bucket equal strings are taken together, the
+windows of the different ones are sorted, and each run of equal windows gives the smallest document that has it. A
+bucket with one document needs no look at its strings.
 
 A sample of the documents shows which minimisers are hot (above ``HOT`` rows). Those rows take a second exact way
 without buckets: equal strings and equal windows are aggregated with partial sums in every task, and the result is
@@ -23,13 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+import zstandard
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from seekwell.llm.common import clean_input, cut, sized_broadcast, whole_groups
+from seekwell.llm.common import clean_input, cut, sized_broadcast, squeeze, unsqueeze
 
-WINDOW, PAIR = 13, 2
-HOT, SAMPLE = 200_000, 0.02
-CHUNK_WORDS = 200_000
+WINDOW, GRAM = 13, 4
+HOT, MOST_HOT, SAMPLE = 200_000, 20_000, 0.02
+CHUNK_WORDS, BLOCK_WORDS, PART_BYTES = 200_000, 4_000_000, 16 << 20
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -37,20 +39,20 @@ def word_list(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def runs(words: list[bytes], document: np.ndarray, window: int = WINDOW, pair: int = PAIR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(words: list[bytes], document: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, last window, minimiser) of the super-k-mers in ``words``; ``document`` tells where texts change."""
     n = len(words) - window + 1
     if n <= 0:
         return (np.zeros(0, dtype=np.int64),) * 3
     codes, distinct = pd.factorize(np.array(words, dtype=object))
     one = np.array([xxhash.xxh64_intdigest(w) for w in distinct], dtype=np.uint64)[codes]
-    size = len(one) - pair + 1
+    size = len(one) - gram + 1
     mixed = np.zeros(size, dtype=np.uint64)
-    for k in range(pair):
+    for k in range(gram):
         mixed = (mixed ^ one[k:k + size]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     best, at = mixed[:n].copy(), np.arange(n)
-    for k in range(1, window - pair + 1):
+    for k in range(1, window - gram + 1):
         less = mixed[k:k + n] < best
         best[less], at[less] = mixed[k:k + n][less], np.flatnonzero(less) + k
     inside = document[:n] == document[window - 1:window - 1 + n]
@@ -59,35 +61,32 @@ def runs(words: list[bytes], document: np.ndarray, window: int = WINDOW, pair: i
     return first, last, best[first].view(np.int64)
 
 
+def chunk(rows: list[tuple], window: int) -> tuple:
+    """(rows, minimisers, owners, first words, packed strings) of the super-k-mers in (doc_id, rep, words) rows."""
+    words = [w for _, _, ws in rows for w in ws]
+    sizes = np.array([len(ws) for _, _, ws in rows])
+    document = np.repeat(np.arange(len(rows)), sizes)
+    first, last, mini = runs(words, document, window)
+    owner = document[first] if len(first) else np.zeros(0, dtype=np.int64)
+    start = first - np.concatenate([[0], sizes.cumsum()[:-1]])[owner]
+    return rows, mini, owner, start, [b" ".join(words[a:b]) for a, b in zip(first.tolist(), (last + window).tolist())]
+
+
+def known_texts(docs: DataFrame) -> DataFrame:
+    return clean_input(docs).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", rep_of("text").alias("rep"), "text")
+
+
 def super_kmers(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(mini, doc_id, place, packed): place holds a hash of the text in the upper and the first word in the lower half."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def of(rows: list) -> pd.DataFrame:
-            words = [w for _, _, ws in rows for w in ws]
-            sizes = np.array([len(ws) for _, _, ws in rows])
-            document = np.repeat(np.arange(len(rows)), sizes)
-            start = np.concatenate([[0], sizes.cumsum()[:-1]])
-            first, last, mini = runs(words, document, window)
-            owner = document[first] if len(first) else np.zeros(0, dtype=np.int64)
-            place = (np.array([r[1] for r in rows], dtype=np.int64)[owner] << 32) | (first - start[owner])
-            packed = [b" ".join(words[a:b]) for a, b in zip(first.tolist(), (last + window).tolist())]
-            return pd.DataFrame({"mini": mini, "doc_id": [rows[k][0] for k in owner.tolist()], "place": place, "packed": packed})
-
         for b in batches:
-            rows, n = [], 0
-            for doc_id, rep, text in zip(b["doc_id"], b["rep"], b["text"]):
-                rows.append((doc_id, rep, word_list(text)))
-                n += len(rows[-1][2])
-                if n > CHUNK_WORDS:
-                    yield of(rows)
-                    rows, n = [], 0
-            if rows:
-                yield of(rows)
+            rows, mini, owner, start, packed = chunk([(d, r, word_list(t)) for d, r, t in zip(b["doc_id"], b["rep"], b["text"])], window)
+            place = np.array([r[1] for r in rows], dtype=np.int64)[owner] << 32 | start
+            yield pd.DataFrame({"mini": mini, "doc_id": [rows[k][0] for k in owner.tolist()], "place": place, "packed": packed})
 
-    known = clean_input(docs).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return known.select("doc_id", rep_of("text").alias("rep"), "text").mapInPandas(emitted, f"mini long, doc_id {kind}, place long, packed binary")
+    return known_texts(docs).mapInPandas(emitted, f"mini long, doc_id {kind}, place long, packed binary")
 
 
 def rep_of(text: str):
@@ -95,10 +94,58 @@ def rep_of(text: str):
     return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 33).cast("int")
 
 
-def bucket(rows: pd.DataFrame, window: int) -> list[tuple]:
-    """(doc_id, place, words) of the covered runs in one bucket."""
+def blocks(docs: DataFrame, parts: int, hot: np.ndarray, window: int = WINDOW) -> DataFrame:
+    """(part, doc_ids, reps, mini, owner, start, sizes, packed): the super-k-mers of some documents for one part."""
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    names = ["part", "doc_ids", "reps", "mini", "owner", "start", "sizes", "packed"]
+
+    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []  # (documents, runs) of chunks
+
+        def flush() -> pd.DataFrame:
+            ids = [r[0] for rows, *_ in held for r in rows]
+            reps = np.array([r[1] for rows, *_ in held for r in rows], dtype=np.int64)
+            mini, start, packed = np.concatenate([h[1] for h in held]), np.concatenate([h[3] for h in held]), [x for h in held for x in h[4]]
+            at = np.cumsum([0, *[len(h[0]) for h in held[:-1]]])
+            owner = np.concatenate([h[2] + lo for h, lo in zip(held, at)])
+            held.clear()
+            part = (mini.view(np.uint64) >> np.uint64(33)).astype(np.int64) % parts
+            keep = np.flatnonzero(~np.isin(mini, hot)) if len(hot) else np.arange(len(mini))
+            keep = keep[np.argsort(part[keep], kind="stable")]
+            cuts, out = np.searchsorted(part[keep], np.arange(parts + 1)).tolist(), []
+            for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if b > a:
+                    mine = keep[a:b]
+                    docs_, local = np.unique(owner[mine], return_inverse=True)
+                    strings = [packed[k] for k in mine.tolist()]
+                    out.append((p, [ids[k] for k in docs_.tolist()], squeeze(reps[docs_]), squeeze(mini[mine].astype(np.int32)), squeeze(local.astype(np.int32)), squeeze(start[mine].astype(np.int32)),
+                                squeeze(np.array([len(x) for x in strings], dtype=np.int32)), zstandard.ZstdCompressor(level=3).compress(b"".join(strings))))
+            return pd.DataFrame(out, columns=names)
+
+        rows, n, total = [], 0, 0
+        for b in batches:
+            for doc_id, rep, text in zip(b["doc_id"], b["rep"], b["text"]):
+                rows.append((doc_id, rep, word_list(text)))
+                n += len(rows[-1][2])
+                if n > CHUNK_WORDS:
+                    held.append(chunk(rows, window))
+                    total, rows, n = total + n, [], 0
+                    if total > BLOCK_WORDS:
+                        yield flush()
+                        total = 0
+        if rows:
+            held.append(chunk(rows, window))
+        if held:
+            yield flush()
+
+    schema = f"part int, doc_ids array<{kind}>, reps binary, mini binary, owner binary, start binary, sizes binary, packed binary"
+    return known_texts(docs).mapInPandas(emitted, schema)
+
+
+def bucket(rows: list[tuple], window: int) -> list[tuple]:
+    """(doc_id, place, words) of the covered runs among the (doc_id, place, packed) of one bucket."""
     seen: dict[bytes, list] = {}
-    for doc_id, place, packed in zip(rows["doc_id"], rows["place"], rows["packed"]):
+    for doc_id, place, packed in rows:
         seen.setdefault(packed, []).append((doc_id, place))
     entries, first = [], []
     for s, (packed, where) in enumerate(seen.items()):
@@ -125,20 +172,32 @@ def bucket(rows: pd.DataFrame, window: int) -> list[tuple]:
     return found
 
 
-def in_buckets(rows: DataFrame, window: int) -> DataFrame:
-    kind = dict(rows.dtypes)["doc_id"]
-
-    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in whole_groups(batches, ["mini"]):
-            mini = b["mini"].to_numpy()
-            edge = np.flatnonzero(np.concatenate([[True], mini[1:] != mini[:-1], [True]]))
-            ids, found = b["doc_id"].to_numpy(), []
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if hi - lo > 1 and (ids[lo + 1:hi] != ids[lo]).any():
-                    found += bucket(b.iloc[lo:hi], window)
-            yield pd.DataFrame(found, columns=["doc_id", "place", "size"])
-
-    return rows.repartition("mini").sortWithinPartitions("mini").mapInPandas(judged, f"doc_id {kind}, place long, size int")
+def in_buckets(packed: DataFrame, kind: str, window: int) -> DataFrame:
+    """(doc_id, place, size) of the covered runs, part by part."""
+    def judged(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        ids, sizes = [list(x) for x in f["doc_ids"]], [unsqueeze(x, "i4") for x in f["sizes"]]
+        text = [zstandard.ZstdDecompressor().decompress(x) for x in f["packed"]]
+        ends = [x.cumsum(dtype=np.int64) for x in sizes]
+        mini = np.concatenate([unsqueeze(x, "i4") for x in f["mini"]])
+        owner, start = [unsqueeze(x, "i4") for x in f["owner"]], [unsqueeze(x, "i4").astype(np.int64) for x in f["start"]]
+        reps = [unsqueeze(x, "i8") for x in f["reps"]]
+        block = np.repeat(np.arange(len(f)), [len(x) for x in sizes])
+        row = np.concatenate([np.arange(len(x)) for x in sizes])
+        document = np.concatenate([x + lo for x, lo in zip(owner, np.cumsum([0, *[len(x) for x in ids[:-1]]]))])
+        order = np.argsort(mini, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], mini[order][1:] != mini[order][:-1]]))
+        first, last = np.minimum.reduceat(document[order], edge), np.maximum.reduceat(document[order], edge)
+        found = []
+        for lo, hi in zip(edge[first != last].tolist(), np.append(edge, len(order))[1:][first != last].tolist()):
+            rows = []
+            for k in order[lo:hi].tolist():
+                b, r = block[k], row[k]
+                d, end = owner[b][r], int(ends[b][r])
+                rows.append((ids[b][d], int(reps[b][d]) << 32 | int(start[b][r]), text[b][end - int(sizes[b][r]):end]))
+            found += bucket(rows, window)
+        return pd.DataFrame(found, columns=["doc_id", "place", "size"])
+
+    return packed.groupBy("part").applyInPandas(judged, f"doc_id {kind}, place long, size int")
 
 
 def without_buckets(rows: DataFrame, window: int) -> DataFrame:
@@ -153,16 +212,25 @@ def without_buckets(rows: DataFrame, window: int) -> DataFrame:
 
 def covered(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sample: float = SAMPLE) -> DataFrame:
     """(doc_id, rep, spans): runs of words (start, size) to remove, for every text that has any."""
-    rows = super_kmers(docs, window)
-    often = super_kmers(docs.sample(sample, seed=11), window).groupBy("mini").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(1, hot * sample)).select("mini")
-    often = often.persist()
-    if often.isEmpty():
-        found = in_buckets(rows, window)
-    else:
-        few = sized_broadcast(often, F.lit(16))
-        found = in_buckets(rows.join(few, "mini", "left_anti"), window).unionAll(without_buckets(rows.join(few, "mini", "left_semi"), window))
-    start = F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    return found.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("rep")).agg(F.collect_list(F.struct(start.alias("start"), "size")).alias("spans"))
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
+    hot = max(hot, size // 32 // MOST_HOT)  # a super-k-mer takes more than 32 bytes of text, so at most MOST_HOT numbers come back
+    few = super_kmers(docs.sample(sample, seed=11), window).groupBy("mini").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(1, hot * sample)).select("mini").collect()
+    often = np.array(sorted(r["mini"] for r in few), dtype=np.int64)
+    found = in_buckets(blocks(docs, max(1, -(-size // PART_BYTES)), often, window), kind, window)
+    if len(often):
+        named = docs.sparkSession.createDataFrame([(int(m),) for m in often], "mini long")
+        found = found.unionAll(without_buckets(super_kmers(docs, window).join(F.broadcast(named), "mini", "left_semi"), window))
+    return merged(found.select("doc_id", F.shiftright("place", 32).cast("int").alias("rep"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"), "size"))
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """(doc_id, rep, spans) with overlapping spans as one; the rows of one text are in one task, and fewer than its windows."""
+    text = W.partitionBy("doc_id", "rep").orderBy("start", "size")
+    before = F.max(F.col("start") + F.col("size")).over(text.rowsBetween(W.unboundedPreceding, -1))
+    fresh = spans.withColumn("fresh", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    runs_ = fresh.withColumn("run", F.sum("fresh").over(text)).groupBy("doc_id", "rep", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
+    return runs_.groupBy("doc_id", "rep").agg(F.collect_list(F.struct("start", (F.col("end") - F.col("start")).alias("size"))).alias("spans"))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, with_text: bool = False, **options) -> DataFrame:

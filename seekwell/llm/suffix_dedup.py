@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from seekwell.llm.common import clean_input, cut, same_key, sized_broadcast, whole_groups, with_row_key
+from seekwell.llm.common import cut, keyed_texts, same_key, sized_broadcast, whole_groups
 
 LENGTH, GRAM = 200, 32
 HOT = 500_000
@@ -159,7 +159,7 @@ def suffix_array(s, alphabet: int) -> list[int]:
         else:
             order = [leftmost[k] for k in suffix_array([names[j] for j in leftmost], name)]
     else:
-        order = leftmost
+        order = leftmost or [n - 1]  # the end alone has no larger neighbour before it
     return induce(order)
 
 
@@ -243,7 +243,7 @@ def in_shards(distinct: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def covered(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(_k1, _k2, spans): bytes (start, size) to remove, for every text that has any."""
-    keyed = with_row_key(docs).select("_k1", "_k2", "text")
+    keyed = keyed_texts(docs).select("_k1", "_k2", "text")
     rows = cut(places(keyed, np.zeros(0, dtype=np.uint64), length), "places")
     counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     often = np.array(sorted(r["anchor"] for r in counts.filter(F.col("n") > hot).select("anchor").collect()), dtype=np.int64)  # at most all places / hot numbers
@@ -283,7 +283,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     spans = sized_broadcast(cut(covered(docs, length, **options), "spans"), 32 + 16 * F.size("spans"))
-    keyed = with_row_key(clean_input(docs))
+    keyed = keyed_texts(docs)
     joined = keyed.join(spans, same_key(keyed, spans), "left").select("doc_id", "text", "spans")
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
