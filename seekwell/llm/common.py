@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seekwell.scale import cut, scratch_path  # noqa: F401  (re-exported for the operators)
 
@@ -121,3 +121,13 @@ def unsqueeze(data: bytes, kind: str) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def merged_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, spans) from (keys, start, size): overlapping spans become one. The rows of one text meet in one task; there
+    are fewer than places in the text, for each of its repeats."""
+    text = W.partitionBy(*keys).orderBy("start", "size")
+    before = F.max(F.col("start") + F.col("size")).over(text.rowsBetween(W.unboundedPreceding, -1))
+    fresh = spans.withColumn("_fresh", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    runs = fresh.withColumn("_run", F.sum("_fresh").over(text)).groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
+    return runs.groupBy(*keys).agg(F.collect_list(F.struct("start", (F.col("end") - F.col("start")).alias("size"))).alias("spans"))

@@ -25,9 +25,9 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from seekwell.llm.common import clean_input, cut, sized_broadcast, squeeze, unsqueeze
+from seekwell.llm.common import clean_input, cut, merged_spans, sized_broadcast, squeeze, unsqueeze
 
 WINDOW, GRAM = 13, 4
 HOT, MOST_HOT, SAMPLE = 200_000, 20_000, 0.02
@@ -221,16 +221,7 @@ def covered(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sample: float
     if len(often):
         named = docs.sparkSession.createDataFrame([(int(m),) for m in often], "mini long")
         found = found.unionAll(without_buckets(super_kmers(docs, window).join(F.broadcast(named), "mini", "left_semi"), window))
-    return merged(found.select("doc_id", F.shiftright("place", 32).cast("int").alias("rep"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"), "size"))
-
-
-def merged(spans: DataFrame) -> DataFrame:
-    """(doc_id, rep, spans) with overlapping spans as one; the rows of one text are in one task, and fewer than its windows."""
-    text = W.partitionBy("doc_id", "rep").orderBy("start", "size")
-    before = F.max(F.col("start") + F.col("size")).over(text.rowsBetween(W.unboundedPreceding, -1))
-    fresh = spans.withColumn("fresh", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
-    runs_ = fresh.withColumn("run", F.sum("fresh").over(text)).groupBy("doc_id", "rep", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
-    return runs_.groupBy("doc_id", "rep").agg(F.collect_list(F.struct("start", (F.col("end") - F.col("start")).alias("size"))).alias("spans"))
+    return merged_spans(found.select("doc_id", F.shiftright("place", 32).cast("int").alias("rep"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"), "size"), ["doc_id", "rep"])
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, with_text: bool = False, **options) -> DataFrame:

@@ -7,8 +7,8 @@ smallest hash. So the steps are:
 2. Minimisers that occur once cannot hold a repeated string. For the others the run's bytes are fetched, and equal
    runs are counted with partial sums in every task; from here on each different run travels once.
 3. Runs of a minimiser meet in one shard. The shard's suffix array is built by induced sorting: suffixes are
-   classified, leftmost-smaller substrings are sorted and named, the named string is sorted recursively, and the order
-   is induced in linear time. Prefixes shared with the predecessor are computed in text order (permuted). A string is
+   classified, leftmost-smaller substrings are sorted and named, the named string is sorted recursively (each level on
+   substrings twice as long), and the order is induced in linear time. Prefixes shared with the predecessor are computed in text order (permuted). A string is
    repeated if it shares ``LENGTH`` bytes with a neighbour, or if its run occurs more than once.
 4. The answers go back to all places of the run by its 128-bit hash, and the covered bytes are cut out.
 
@@ -28,11 +28,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from seekwell.llm.common import cut, keyed_texts, same_key, sized_broadcast, whole_groups
+from seekwell.llm.common import cut, keyed_texts, merged_spans, same_key, sized_broadcast, whole_groups
 
 LENGTH, GRAM = 200, 32
 HOT = 500_000
-CHUNK_BYTES, SHARD_BYTES = 1 << 20, 1 << 18
+CHUNK_BYTES, SHARD_BYTES = 1 << 20, 1 << 21
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
@@ -110,96 +110,169 @@ def places(keyed: DataFrame, hot: np.ndarray, length: int = LENGTH) -> DataFrame
     return long_enough.mapInPandas(emitted, f"anchor long, _k1 {kind}, _k2 long, at int, size int")
 
 
-def suffix_array(s, alphabet: int) -> list[int]:
-    """Suffix array of ``s``, whose last symbol is the only 0, by induced sorting."""
-    n = len(s)
-    smaller = [True] * n  # suffix is smaller than its right neighbour
-    for i in range(n - 2, -1, -1):
-        smaller[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and smaller[i + 1])
-    leftmost = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
-    counts = np.bincount(np.asarray(s), minlength=alphabet)
-    ends = counts.cumsum()
-    starts = (ends - counts).tolist()
-    ends = ends.tolist()
-
-    def induce(order: list[int]) -> list[int]:
-        out, tail = [-1] * n, ends[:]
-        for j in reversed(order):
-            c = s[j]
-            tail[c] -= 1
-            out[tail[c]] = j
-        head = starts[:]
-        for i in range(n):
-            j = out[i] - 1
-            if j >= 0 and not smaller[j]:
-                c = s[j]
-                out[head[c]] = j
-                head[c] += 1
-        tail = ends[:]
-        for i in range(n - 1, -1, -1):
-            j = out[i] - 1
-            if j >= 0 and smaller[j]:
-                c = s[j]
-                tail[c] -= 1
-                out[tail[c]] = j
+def sorted_places(names: np.ndarray, span: int = 1) -> np.ndarray:
+    """Places of a named string by the order of its suffixes. ``names`` rank substrings of ``span`` names; if two are
+    equal, substrings twice as long are ranked from them and sorted in turn. The last name is unlike all others."""
+    order = np.argsort(names, kind="stable")
+    if (names[order][1:] != names[order][:-1]).all():
+        return order
+    after = np.concatenate([names[span:] + 1, np.zeros(min(span, len(names)), dtype=np.int64)])
+    _, longer = np.unique(names * (int(names.max()) + 2) + after, return_inverse=True)
+    return sorted_places(longer, 2 * span)
+
+
+class Shard:
+    """Suffix array of many strings, with the work of the first level done bucket by bucket in numpy.
+
+    Symbols: 0 ends the text, 1..m end the strings and are all different, bytes follow. The two passes of an induction
+    run over blocks: whatever a bucket already holds is taken at once, its predecessors are dealt to their buckets in
+    stable order, and those that fall into the same bucket form its next block.
+    """
+
+    def __init__(self, strings: list[bytes]):
+        self.m = m = len(strings)
+        sizes = np.array([len(x) for x in strings])
+        self.starts = np.concatenate([[0], (sizes + 1).cumsum()[:-1]])
+        text = np.zeros(int(sizes.sum()) + m + 1, dtype=np.int32)
+        ends = self.starts + sizes
+        inside = np.ones(len(text) - 1, dtype=bool)
+        inside[ends] = False
+        text[:-1][inside] = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.int32) + (m + 1)
+        text[ends] = np.arange(1, m + 1)
+        self.first = np.concatenate([[len(text) - 1], ends])  # every end symbol occurs once, so its place is known
+        self.text, n = text, len(text)
+        # a suffix has the order of the next place where neighbours differ
+        step = np.sign(text[1:] - text[:-1])
+        place = np.where(step != 0, np.arange(n - 1), n)
+        place = np.minimum.accumulate(place[::-1])[::-1]
+        self.smaller = np.concatenate([np.append(step, 1)[np.minimum(place, n - 1)] > 0, [True]])
+        self.leftmost = np.flatnonzero(self.smaller[1:] & ~self.smaller[:-1]) + 1
+        counts = np.bincount(text, minlength=m + 257)
+        self.ends = counts.cumsum()
+        self.begins = self.ends - counts
+
+    def _deal(self, block: np.ndarray, pointers: np.ndarray, out: np.ndarray, smaller: bool) -> None:
+        j = block - 1
+        j = j[j >= 0]
+        j = j[self.smaller[j] == smaller]
+        if not len(j):
+            return
+        symbol = self.text[j]
+        order = np.argsort(symbol, kind="stable")
+        j, symbol = j[order], symbol[order]
+        first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+        each = np.diff(first, append=len(j))
+        rank = np.arange(len(j)) - np.repeat(first, each)
+        if smaller:
+            out[pointers[symbol] - 1 - rank] = j
+            pointers[symbol[first]] -= each
+        else:
+            out[pointers[symbol] + rank] = j
+            pointers[symbol[first]] += each
+
+    def induce(self, order: np.ndarray) -> np.ndarray:
+        """All suffixes in order, from the leftmost-smaller ones in ``order``."""
+        m, out = self.m, np.full(len(self.text), -1, dtype=np.int64)
+        symbol = self.text[order]
+        stable = np.argsort(symbol, kind="stable")
+        number = np.bincount(symbol, minlength=m + 257)
+        slot = np.repeat(self.ends - number, number) + np.arange(len(order)) - np.repeat(number.cumsum() - number, number)
+        out[slot] = order[stable]
+        out[:m + 1] = self.first
+        head = self.begins.copy()
+        self._deal(out[:m + 1], head, out, False)
+        used = [c for c in range(m + 1, m + 257) if self.ends[c] > self.begins[c]]
+        for c in used:
+            at = self.begins[c]
+            while at < head[c]:
+                at, lo = head[c], at
+                self._deal(out[lo:at], head, out, False)
+            self._deal(out[self.ends[c] - number[c]:self.ends[c]], head, out, False)
+        tail = self.ends.copy()
+        for c in used[::-1]:
+            at = self.ends[c]
+            while at > tail[c]:
+                at, hi = tail[c], at
+                self._deal(out[at:hi][::-1], tail, out, True)
+            self._deal(out[self.begins[c]:head[c]][::-1], tail, out, True)
         return out
 
-    if len(leftmost) > 1:
-        following = dict(zip(leftmost, leftmost[1:] + [n - 1]))
-        names, name, before = {}, 0, None
-        for j in induce(leftmost):
-            if j in following:
-                part = s[j:following[j] + 1]
-                if part != before:
-                    name += 1
-                    before = part
-                names[j] = name - 1
-        if name == len(leftmost):
-            order = sorted(leftmost, key=names.__getitem__)
-        else:
-            order = [leftmost[k] for k in suffix_array([names[j] for j in leftmost], name)]
-    else:
-        order = leftmost or [n - 1]  # the end alone has no larger neighbour before it
-    return induce(order)
-
-
-def permuted_prefixes(s, order: list[int]) -> tuple[list[int], list[int]]:
-    """For each place: bytes shared with the suffix before it in ``order``, and that suffix; in text order, so that
-    each step loses at most one symbol."""
-    n = len(s)
-    previous = [-1] * n
-    for a, b in zip(order, order[1:]):
-        previous[b] = a
-    shared, k = [0] * n, 0
-    for i in range(n):
-        j = previous[i]
-        if j < 0:
-            k = 0
-            continue
-        while s[i + k] == s[j + k]:
+    def _named(self, order: np.ndarray) -> tuple[np.ndarray, int]:
+        """Equal leftmost-smaller substrings get equal numbers, in their order."""
+        n = len(self.text)
+        following = np.full(n, n - 1)
+        following[self.leftmost[:-1]] = self.leftmost[1:]
+        size = following[order] - order + 1
+        same = size[1:] == size[:-1]
+        pairs, k = np.flatnonzero(same), 0
+        while len(pairs):
+            equal = self.text[order[pairs] + k] == self.text[order[pairs + 1] + k]
+            same[pairs[~equal]] = False
             k += 1
-        shared[i] = k
-        k = k - 1 if k else 0
-    return shared, previous
+            pairs = pairs[equal]
+            pairs = pairs[size[pairs] > k]
+        names = np.concatenate([[0], (~same).cumsum()])
+        by_place = np.zeros(n, dtype=np.int64)
+        by_place[order] = names
+        return by_place[self.leftmost], int(names[-1]) + 1
+
+    def suffix_array(self) -> np.ndarray:
+        is_leftmost = np.zeros(len(self.text), dtype=bool)
+        is_leftmost[self.leftmost] = True
+        first = self.induce(self.leftmost)
+        first = first[is_leftmost[first]]
+        if len(first) < 2:
+            return self.induce(first)
+        names, n = self._named(first)
+        if n < len(names):
+            first = self.leftmost[sorted_places(names)]
+        return self.induce(first)
+
+    def shared(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Permuted common prefixes: for each place the symbols shared with the suffix before it in ``order``, and that
+        suffix. Where the symbols to the left agree as well, a prefix is one shorter than that of the place before;
+        only the other places are compared, eight symbols at a time."""
+        n, text = len(self.text), self.text
+        previous = np.full(n, -1, dtype=np.int64)
+        previous[order[1:]] = order[:-1]
+        here = np.arange(n)
+        before = np.where((here > 0) & (previous > 0), text[here - 1] == text[previous - 1], False)
+        before[0] = False
+        places = np.flatnonzero(~before & (previous >= 0))
+        low = np.where(text > self.m, text - self.m - 1, 0).astype(np.uint64)
+        padded = np.concatenate([low, np.zeros(8, dtype=np.uint64)])
+        eight = np.zeros(n, dtype=np.uint64)
+        for k in range(8):
+            eight |= padded[k:k + n] << np.uint64(8 * k)
+        # words that hold an end are never taken as equal: the last steps go symbol by symbol
+        end = np.concatenate([text <= self.m, np.ones(8, dtype=bool)])
+        ends_in = np.concatenate([[0], end.cumsum()])
+        safe = (ends_in[8:8 + n] - ends_in[:n]) == 0
+        size = np.zeros(len(places), dtype=np.int64)
+        todo = np.arange(len(places))
+        while len(todo):
+            a, b = places[todo] + size[todo], previous[places[todo]] + size[todo]
+            todo = todo[safe[a] & safe[b] & (eight[a] == eight[b])]
+            size[todo] += 8
+        todo = np.arange(len(places))
+        while len(todo):
+            a, b = places[todo] + size[todo], previous[places[todo]] + size[todo]
+            todo = todo[text[a] == text[b]]
+            size[todo] += 1
+        out = np.zeros(n, dtype=np.int64)
+        out[places] = size
+        last = np.maximum.accumulate(np.where(~before, here, 0))
+        return np.where(before, out[last] - (here - last), out), previous
 
 
 def repeated_windows(strings: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each string: which of its windows occur elsewhere in ``strings``."""
-    m = len(strings)
-    parts = []
-    for k, x in enumerate(strings):  # symbols 1..m end the strings and are all different
-        parts += [np.frombuffer(x, dtype=np.uint8).astype(np.int64) + (m + 1), np.array([k + 1])]
-    s = np.concatenate([*parts, [0]]).tolist()
-    shared, previous = permuted_prefixes(s, suffix_array(s, m + 257))
-    shared, previous = np.array(shared), np.array(previous)
+    shard = Shard(strings)
+    shared, previous = shard.shared(shard.suffix_array())
     long = shared >= length
     hit = long.copy()
     hit[previous[long]] = True
-    out, at = [], 0
-    for x in strings:
-        out.append(hit[at:at + len(x) - length + 1])
-        at += len(x) + 1
-    return out
+    return [hit[at:at + len(x) - length + 1] for at, x in zip(shard.starts.tolist(), strings)]
 
 
 def intervals(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -275,8 +348,8 @@ def covered(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     distinct = occurrences.groupBy("anchor", "h1", "h2", "run").agg(F.count(F.lit(1)).alias("n"))
     answers = in_shards(distinct, length)
     hit = occurrences.select("h1", "h2", "_k1", "_k2", "at").join(answers, ["h1", "h2"]).select("_k1", "_k2", "at", F.explode("spans").alias("s"))
-    span = F.struct((F.col("at") + F.col("s.at")).alias("start"), (F.col("s.windows") + (length - 1)).alias("size"))
-    return hit.groupBy("_k1", "_k2").agg(F.collect_set(span).alias("spans"))
+    spans = hit.select("_k1", "_k2", (F.col("at") + F.col("s.at")).alias("start"), (F.col("s.windows") + (length - 1)).alias("size"))
+    return merged_spans(spans, ["_k1", "_k2"])
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False, **options) -> DataFrame:

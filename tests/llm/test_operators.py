@@ -89,12 +89,16 @@ def test_suffix_array_and_prefixes():
     rnd = random.Random(3)
     for _ in range(300):
         s = [rnd.randint(1, rnd.choice([1, 2, 4])) for _ in range(rnd.randint(0, 50))] + [0]
-        order = suffix_dedup.suffix_array(s, 5)
-        assert order == sorted(range(len(s)), key=lambda i: s[i:])
-        shared, previous = suffix_dedup.permuted_prefixes(s, order)
-        for a, b in zip(order, order[1:]):
-            n = next(k for k in range(len(s)) if s[a + k] != s[b + k])
-            assert shared[b] == n and previous[b] == a
+        assert suffix_dedup.sorted_places(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+    for _ in range(300):
+        letters = rnd.choice([b"a", b"ab", b"abcd", bytes(range(256))])
+        strings = [bytes(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 3, 40]))) for _ in range(rnd.randint(1, 6))]
+        shard = suffix_dedup.Shard(strings)
+        s, order = shard.text.tolist(), shard.suffix_array()
+        assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+        shared, previous = shard.shared(order)
+        for a, b in zip(order.tolist(), order.tolist()[1:]):
+            assert shared[b] == next(k for k in range(len(s)) if s[a + k] != s[b + k]) and previous[b] == a
 
 
 def brute_fingerprint(text):
