@@ -37,7 +37,7 @@ from seekwell.llm.common import clean_input, cut, squeeze, unsqueeze
 
 LIMIT = 5
 HIGH = 0.999  # what larger counts keep, so that a context of frequent pairs alone can back off as well
-BATCH_TOKENS, PART_ENTRIES = 1_500_000, 1_000_000
+BATCH_TOKENS, PART_ENTRIES = 400_000, 1_000_000
 HOT, MOST_HOT = 1_000_000, 20_000
 BEGIN = -1  # the context before the first word
 
