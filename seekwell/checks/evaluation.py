@@ -10,7 +10,7 @@ from seekwell.checks.retrieval import bm25_run, dense_run
 from seekwell.checks.text import NORM_EN, NORM_ZH, PAIRS_SQL, turn_pairs
 from seekwell.functions import scoring as Q
 from seekwell.functions.text import first_integer, first_line, integers, space_tokens, words
-from seekwell.operators import dense as D, evaluation as E
+from seekwell.operators import dense as D, evaluation as E, ranking as R
 from seekwell.scale import stack
 
 KS = (1, 5, 10, 20)
@@ -68,18 +68,36 @@ def _(t):
     return E.mean_metrics(E.query_metrics(E.judge(bm25_run(t, 20), qrels), E.label_totals(qrels), KS))
 
 
-@register("graded_ndcg", f"""WITH {S.dense('run', 20)},
+@register("graded_ndcg", f"""WITH {S.dense('run', 20)}, c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
  g AS (SELECT r.qid, r.rank, CASE WHEN a.label = b.label THEN 2 WHEN abs(a.label - b.label) = 1 THEN 1 ELSE 0 END AS grade FROM run r JOIN embeddings a ON a.vec_id = r.qid JOIN embeddings b ON b.vec_id = r.docid),
- i AS (SELECT qid, grade, row_number() OVER (PARTITION BY qid ORDER BY grade DESC) AS rank FROM g),
- d AS (SELECT qid, sum(grade / log2(rank + 1)) AS dcg FROM g WHERE rank <= 10 GROUP BY qid), m AS (SELECT qid, sum(grade / log2(rank + 1)) AS best FROM i WHERE rank <= 10 GROUP BY qid)
+ t AS (SELECT e.vec_id AS qid, max(CASE WHEN c.label = e.label THEN c.n - 1 ELSE 0 END) AS n2, sum(CASE WHEN c.label <> e.label THEN c.n ELSE 0 END) AS n1 FROM embeddings e JOIN c ON abs(c.label - e.label) <= 1 GROUP BY e.vec_id),
+ i AS (SELECT qid, unnest(range(1, 11)) AS rank, n2, n1 FROM t),
+ d AS (SELECT qid, sum(grade / log2(rank + 1)) AS dcg FROM g WHERE rank <= 10 GROUP BY qid), m AS (SELECT qid, sum(CASE WHEN rank <= n2 THEN 2 WHEN rank <= n2 + n1 THEN 1 ELSE 0 END / log2(rank + 1)) AS best FROM i GROUP BY qid)
  SELECT 'ndcg@10' AS metric, round(avg(CASE WHEN best > 0 THEN dcg / best ELSE 0 END), 6) AS value FROM d JOIN m USING (qid)""")
 def _(t):
     it = items(t)
     run = dense_run(t, 20)
     labelled = run.join(it.select(F.col("id").alias("qid"), F.col("label").alias("a")), "qid").join(it.select(F.col("id").alias("docid"), F.col("label").alias("b")), "docid")
     gap = F.abs(F.col("a") - F.col("b"))
-    qrels = labelled.select("qid", "docid", F.when(gap == 0, 2).when(gap == 1, 1).otherwise(0).alias("grade"))
-    return E.mean_metrics(E.query_metrics(E.judge(run, qrels), E.label_totals(qrels), [10])).filter("metric = 'ndcg@10'")
+    judged = labelled.select("qid", "docid", "rank", F.when(gap == 0, 2).when(gap == 1, 1).otherwise(0).alias("grade"))
+    # labels follow from classes, so totals come from class sizes and not from pairs
+    sizes = it.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    near = it.select(F.col("id").alias("qid"), F.col("label").alias("own"), F.explode(F.array(F.col("label") - 1, "label", F.col("label") + 1)).alias("label")).join(sizes, "label")
+    grade, n = F.when(F.col("label") == F.col("own"), 2).otherwise(1), F.when(F.col("label") == F.col("own"), F.col("n") - 1).otherwise(F.col("n"))
+    per = near.groupBy("qid", grade.alias("grade")).agg(F.sum(n).alias("n"))
+    totals = per.groupBy("qid").agg(F.sum("n").alias("n_rel"), F.sort_array(F.collect_list(F.struct("grade", "n")), asc=False).alias("grades"))
+    return E.mean_metrics(E.query_metrics(judged, totals, [10])).filter("metric = 'ndcg@10'")
+
+
+@register("ndcg_deep", """WITH r AS (SELECT lang AS qid, doc_id AS docid, 1 + doc_id % 2 AS grade, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents),
+ i AS (SELECT qid, grade, row_number() OVER (PARTITION BY qid ORDER BY grade DESC) AS rank FROM r),
+ d AS (SELECT qid, sum(grade / log2(rank + 1)) AS dcg FROM r WHERE rank <= 3000 GROUP BY qid), m AS (SELECT qid, sum(grade / log2(rank + 1)) AS best FROM i WHERE rank <= 3000 GROUP BY qid)
+ SELECT 'ndcg@3000' AS metric, round(avg(dcg / best), 6) AS value, true AS bounded FROM d JOIN m USING (qid)""")
+def _(t):
+    rows = t.documents.select(F.col("lang").alias("qid"), F.col("doc_id").alias("docid"), (F.lit(1) + F.pmod("doc_id", F.lit(2))).alias("grade"))
+    run = R.top_k(rows.withColumn("score", -F.col("docid")), "qid", "score", None)
+    out = E.mean_metrics(E.query_metrics(E.judge(run, rows), E.label_totals(rows), [3000])).filter("metric = 'ndcg@3000'")
+    return out.withColumn("bounded", F.col("value") <= 1)
 
 
 @register("rerank_map_mrr", f"""WITH {S.dense('run', 20)},

@@ -142,9 +142,13 @@ def _(t):
     return P.render_templates(rows, TEMPLATES, 300).select("doc_id", "prompt", F.array_join(gold, " ").alias("gold"))
 
 
-@register("hook_embeddings")
+@register("hook_embeddings", r"""WITH t AS (SELECT item_id AS qid, unnest(list_filter(string_split_regex('query: ' || array_to_string(string_split(text, ' ')[1:128], ' '), '\s+'), lambda x: x <> '')) AS w FROM benchmark),
+ v AS (SELECT qid, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos, sum(CASE WHEN ('0x' || substr(md5(w), 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) AS s FROM t GROUP BY ALL),
+ n AS (SELECT qid, sqrt(sum(s * s)) AS n FROM v GROUP BY qid), g AS (SELECT item_id AS qid, unnest(range(64)) AS pos FROM benchmark)
+ SELECT qid, pos::INT AS pos, round((coalesce(s, 0) / CASE WHEN n = 0 THEN 1 ELSE n END)::FLOAT::DOUBLE, 5) AS x FROM g LEFT JOIN v USING (qid, pos) JOIN n USING (qid)""")
 def _(t):
-    return K.embed(t.topics, "query", K.hashing_encoder(64), "query: ", 128).select("qid", F.posexplode("embedding").alias("pos", "x"))
+    rows = K.embed(t.topics, "query", K.hashing_encoder(64), "query: ", 128).select("qid", F.posexplode("embedding").alias("pos", "x"))
+    return rows.withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
 def overlap_model():

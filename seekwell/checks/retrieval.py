@@ -93,6 +93,13 @@ def _(t):
     return L.impact_search(q, d, 100)
 
 
+@register("impact_search_deep", f"WITH {LEXICAL_SQL}, s AS (SELECT qid, docid, round(sum(qw.w::DOUBLE * dw.w::DOUBLE), 6) AS score FROM qw JOIN dw USING (token) GROUP BY qid, docid) "
+          + S.ranked("s", 5000))
+def _(t):
+    q, d = impact_parts(t)
+    return L.impact_search(q, d, 5000)
+
+
 @register("impact_topics", f"WITH {LEXICAL_SQL}, r AS (SELECT qid, string_agg(trim(repeat(token || ' ', w::INT)), ' ' ORDER BY token) AS topic FROM qw GROUP BY qid) "
           "SELECT item_id AS qid, coalesce(topic, '0') AS topic FROM benchmark LEFT JOIN r ON r.qid = item_id")
 def _(t):
@@ -199,6 +206,14 @@ def _(t):
     return X.fuse_runs({"sparse": (s, 0.5, 10000), "dense": (d, 0.2, 1)})
 
 
+@register("fuse_deep", f"""WITH {NEIGHBOUR_SQL},
+ u AS (SELECT qid, docid, 0.5e0 * score / 10000 AS part FROM other UNION ALL SELECT qid, docid, 0.2e0 * score FROM dense),
+ f AS (SELECT qid, docid, round(sum(part), 6) AS score FROM u GROUP BY qid, docid) """ + S.ranked("f", 5000))
+def _(t):
+    d, s = two_runs(t)
+    return X.fuse_runs({"sparse": (s, 0.5, 10000), "dense": (d, 0.2, 1)}, 5000)
+
+
 THREE_SQL = NEIGHBOUR_SQL + """,
 mv AS (SELECT vec_id, [e[1:16], e[17:32], e[33:48], e[49:64]] AS m FROM dense_v),
 c AS (SELECT qid, docid FROM dense UNION SELECT qid, docid FROM other),
@@ -239,7 +254,7 @@ def _(t):
    CASE WHEN ea.label = eb.label THEN abs(a.e[1]) * abs(b.e[1]) ELSE 0 END AS sparse
    FROM r JOIN dense_v a ON a.vec_id = r.qid JOIN dense_v b ON b.vec_id = r.docid JOIN embeddings ea ON ea.vec_id = r.qid JOIN embeddings eb ON eb.vec_id = r.docid)
  SELECT qid, docid, round(dense, 6) AS dense, round(sparse, 6) AS sparse, colbert,
-   round((sparse * 0.3e0 + dense) / 1.3e0, 6) AS sparse_dense FROM m""")
+   round((sparse * 0.3e0 + dense) / 1.3e0, 6) AS sparse_dense, round((colbert + sparse * 0.3e0 + dense) / 2.3e0, 5) AS all_modes FROM m""")
 def _(t):
     d, s = two_runs(t)
     pairs = stack(d, s).select("qid", "docid").distinct()
@@ -248,7 +263,8 @@ def _(t):
         F.create_map(F.col("label").cast("string"), F.abs(F.col("embedding")[0])).alias(f"{p}_sparse"))
     scored = X.multi_mode_score(pairs.join(side("q", "qid"), "qid").join(side("d", "docid"), "docid"), (1.0, 0.3, 1.0))
     return scored.select("qid", "docid", F.round("dense", 6).alias("dense"), F.round("sparse", 6).alias("sparse"),
-                         F.round("colbert", 6).alias("colbert"), F.round("sparse_dense", 6).alias("sparse_dense"))
+                         F.round("colbert", 6).alias("colbert"), F.round("sparse_dense", 6).alias("sparse_dense"),
+                         F.round((F.round("colbert", 6) + F.col("sparse") * 0.3 + F.col("dense")) / 2.3, 5).alias("all_modes"))
 
 
 @register("rerank_by_mode", f"WITH {THREE_SQL}, j AS (SELECT d.qid, d.docid, m.score FROM dense d JOIN multi m USING (qid, docid)) " + S.ranked("j"))
@@ -284,6 +300,12 @@ def _(t):
     return R.shard(t.documents.select("doc_id"), "doc_id", 7)
 
 
+@register("query_shards_text_ids", """WITH n AS (SELECT count(*) AS c FROM documents), p AS (SELECT md5(doc_id::VARCHAR) AS qid, row_number() OVER (ORDER BY md5(doc_id::VARCHAR)) - 1 AS i FROM documents)
+ SELECT qid, least(floor(i / greatest(floor(c / 7), 1)), 6)::INT AS shard FROM p CROSS JOIN n""")
+def _(t):
+    return R.shard(t.documents.select(F.md5(F.col("doc_id").cast("string")).alias("qid")), "qid", 7)
+
+
 @register("rank_window", f"WITH {S.bm25('run', 50)} SELECT * FROM run WHERE rank > 2 AND rank <= 20")
 def _(t):
     return R.rank_window(bm25_run(t, 50), 2, 20)

@@ -162,6 +162,13 @@ def _(t):
     return merged(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("merged_small_sources_missing", """WITH s AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN lang || source END AS s FROM documents), c AS (SELECT s, count(*) AS n FROM s GROUP BY s),
+ m AS (SELECT doc_id, CASE WHEN n < 6 THEN 'small' ELSE s.s END AS source FROM s JOIN c ON c.s IS NOT DISTINCT FROM s.s WHERE n >= 6 OR (SELECT sum(n) FROM c WHERE n < 6) >= 20) SELECT source, count(*) AS n FROM m GROUP BY source""")
+def _(t):
+    rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.concat("lang", "source")).alias("source"))
+    return H.merge_small_sources(rows, "source", 6, 20).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
 BATCHES = """r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS p, count(*) OVER (PARTITION BY source) AS n FROM documents),
  b AS (SELECT source, doc_id, (p - 1) // 6 AS batch, n FROM r)"""
 
