@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seekwell.llm.common import ascii_lower, by_key, clean_input, same_key, sized_broadcast, with_row_key
+from seekwell.llm.common import ascii_lower, by_key, clean_input, cut, same_key, sized_broadcast, with_row_key
 
 # A word is a run of digits, Latin letters and everything beyond ASCII; A-Z is lowered after splitting.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -81,7 +81,7 @@ def without_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """``docs`` without the rows whose text holds a benchmark window; all columns stay."""
     keyed = with_row_key(docs)
     dirty = contamination(by_key(keyed), benchmark, window).filter("contaminated").select("doc_id._k1", "doc_id._k2").distinct()
-    dirty = sized_broadcast(dirty, F.lit(24))
+    dirty = sized_broadcast(cut(dirty, "dirty"), F.lit(24))  # written, so that measuring it does not scan the texts again
     return keyed.join(dirty, same_key(keyed, dirty), "left_anti").select("_row.*")
 
 
