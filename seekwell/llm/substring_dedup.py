@@ -31,7 +31,7 @@ from seekwell.llm.common import clean_input, cut, merged_spans, sized_broadcast,
 
 WINDOW, GRAM = 13, 4
 HOT, MOST_HOT, SAMPLE = 200_000, 20_000, 0.02
-CHUNK_WORDS, BLOCK_WORDS, PART_BYTES = 200_000, 4_000_000, 16 << 20
+CHUNK_WORDS, BLOCK_WORDS, PART_BYTES = 100_000, 1_000_000, 8 << 20
 
 
 def word_list(text: str | None) -> list[bytes]:
