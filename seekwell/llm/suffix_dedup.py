@@ -5,7 +5,7 @@ smallest hash. So the steps are:
 
 1. Every text is cut into runs of windows that share a minimiser (slim rows: minimiser, document key, place, size).
 2. Minimisers that occur once cannot hold a repeated string. For the others the run's bytes are fetched, and equal
-   runs are counted with partial sums in every task; from here on each different run travels once.
+   runs are counted in every task, so a run travels at most once from each.
 3. Runs of a minimiser meet in one shard. The shard's suffix array is built by induced sorting: suffixes are
    classified, leftmost-smaller substrings are sorted and named, the named string is sorted recursively (each level on
    substrings twice as long), and the order is induced in linear time. Prefixes shared with the predecessor are computed in text order (permuted). A string is
@@ -281,8 +281,12 @@ def intervals(hit: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
+def run_hashes() -> dict:
+    return {"h1": F.xxhash64("run"), "h2": F.xxhash64(F.lit(1), "run")}
+
+
 def in_shards(distinct: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(h1, h2, spans) of the runs with repeated windows; distinct: (anchor, h1, h2, run, n)."""
+    """(h1, h2, spans) of the runs with repeated windows; distinct: (anchor, run, n), a run once from each task."""
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard: list[tuple] = []
 
@@ -295,12 +299,17 @@ def in_shards(distinct: DataFrame, length: int = LENGTH) -> DataFrame:
         for b in whole_groups(batches, ["anchor"]):
             anchor, n = b["anchor"].to_numpy(), b["n"].to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
-            rows, whole = list(zip(b["h1"].tolist(), b["h2"].tolist(), b["run"])), []
+            rows, whole = list(zip(b["run"], b["h1"].tolist(), b["h2"].tolist(), n.tolist())), []
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                whole += [(*rows[k][:2], [(0, len(rows[k][2]) - length + 1)]) for k in range(lo, hi) if n[k] > 1]
-                if hi - lo > 1 and (n[lo:hi] == 1).any():
-                    shard += rows[lo:hi]
-                    size += sum(len(r[2]) for r in rows[lo:hi])
+                times: dict[bytes, int] = {}
+                hashes = {}
+                for run, h1, h2, k in rows[lo:hi]:
+                    times[run] = times.get(run, 0) + k
+                    hashes[run] = (h1, h2)
+                whole += [(*hashes[run], [(0, len(run) - length + 1)]) for run, k in times.items() if k > 1]
+                if len(times) > 1 and min(times.values()) == 1:
+                    shard += [(*hashes[run], run) for run in times]
+                    size += sum(map(len, times))
                     if size > SHARD_BYTES:
                         yield sort_shard()
                         size = 0
@@ -308,7 +317,7 @@ def in_shards(distinct: DataFrame, length: int = LENGTH) -> DataFrame:
         if shard:
             yield sort_shard()
 
-    ordered = distinct.repartition("anchor").sortWithinPartitions("anchor")
+    ordered = distinct.repartition("anchor").sortWithinPartitions("anchor").withColumns(run_hashes())
     found = ordered.mapInPandas(judged, "h1 long, h2 long, spans array<struct<at:int,windows:int>>")
     # a run that occurs more than once is whole; its spans from the array are parts of that
     return found.groupBy("h1", "h2").agg(F.max_by("spans", F.aggregate("spans", F.lit(0), lambda n, s: n + s["windows"])).alias("spans"))
@@ -341,11 +350,32 @@ def covered(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
                     out, n = [], 0
             yield pd.DataFrame(out, columns=["anchor", "_k1", "_k2", "at", "run"])
 
+    def combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        times: dict[tuple, int] = {}
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, n) for k, n in times.items()], columns=["anchor", "run", "n"])
+            times.clear()
+            return out
+
+        for b in batches:
+            for text, runs_ in zip(b["text"], b["_runs"]):
+                data = raw_bytes(text)
+                for r in runs_:
+                    key = (r["anchor"], data[r["at"]:r["at"] + r["size"]])
+                    size += 0 if key in times else r["size"]
+                    times[key] = times.get(key, 0) + 1
+                if size > 32 * CHUNK_BYTES:
+                    yield flush()
+                    size = 0
+        yield flush()
+
     texts = keyed.filter(F.octet_length("text") >= length)
     with_runs = texts.join(wanted.withColumnsRenamed({"_k1": "_w1", "_k2": "_w2"}), F.col("_k1").eqNullSafe(F.col("_w1")) & (F.col("_k2") == F.col("_w2")))
-    occurrences = (with_runs.select("_k1", "_k2", "text", "_runs").mapInPandas(fetched, f"anchor long, _k1 {kind}, _k2 long, at int, run binary")
-                   .withColumns({"h1": F.xxhash64("run"), "h2": F.xxhash64(F.lit(1), "run")}))
-    distinct = occurrences.groupBy("anchor", "h1", "h2", "run").agg(F.count(F.lit(1)).alias("n"))
+    with_runs = with_runs.select("_k1", "_k2", "text", "_runs")
+    occurrences = with_runs.mapInPandas(fetched, f"anchor long, _k1 {kind}, _k2 long, at int, run binary").withColumns(run_hashes())
+    distinct = with_runs.mapInPandas(combined, "anchor long, run binary, n long")
     answers = in_shards(distinct, length)
     hit = occurrences.select("h1", "h2", "_k1", "_k2", "at").join(answers, ["h1", "h2"]).select("_k1", "_k2", "at", F.explode("spans").alias("s"))
     spans = hit.select("_k1", "_k2", (F.col("at") + F.col("s.at")).alias("start"), (F.col("s.windows") + (length - 1)).alias("size"))
