@@ -81,10 +81,21 @@ def super_kmers(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows, mini, owner, start, packed = chunk([(d, r, word_list(t)) for d, r, t in zip(b["doc_id"], b["rep"], b["text"])], window)
+        def of(rows: list[tuple]) -> pd.DataFrame:
+            rows, mini, owner, start, packed = chunk(rows, window)
             place = np.array([r[1] for r in rows], dtype=np.int64)[owner] << 32 | start
-            yield pd.DataFrame({"mini": mini, "doc_id": [rows[k][0] for k in owner.tolist()], "place": place, "packed": packed})
+            return pd.DataFrame({"mini": mini, "doc_id": [rows[k][0] for k in owner.tolist()], "place": place, "packed": packed})
+
+        for b in batches:
+            rows, n = [], 0
+            for doc_id, rep, text in zip(b["doc_id"], b["rep"], b["text"]):
+                rows.append((doc_id, rep, word_list(text)))
+                n += len(rows[-1][2])
+                if n > CHUNK_WORDS:
+                    yield of(rows)
+                    rows, n = [], 0
+            if rows:
+                yield of(rows)
 
     return known_texts(docs).mapInPandas(emitted, f"mini long, doc_id {kind}, place long, packed binary")
 
@@ -220,7 +231,8 @@ def covered(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sample: float
     found = in_buckets(blocks(docs, max(1, -(-size // PART_BYTES)), often, window), kind, window)
     if len(often):
         named = docs.sparkSession.createDataFrame([(int(m),) for m in often], "mini long")
-        found = found.unionAll(without_buckets(super_kmers(docs, window).join(F.broadcast(named), "mini", "left_semi"), window))
+        rows = cut(super_kmers(docs, window).join(F.broadcast(named), "mini", "left_semi"), "hot")  # read three times below
+        found = found.unionAll(without_buckets(rows, window))
     return merged_spans(found.select("doc_id", F.shiftright("place", 32).cast("int").alias("rep"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"), "size"), ["doc_id", "rep"])
 
 
