@@ -2,8 +2,8 @@
 
 P(w | h) is the discounted pair count over the count of h if the pair was seen in training, else the backoff weight of
 h times P(w); P(w) is the discounted word count, and what the discounts free goes to the class of unseen words.
-Discounts are Good-Turing's for counts up to ``LIMIT``. A backoff weight is the mass the seen pairs of h leave, over
-the mass their words leave, so every context sums to one exactly.
+Discounts are Good-Turing's for counts up to ``LIMIT``, from smoothed counts of counts. A backoff weight is the mass
+the seen pairs of h leave, over the mass their words leave, so every context sums to one exactly.
 
 Texts are read once and become batches: distinct word hashes and the tokens as numbers into them. All tables are
 partitioned, and what moves is packed arrays, each distinct word or pair of a batch once:
@@ -43,16 +43,23 @@ BEGIN = -1  # the context before the first word
 
 
 def discounts(low: list[int]) -> np.ndarray:
-    """Factors for counts 0..LIMIT and, last, all above, from the counts of counts 1..LIMIT+1; index 0 is unused. Where
-    Good-Turing's are not between 0 and 1 (few data), a constant is taken off each count instead."""
-    n = np.array([0, *low], dtype=float)
-    r = np.arange(1, LIMIT + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        tail = (LIMIT + 1) * n[LIMIT + 1] / n[1]
-        d = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail)
-    if not (np.isfinite(d).all() and (d > 0).all() and (d < 1).all()):
-        off = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-        d = (r - off) / r
+    """Factors for counts 0..LIMIT and, last, all above, from the counts of counts 1..LIMIT+1; index 0 is unused. The
+    counts of counts are replaced by their log-linear fit before Good-Turing's formula (Gale and Sampson: each is first
+    spread over the gap to its neighbours). A slope below -1 puts every factor between 0 and 1. Without counts 1 or 2, or
+    with a flatter fit, there is no such estimate and a constant is taken off each count instead."""
+    n, r = np.array(low, dtype=float), np.arange(1, LIMIT + 1)
+    slope = 0.0
+    if n[0] and n[1]:
+        at = np.flatnonzero(n) + 1
+        below = np.concatenate([[0], at[:-1]])
+        above = np.concatenate([at[1:], [2 * at[-1] - below[-1]]])
+        x, y = np.log(at), np.log(2 * n[at - 1] / (above - below))
+        slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
+    if slope < -1:
+        tail = (LIMIT + 1) ** (slope + 1)
+        d = (((r + 1) / r) ** (slope + 1) - tail) / (1 - tail)
+    else:
+        d = (r - (n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5)) / r
     return np.concatenate([[1.0], d, [HIGH]])
 
 
