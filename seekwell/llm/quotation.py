@@ -2,8 +2,10 @@
 
 A line's quote level is the number of ``>`` in its prefix. Neighbouring lines of one level without a blank line
 between are a passage; level 0 passages are a message's own words, the others quote something. Passages are normalised
-(prefix off, white space squeezed, lower case) and hashed with 256 bits. The original of a quoted passage is the
-earliest message of the conversation that has it as its own words. A message replies to the latest original among its
+(prefix off, white space and line breaks squeezed, lower case) and hashed with 256 bits, and so are their lines. The
+original of a quoted passage is the earliest message of the conversation that has it as its own words. If no earlier
+message has all of it, it is linked by its lines: each needs an earlier message with that own line, and the latest of the
+lines' earliest messages is the original. A message replies to the latest original among its
 linked quotes of the lowest level. Threads and depths follow by pointer doubling over reply links, and messages are
 numbered inside their thread so that every message comes after the one it answers.
 
@@ -14,7 +16,8 @@ conversation is numbered by many tasks.
 Defined results: a null or empty text has no passages; messages with a null conversation or turn are never linked and
 start threads of their own; rows that share conversation and turn are one message (their quotes are taken together,
 each keeps its text); a quote whose original is not earlier stays unlinked; ties of normalised text go to the earliest
-message; an empty table gives an empty result; other columns are ignored.
+message; a quote that is both trimmed and wrapped anew stays unlinked; an empty table gives an empty result; other
+columns are ignored. ``sql`` has only whole passages with their line breaks, which is the same without such quotes.
 """
 
 from __future__ import annotations
@@ -39,15 +42,19 @@ def parsed_lines(text: Column) -> Column:
 
 
 def passages(lines: Column) -> Column:
-    """Array of (level, hash) for the passages of parsed lines."""
+    """Array of (level, hash, wrapped, lines) for the passages of parsed lines: hashes of the passage, of the passage with
+    its line breaks and of its distinct lines."""
     n = F.size(lines)
     full = lambda i: F.get(lines, i)["norm"] != ""
     joined = lambda i, j: F.coalesce(full(i) & full(j) & (F.get(lines, i)["level"] == F.get(lines, j)["level"]), F.lit(False))
     every = F.sequence(F.lit(0), n - 1)
     starts = F.filter(every, lambda i: full(i) & ~F.when(i > 0, joined(i - 1, i)).otherwise(F.lit(False)))
     ends = F.filter(every, lambda i: full(i) & ~joined(i, i + 1))
-    text = lambda a, b: F.array_join(F.transform(F.slice(lines, a + 1, b - a + 1), lambda x: x["norm"]), "\n")
-    return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(lines, a)["level"].alias("level"), F.sha2(text(a, b), 256).alias("hash")))
+    text = lambda a, b: F.transform(F.slice(lines, a + 1, b - a + 1), lambda x: x["norm"])
+    hashed = lambda a, b, by: F.sha2(F.array_join(text(a, b), by), 256)
+    return F.zip_with(starts, ends, lambda a, b: F.struct(
+        F.get(lines, a)["level"].alias("level"), hashed(a, b, " ").alias("hash"), hashed(a, b, "\n").alias("wrapped"),
+        F.array_distinct(F.transform(text(a, b), lambda x: F.sha2(x, 256))).alias("lines")))
 
 
 def threads(messages: DataFrame) -> DataFrame:
@@ -57,9 +64,14 @@ def threads(messages: DataFrame) -> DataFrame:
     quotes = F.filter("_passages", lambda p: p["level"] > 0)
     shown = rows.select("conv_id", "turn", "role", F.btrim(F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["raw"]), "\n"), F.lit(" \t\r\n")).alias("own_text"),
                         F.size(quotes).alias("n_quotes"), F.coalesce(F.array_max(F.transform("_lines", lambda x: x["level"])), F.lit(0)).alias("max_level"))
-    each = rows.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", F.explode(F.array_distinct("_passages")).alias("p")).select("conv_id", "turn", "p.level", "p.hash")
-    origins = each.filter("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    linked = each.filter("level > 0").join(origins, ["conv_id", "hash"]).filter("origin < turn")
+    each = rows.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", F.explode(F.array_distinct("_passages")).alias("p")).select("conv_id", "turn", "p.*")
+    keys = F.explode(F.concat(F.array(F.struct(F.col("hash").alias("key"), F.lit(True).alias("whole"))), F.transform("lines", lambda x: F.struct(x.alias("key"), F.lit(False).alias("whole")))))
+    origins = each.filter("level = 0").select("conv_id", "turn", keys.alias("k")).groupBy("conv_id", F.col("k.key").alias("key"), F.col("k.whole").alias("whole")).agg(F.min("turn").alias("origin"))
+    quoted = each.filter("level > 0").select("conv_id", "turn", "level", "hash", "wrapped", F.size("lines").alias("n_lines"), keys.alias("k"))
+    quoted = quoted.select("conv_id", "turn", "level", "hash", "wrapped", "n_lines", "k.*").distinct()
+    found = quoted.join(origins, ["conv_id", "key", "whole"]).filter("origin < turn").groupBy("conv_id", "turn", "level", "hash", "wrapped", "n_lines").agg(
+        F.max(F.when(F.col("whole"), F.col("origin"))).alias("_whole"), F.max(F.when(~F.col("whole"), F.col("origin"))).alias("_line"), F.count_if(~F.col("whole")).alias("_lines"))
+    linked = found.withColumn("origin", F.coalesce("_whole", F.when(F.col("_lines") == F.col("n_lines"), F.col("_line")))).filter("origin IS NOT NULL")
     best = F.min(F.struct("level", (-F.col("origin")).alias("late")))
     replies = cut(linked.groupBy("conv_id", "turn").agg(F.count_distinct("level", "hash").alias("n_linked"), (-best["late"]).alias("parent_turn")), "replies")
     climbed = replies.select("conv_id", "turn", F.col("parent_turn").alias("thread_turn"), F.lit(1).alias("depth"))
