@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekwell.llm import decontamination, katz, packing_genetic, quality_classifier, quality_rules, quotation, ranked_search, secrets, simhash, substring_dedup, suffix_dedup, toxicity
+from seekwell.llm import collocations, decontamination, katz, packing_genetic, quality_classifier, quality_rules, quotation, ranked_search, secrets, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, folder, "documents"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_collocations": op11_collocations,
     "op12_ranked_search": op12_ranked_search,
     "op13_toxicity": op13_toxicity,
 }
@@ -83,5 +88,6 @@ SQL: dict[str, str] = {
     "op3_decontamination": decontamination.sql(),
     "op7_quality_rules": quality_rules.sql(),
     "op8_substring_dedup": substring_dedup.sql(),
+    "op11_collocations": collocations.sql(),
     "op12_ranked_search": ranked_search.sql(),
 }
