@@ -3,7 +3,7 @@
 Two zstandard dictionaries are trained: one on windows of ordinary documents, one on windows of toxic documents. A
 toxic document is mostly ordinary text, so its dictionary is trained in rounds: each round trains on the toxic
 documents that earlier rounds do not explain and keeps the trained words that stand in toxic windows many times more
-often than in ordinary ones. Every document is cut into overlapping windows of three words, and each window is compressed twice: after
+often than in ordinary ones. Every document is cut into overlapping windows of four words, and each window is compressed twice: after
 the ordinary dictionary, and after the toxic one followed by the ordinary one. The ordinary bytes stand at the same
 distance both times, so the lengths differ only where the toxic dictionary helps. How often a document's windows gain
 2 to 6 bytes, and how much the best one gains, is turned into a probability by a logistic curve calibrated on labelled
@@ -35,13 +35,13 @@ from seekwell.llm.common import clean_input
 
 HOLD_OUT, HOLD_OUT_PART = 5, 0
 TOXIC_BYTES, ORDINARY_BYTES, MAX_ROWS = 6_000_000, 16_000_000, 20_000
-WORDS, STRIDE = 3, 2
+WORDS, STRIDE = 4, 3
 ORDINARY_SIZE, TOXIC_SIZE, MOST_SAMPLES, ROUNDS = 96 * 1024, 16 * 1024, 150_000, 6
-LEVEL, LEAST_WORD, EXPLAINED, TIMES_MORE = 12, 4, 3, 30
+LEVEL, LEAST_WORD, EXPLAINED, TIMES_MORE = 9, 4, 3, 30
 GAINS = (2, 3, 4, 5, 6)
 THRESHOLD = 0.5
 # A long run after each window: a block is only stored compressed when that saves some bytes, which the run always does.
-TAIL = b" " + b"\x01" * 64
+TAIL = b" " + b"\x01" * 32
 # Letters and digits stay (A-Z in lower case), all beyond ASCII stays, the rest becomes a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 

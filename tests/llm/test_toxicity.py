@@ -72,6 +72,6 @@ def test_awkward_rows(spark, model):
 
 
 def test_windows():
-    parts = toxicity.windows("Ab, cd-EF é1 g")
-    assert [p.rstrip(b"\x01").split() for p in parts] == [[b"ab", b"cd", b"ef"], [b"ef", "é1".encode(), b"g"]]
+    parts = toxicity.windows("Ab, cd-EF é1 g h")
+    assert [p.rstrip(b"\x01").split() for p in parts] == [[b"ab", b"cd", b"ef", "é1".encode()], ["é1".encode(), b"g", b"h"]]
     assert toxicity.windows(None) == toxicity.windows(" .,") == [] and len(toxicity.windows("one")) == 1
