@@ -1,46 +1,56 @@
 """Inverted index, BM25 and sparse-weight retrieval.
 
-All term-based searches are one operator, :func:`term_match`: documents and queries are
-long tables of term weights, the score is the sum of weight products over shared terms.
+All term-based searches are one operator, :func:`seekwell.operators.blocks.search_blocks`: the
+score is the sum of weight products over shared terms, documents lie in blocks of postings
+with bounds, and a task skips the blocks that cannot reach a query's best ``k``.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seekwell.functions.text import token_counts, tokens
-from seekwell.operators.ranking import top_k
-from seekwell.scale import MAX_HOT_KEYS, ROWS_PER_SALT, fits_broadcast
+from seekwell.operators.blocks import blocks_of_postings, blocks_of_texts, corpus_counts, postings_of, search_blocks, term_counts
+from seekwell.scale import BROADCAST_BYTES, BROADCAST_TERM_ROWS, cut
 
 
 @dataclass
 class LexicalIndex:
-    """Postings ``(docid, token, tf, dl)`` and one row of corpus statistics.
+    """Postings ``(docid, token, tf, dl)`` and one row of corpus statistics, as views.
 
-    ``terms`` ``(token, df)`` is present for saved indexes; otherwise document
-    frequencies are counted for the query terms only.
+    A new index keeps the token lists ``docs`` ``(docid, toks)``, which a search cuts into
+    blocks of the query's tokens; a saved one has ``blocks`` of all tokens and ``terms``
+    ``(token, df)``. An index of postings alone is brought together by document first.
     """
 
     postings: DataFrame
     stats: DataFrame
     terms: DataFrame | None = None
+    docs: DataFrame | None = None
+    stop: list[str] | None = None
+    blocks: DataFrame | None = None
 
     def save(self, path: str) -> None:
-        """Postings are range-sorted by token, so a search prunes row groups and a frequent
-        token spreads over many files."""
-        out = self.postings.repartitionByRange("token", "docid").sortWithinPartitions("token", "docid")
-        out.write.mode("overwrite").parquet(f"{path}/postings")
-        spark = self.postings.sparkSession
-        saved = spark.read.parquet(f"{path}/postings")
-        term_stats(saved).write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        """Blocks of postings, and the document frequencies sorted by token, so that a search prunes their row groups."""
+        (blocks_of_texts(self.docs, None, self.stop) if self.docs is not None else self.blocks).write.mode("overwrite").parquet(f"{path}/blocks")
+        saved = self.postings.sparkSession.read.parquet(f"{path}/blocks")
+        term_counts(saved).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/terms")
+        corpus_counts(saved).write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "LexicalIndex":
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return LexicalIndex(read("postings"), read("stats"), read("terms"))
+        return LexicalIndex.of_blocks(read("blocks"), read("stats"), read("terms"))
+
+    @staticmethod
+    def of_blocks(blocks: DataFrame, stats: DataFrame | None = None, terms: DataFrame | None = None) -> "LexicalIndex":
+        return LexicalIndex(postings_of(blocks), corpus_counts(blocks) if stats is None else stats, terms, blocks=blocks)
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -61,7 +71,7 @@ def build_index(corpus: DataFrame, tokenizer="whitespace", stop: list[str] | Non
         .select("docid", "token", F.col("n").alias("tf"), "dl")
     )
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("n_tokens"))
-    return LexicalIndex(postings, stats)
+    return LexicalIndex(postings, stats, docs=toks.select("docid", F.col("_t").alias("toks")), stop=list(stop) if stop else None)
 
 
 def query_terms(queries: DataFrame, tokenizer="whitespace", stop: list[str] | None = None) -> DataFrame:
@@ -72,44 +82,12 @@ def query_terms(queries: DataFrame, tokenizer="whitespace", stop: list[str] | No
     return queries.select("qid", F.inline(token_counts(t))).select("qid", "token", F.col("n").alias("qtf"))
 
 
-def term_match(doc_terms: DataFrame, q_terms: DataFrame, doc_weight: Column, k: int, n_terms: Column | None = None,
-               asked: DataFrame | None = None) -> DataFrame:
-    """Top ``k`` documents per query by the sum of ``w * doc_weight`` over shared tokens.
-
-    ``q_terms`` is ``(qid, token, w)`` and optionally ``df``; ``asked`` is the same list of
-    tokens before weighting, which is cheaper to count. With a query side below the
-    broadcast bound, matching postings are placed by document: the sum per (query,
-    document) then needs no further shuffle and every task sends only its own top ``k``.
-    A larger query side joins by token; tokens with many postings are spread over salts.
-    """
-    asked = q_terms if asked is None else asked
-    if fits_broadcast(asked.select("qid", "token")):
-        q = F.broadcast(q_terms.select("qid", "token", "w"))
-        vocabulary = F.broadcast(asked.select("token").distinct())
-        placed = doc_terms.join(vocabulary, "token", "left_semi").repartition("docid")
-        matched = placed.join(q, "token")
-    else:
-        matched = _salted_match(doc_terms, q_terms, n_terms)
-    scored = matched.groupBy("qid", "docid").agg(F.round(F.sum(F.col("w") * doc_weight), 6).alias("score"))
-    return top_k(scored.filter(F.col("score") != 0), "qid", "score", k)
-
-
-def _salted_match(doc_terms: DataFrame, q_terms: DataFrame, n_terms: Column | None) -> DataFrame:
-    frequency = q_terms.select("token", "df").distinct() if "df" in q_terms.columns else term_stats(
-        doc_terms.join(q_terms.select("token").distinct(), "token", "left_semi"))
-    # All frequencies add up to at most n_terms postings, so at most MAX_HOT_KEYS tokens
-    # exceed n_terms / MAX_HOT_KEYS and the hot list is always small.
-    total = n_terms if n_terms is not None else doc_terms.agg(F.count(F.lit(1))).scalar()
-    hot_df = F.greatest(F.lit(ROWS_PER_SALT), F.ceil(total / F.lit(MAX_HOT_KEYS)))
-    hot = F.broadcast(
-        frequency.withColumn("_cut", hot_df).filter(F.col("df") > F.col("_cut"))
-        .select("token", F.ceil(F.col("df") / F.col("_cut")).cast("int").alias("_salts"))
-    )
-    docs = doc_terms.join(hot, "token", "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64("docid"), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
-    q = q_terms.select("qid", "token", "w").join(hot, "token", "left").select(
-        "qid", "token", "w", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)).alias("_salt"))
-    return docs.join(q, ["token", "_salt"])
+def bounded_parts(rows: DataFrame, max_rows: int | None = None) -> list[DataFrame]:
+    """``rows`` of queries in parts that may reach every task, whole queries each: one part if the measured rows and
+    bytes stay below the bounds, else as many as needed, dealt by a hash of the query."""
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("token") + 24), F.lit(0)).alias("bytes")).first()
+    n = max(1, math.ceil(size["n"] / (max_rows or BROADCAST_TERM_ROWS)), math.ceil(size["bytes"] / BROADCAST_BYTES))
+    return [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
 
 
 def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4,
@@ -117,22 +95,50 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 0.9
     """BM25 run ``(qid, docid, score, rank)``.
 
     ``length_norm=False`` uses the raw document length, ``True`` the length relative to
-    the corpus average. Documents without a shared token are not returned.
+    the corpus average. Documents without a shared token are not returned. The corpus is
+    tokenised once per part of the queries; a saved index is not tokenised at all.
     """
     q = query_terms(queries, tokenizer)
-    vocabulary = q.select("token").distinct()
-    frequency = (index.terms if index.terms is not None else
-                 term_stats(index.postings.join(vocabulary, "token", "left_semi")))
-    stats = index.stats.select(F.struct(
-        F.col("n_docs").cast("double").alias("n"),
-        (F.col("n_tokens") / F.col("n_docs")).alias("avg"),
-        F.col("n_tokens").alias("total")).alias("s")).scalar()
-    idf = F.log((stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = q.join(frequency, "token").select(
-        "qid", "token", "df", (F.col("qtf") * idf * F.lit(k1 + 1)).alias("w"))
-    length = F.col("dl") / stats["avg"] if length_norm else F.col("dl").cast("double")
-    saturation = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * length))
-    return term_match(index.postings, weights, saturation, k, stats["total"], q)
+    parts = bounded_parts(q)
+    qid_type = queries.schema["qid"].dataType
+    blocks = index.blocks
+    if blocks is None and len(parts) > 1:
+        blocks = cut(_made_blocks(index, None), "blocks")
+    runs = []
+    for part in parts:
+        asked = part.toPandas()
+        vocabulary = sorted(set(asked["token"]))
+        mine = blocks if blocks is not None else cut(_made_blocks(index, vocabulary), "blocks")
+        stats = _stats(index, mine)
+        known = index.terms if index.terms is not None else term_counts(mine)
+        names = mine.sparkSession.createDataFrame([(t,) for t in vocabulary], "token string")
+        df = known.join(F.broadcast(names), "token").toPandas()  # at most one row per token of the part
+        n, avg = float(stats["n_docs"]), max(stats["n_tokens"], 1) / max(stats["n_docs"], 1)
+        idf = np.log((n - df["df"].astype(float) + 0.5) / (df["df"].astype(float) + 0.5) + 1)
+        weights = asked.merge(pd.DataFrame({"token": df["token"], "w": idf}), on="token")
+        weights["w"] *= weights["qtf"] * (k1 + 1)
+        runs.append(search_blocks(mine, stats["n_blocks"], weights, qid_type, _saturation(k1, b, avg if length_norm else 1.0), k))
+    return reduce(DataFrame.unionAll, runs)
+
+
+def _saturation(k1: float, b: float, unit: float):
+    return lambda tf, dl: tf / (tf + k1 * ((1 - b) + b * (dl / unit)))
+
+
+def _made_blocks(index: LexicalIndex, vocabulary: list[str] | None) -> DataFrame:
+    if index.docs is not None:
+        return blocks_of_texts(index.docs, vocabulary, index.stop)
+    rows = index.postings.withColumnRenamed("tf", "weight")
+    if vocabulary is not None:
+        rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(t,) for t in vocabulary], "token string")), "token", "left_semi")
+    return blocks_of_postings(rows)
+
+
+def _stats(index: LexicalIndex, blocks: DataFrame) -> dict:
+    if index.docs is not None or "n_blocks" in index.stats.columns:
+        return (corpus_counts(blocks) if index.docs is not None else index.stats).first().asDict()
+    # blocks of postings know only the documents that have one
+    return index.stats.first().asDict() | {"n_blocks": blocks.count()}
 
 
 def lexical_vector(weights: DataFrame, special: list[str] | None = None) -> DataFrame:
@@ -159,11 +165,26 @@ def impact_topic(vector: Column) -> Column:
     return F.when(F.size(repeated) == 0, F.lit("0")).otherwise(F.array_join(repeated, " "))
 
 
-def impact_search(q_weights: DataFrame, d_weights: DataFrame, k: int = 1000) -> DataFrame:
+def impact_index(d_weights: DataFrame) -> LexicalIndex:
+    """An index of ``(docid, token, w)`` rows, brought together by document once."""
+    blocks = cut(blocks_of_postings(d_weights.select("docid", "token", F.col("w").alias("weight"), F.lit(1).alias("dl"))), "impacts")
+    return LexicalIndex.of_blocks(blocks)
+
+
+def impact_search(q_weights: DataFrame, d_weights: DataFrame | LexicalIndex, k: int = 1000) -> DataFrame:
     """Sum over shared tokens of query weight times document weight.
 
-    ``q_weights`` is ``(qid, token, w)``, ``d_weights`` is ``(docid, token, w)``.
+    ``q_weights`` is ``(qid, token, w)``, ``d_weights`` is ``(docid, token, w)`` or an
+    :func:`impact_index`, whose search moves no postings.
     """
-    docs = d_weights.select("docid", "token", F.col("w").cast("double").alias("dw"))
     q = q_weights.select("qid", "token", F.col("w").cast("double").alias("w"))
-    return term_match(docs, q, F.col("dw"), k)
+    runs = []
+    for part in bounded_parts(q):
+        terms = part.toPandas()
+        if isinstance(d_weights, LexicalIndex):
+            index = d_weights
+        else:
+            names = d_weights.sparkSession.createDataFrame([(t,) for t in sorted(set(terms["token"]))], "token string")
+            index = impact_index(d_weights.join(F.broadcast(names), "token", "left_semi"))
+        runs.append(search_blocks(index.blocks, index.stats.first()["n_blocks"], terms, q.schema["qid"].dataType, lambda w, dl: w, k))
+    return reduce(DataFrame.unionAll, runs)

@@ -47,23 +47,21 @@ def test_average_length(spark, corpus):
     assert got.docid == 1 and abs(got.score - round(want, 6)) < 1e-9
 
 
-def test_salted_join_equals_broadcast(spark, folder, monkeypatch):
+def test_query_parts_equal_one_part(spark, folder, monkeypatch):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("docid"), "text")
     q = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     want = rows(L.bm25_search(L.build_index(docs), q, 10), "qid", "docid", "score", "rank")
-    monkeypatch.setattr(L, "fits_broadcast", lambda df: False)
-    monkeypatch.setattr(L, "ROWS_PER_SALT", 20)
+    monkeypatch.setattr(L, "BROADCAST_TERM_ROWS", 400)
     assert rows(L.bm25_search(L.build_index(docs), q, 10), "qid", "docid", "score", "rank") == want
 
 
 def test_one_token_in_every_document(spark, monkeypatch):
-    """A token that holds most postings is spread over salts and loses no hit."""
+    """A token that holds most postings loses no hit, whatever the parts of the queries."""
     docs = spark.range(3000).select(F.col("id").alias("docid"), F.concat(F.lit("hot t"), F.col("id")).alias("text"))
     q = spark.createDataFrame([(0, "hot t7"), (1, "hot")], "qid long, query string")
     want = rows(L.bm25_search(L.build_index(docs), q, 3000), "qid", "docid", "score")
     assert len(want) == 6000
-    monkeypatch.setattr(L, "fits_broadcast", lambda df: False)
-    monkeypatch.setattr(L, "ROWS_PER_SALT", 100)
+    monkeypatch.setattr(L, "BROADCAST_TERM_ROWS", 1)
     assert rows(L.bm25_search(L.build_index(docs), q, 3000), "qid", "docid", "score") == want
 
 
