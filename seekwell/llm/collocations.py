@@ -39,14 +39,16 @@ ROWS_PER_BUCKET = 4_000_000
 
 @contextmanager
 def co_partitioned(spark: SparkSession):
-    """Inside, joins on (piece, pos) accept tables that are bucketed by piece alone."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Inside, joins on (piece, pos) accept tables that are bucketed by piece alone, and read their buckets as sorted."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class Relations:
@@ -65,7 +67,7 @@ class Relations:
     def joined(self, name: str) -> DataFrame:
         """(piece, pos, key): every occurrence with the one at the next position of its piece."""
         a, b = self.spark.table(name).alias("a"), self.spark.table(name).alias("b")
-        both = a.hint("merge").join(b.hint("merge"), (F.col("a.piece") == F.col("b.piece")) & (F.col("a.pos") + 1 == F.col("b.pos")))
+        both = a.hint("merge").join(b.hint("merge"), (F.col("a.piece") == F.col("b.piece")) & (F.col("a.pos") == F.col("b.pos") - 1))
         return both.select("a.piece", "a.pos", (F.shiftleft("a.id", 32) + F.col("b.id")).alias("key"))
 
     def drop(self, name: str) -> None:

@@ -71,6 +71,7 @@ def test_no_shuffle_of_positions(spark):
         joined = keep.joined(name)
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Exchange" not in plan and joined.count() == 1000
+        assert plan.count("Sort [") == 1  # one side is read as it was sorted
     keep.drop(name)
 
 
