@@ -9,7 +9,8 @@ from seekwell.checks.registry import Tables, register
 from seekwell.functions import vectors as V
 from seekwell.functions.text import simple_tokens, space_tokens
 from seekwell.operators import dense as D, fusion as X, lexical as L, ranking as R
-from seekwell.scale import stack
+from seekwell.operators.vector_lists import VectorLists
+from seekwell.scale import scratch_path, stack
 
 APP_BM25 = dict(k1=0.82, b=0.68, length_norm=True)
 
@@ -163,6 +164,31 @@ def _(t):
     return D.recall_against(approx, dense_run(t))
 
 
+def vector_lists(t, corpus=None):
+    return VectorLists.build(corpus if corpus is not None else t.vec_corpus, scratch_path(t.spark, "vector-lists"))
+
+
+@register("vector_lists_all_probed", f"WITH {S.dense('dense', 10)} SELECT * FROM dense")
+def _(t):
+    saved = VectorLists.load(t.spark, vector_lists(t).path)
+    return saved.search(t.vec_queries, 10, n_probe=len(saved.centroids), skip_self=True)
+
+
+@register("vector_lists_after_additions", f"WITH {S.dense('dense', 10)} SELECT * FROM dense")
+def _(t):
+    """Two thirds of the vectors with wrong values first; a delta replaces them and brings the rest."""
+    wrong = t.vec_corpus.filter("docid % 3 <> 0").withColumn("embedding", F.reverse("embedding"))
+    lists = vector_lists(t, wrong)
+    lists.add(t.vec_corpus)
+    return VectorLists.load(t.spark, lists.path).search(t.vec_queries, 10, n_probe=len(lists.centroids), skip_self=True)
+
+
+@register("vector_lists_recall", f"WITH {S.dense('dense', 10)} SELECT count(*) AS n_exact, true AS recall_at_least_90 FROM dense")
+def _(t):
+    run = vector_lists(t).search(t.vec_queries, 10, skip_self=True)
+    return D.recall_against(run, dense_run(t)).select("n_exact", (F.col("recall") >= 0.9).alias("recall_at_least_90"))
+
+
 @register("mixed_vector_search", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_reverse(embedding)::DOUBLE[] AS r FROM embeddings),
  s AS (SELECT a.vec_id AS qid, b.vec_id AS docid, round(0.7e0 * list_dot_product(a.e, b.e) + 0.3e0 * list_dot_product(a.r, b.e), 6) AS score FROM v a CROSS JOIN v b WHERE a.vec_id <> b.vec_id) """
           + S.ranked("s", 10))

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from seekwell.functions.vectors import mix, vec_cos, vec_dot, vec_l2
 from seekwell.operators.ranking import top_k
-from seekwell.scale import BROADCAST_BYTES, cut
+from seekwell.scale import BROADCAST_BYTES, scratch_path
 
 # Vectors scored against one query block at a time inside a task.
 BLOCK_ROWS = 50_000
@@ -49,19 +45,33 @@ def _local_top(qids, q, ids, d, k, metric, skip_self) -> pd.DataFrame:
         scores = _scores(q[at:at + step], d, metric)
         if skip_self:
             scores = np.where(qids[at:at + step, None] == ids[None, :], -np.inf, scores)
-        # ids ascend, so a stable sort on the negated score also breaks ties by id
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        picked = np.take_along_axis(scores, best, axis=1)
-        keep = np.isfinite(picked)
-        rows = np.broadcast_to(qids[at:at + step, None], best.shape)
-        out_q.append(rows[keep]); out_d.append(ids[best][keep]); out_s.append(picked[keep])
+        row, column = _top_cells(scores, k)
+        out_q.append(qids[at:at + step][row]); out_d.append(ids[column]); out_s.append(scores[row, column])
     if not out_q:
         return pd.DataFrame({"qid": qids[:0], "docid": ids[:0], "score": np.zeros(0)})
     return pd.DataFrame({"qid": np.concatenate(out_q), "docid": np.concatenate(out_d), "score": np.concatenate(out_s)})
 
 
+def _top_cells(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the best ``k`` finite cells of each row, best first, equal cells by column. A partial sort finds the
+    border of each row; only the cells at or above it are sorted."""
+    width = scores.shape[1]
+    if width > k:
+        border = np.partition(scores, width - k, axis=1)[:, width - k]
+        row, column = np.nonzero((scores >= border[:, None]) & np.isfinite(scores))
+    else:
+        row, column = np.nonzero(np.isfinite(scores))
+    order = np.lexsort((column, -scores[row, column], row))
+    row, column = row[order], column[order]
+    starts = np.searchsorted(row, np.arange(len(scores)))
+    keep = np.arange(len(row)) - starts[row] < k
+    return row[keep], column[keep]
+
+
 def _best_of(tops: list[pd.DataFrame], k: int) -> pd.DataFrame:
     """Best ``k`` per query of several local tops, ties by id."""
+    if len(tops) == 1:
+        return tops[0]  # one block is its own top k
     rows = pd.concat(tops, ignore_index=True).sort_values(["qid", "score", "docid"], ascending=[True, False, True])
     return rows[rows.groupby("qid").cumcount() < k]
 
@@ -128,50 +138,14 @@ def mix_search(q1: DataFrame, q2: DataFrame, corpus: DataFrame, ratio: float, k:
     return dense_search(mixed, corpus, k, skip_self=skip_self)
 
 
-def dense_search_approx(queries: DataFrame, corpus: DataFrame, k: int, n_lists: int | None = None, n_probe: int = 8,
+def dense_search_approx(queries: DataFrame, corpus: DataFrame, k: int, n_lists: int | None = None, n_probe: int | None = None,
                         seed: int = 42, skip_self: bool = False, max_iter: int = 20) -> DataFrame:
-    """Cluster lists: vectors go to their nearest of ``n_lists`` centroids (the square root of
-    the corpus size unless given, found in at most ``max_iter`` rounds), a query reads the
-    ``n_probe`` nearest lists and scores their vectors exactly.
-
-    A list that is larger than one block is salted, and its queries are copied to each
-    salt, so a list with most of the corpus is still spread over many tasks.
-    """
-    spark = corpus.sparkSession
-    points = corpus.select("docid", "embedding")
-    n_lists = n_lists or max(2, math.isqrt(points.count()))
-    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="f").fit(points.select(array_to_vector("embedding").alias("f")))
-    centroids = spark.sparkContext.broadcast(np.array(model.clusterCenters()))
-
-    @F.pandas_udf("array<int>")
-    def nearest(vectors: pd.Series, count: pd.Series) -> pd.Series:
-        c = centroids.value
-        m = _matrix(vectors)
-        dist = (c * c).sum(1)[None, :] - 2 * m @ c.T
-        order = np.argsort(dist, axis=1, kind="stable")
-        return pd.Series([row[:n].tolist() for row, n in zip(order, count)])
-
-    # written once: list sizes and list scans then read the same assignment
-    placed = cut(points.select("docid", "embedding", nearest("embedding", F.lit(1))[0].alias("list")), "lists")
-    sizes = F.broadcast(placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("salts")))
-    left = (queries.select("qid", "embedding", F.explode(nearest("embedding", F.lit(n_probe))).alias("list"))
-            .join(sizes, "list").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))
-    # A list may also be probed by very many queries; query blocks keep both sides bounded.
-    left = left.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(_blocks(queries))).cast("int"))
-    right = (placed.join(sizes, "list").withColumn("salt", F.pmod(F.xxhash64("docid"), F.col("salts")).cast("int")).drop("salts")
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(_blocks(queries) - 1)))))
-
-    def pair(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        return _local_top(lp["qid"].to_numpy(), _matrix(lp["embedding"]),
-                          rp["docid"].to_numpy(), _matrix(rp["embedding"]), k, "ip", skip_self)
-
-    keys = ("list", "salt", "qb")
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, _run_schema(queries, corpus))
-    return top_k(best, "qid", "score", k)
-
+    """One search over vector lists that are built for it below the shared folder. Keep a
+    :class:`seekwell.operators.vector_lists.VectorLists` to search more than once."""
+    from seekwell.operators.vector_lists import VectorLists
 
-def _blocks(queries: DataFrame) -> int:
-    return max(1, int(np.ceil(queries.count() / BLOCK_ROWS)))
+    lists = VectorLists.build(corpus, scratch_path(corpus.sparkSession, "lists"), n_lists, "ip", seed, max_iter)
+    return lists.search(queries, k, n_probe, skip_self)
 
 
 def recall_against(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seekwell.operators import dense as D, evaluation as E, fusion as X, lexical as L, training as H
 from seekwell.operators.hooks import generate
 from seekwell.operators.ranking import top_k
+from seekwell.operators.vector_lists import VectorLists
 from seekwell.scale import cut, stack
 from seekwell.sources.files import INTENTS
 
@@ -70,10 +71,12 @@ def route_by_intent(df: DataFrame, probabilities: str) -> DataFrame:
     return df.withColumn("label", label).withColumn("route", F.element_at(names, F.col("label")))
 
 
-def batch_retrieve(index: L.LexicalIndex | None, corpus_vectors: DataFrame | None, queries: DataFrame, k: int) -> DataFrame:
-    """Run for text queries (an index) or vector queries (corpus vectors)."""
+def batch_retrieve(index: L.LexicalIndex | None, corpus_vectors: DataFrame | VectorLists | None, queries: DataFrame, k: int) -> DataFrame:
+    """Run for text queries (an index) or vector queries (corpus vectors, or saved vector lists)."""
     if index is not None:
         return L.bm25_search(index, queries, k, k1=0.82, b=0.68, length_norm=True)
+    if isinstance(corpus_vectors, VectorLists):
+        return corpus_vectors.search(queries, k)
     return D.dense_search(queries, corpus_vectors, k)
 
 
