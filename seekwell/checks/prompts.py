@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from seekwell.checks import sql as S
 from seekwell.checks.evaluation import items
 from seekwell.checks.registry import register
-from seekwell.checks.retrieval import WORDS, bm25_run, dense_run
+from seekwell.checks.retrieval import APP_BM25, WORDS, bm25_run, dense_run
 from seekwell.checks.text import PAIRS_SQL, turn_pairs
-from seekwell.operators import evaluation as E, fusion as X, hooks as K, lexical as L, prompts as P
+from seekwell.operators import dense as D, evaluation as E, fusion as X, hooks as K, lexical as L, prompts as P
 from seekwell.plans import jobs as J
+from seekwell.plans.turns import Service, question_turn
 from seekwell.scale import scratch_path
 from seekwell.sources.files import split_by_ratio
 from seekwell.streaming import service as St
@@ -258,6 +259,49 @@ def _(t):
     return out.select("qid", F.array_join(F.transform("docids", lambda d: d.cast("string")), " ").alias("docids"), "answer")
 
 
+def first_by_vectors(t, queries):
+    """Dense run of the vectors that carry the questions' ids."""
+    q = t.embeddings.join(queries.select(F.col("qid").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("qid"), "embedding")
+    return D.dense_search(q, t.vec_corpus, 20)
+
+
+def lexical_and_dense(t, index, k):
+    """Hybrid search of ``(qid, query)``: BM25 of the text, vectors of the ids."""
+    return lambda q: X.hybrid_search(first_by_vectors(t, q), L.bm25_search(index, q, 20, **APP_BM25), J.ALPHA, k)
+
+
+def hybrid_sql(name, k, queries="benchmark"):
+    return f"""{S.bm25(name + '_lex', 20, 0.82, 0.68, True, queries=queries)},
+ {name}_vec AS (SELECT a.vec_id AS qid, b.vec_id AS docid, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id IN (SELECT item_id FROM {queries})),
+ {name}_den AS ({S.ranked(name + '_vec', 20)}),
+ {name}_pair AS (SELECT coalesce(l.qid, d.qid) AS qid, coalesce(l.docid, d.docid) AS docid, d.score AS d, l.score AS s FROM {name}_lex l FULL JOIN {name}_den d ON l.qid = d.qid AND l.docid = d.docid),
+ {name}_sum AS (SELECT qid, docid, round(0.3e0 * coalesce(s, min(s) OVER (PARTITION BY qid), 0) + coalesce(d, min(d) OVER (PARTITION BY qid), 0), 8) AS score FROM {name}_pair),
+ {name} AS ({S.ranked(name + '_sum', k)})"""
+
+
+@register("hybrid_lexical_dense", f"WITH {hybrid_sql('hy', 10)} SELECT * FROM hy")
+def _(t):
+    return lexical_and_dense(t, L.build_index(t.corpus), 10)(t.topics)
+
+
+@register("question_turn", f"""WITH consult AS (SELECT item_id, text FROM benchmark WHERE item_id % 5 NOT IN (0, 4)), {hybrid_sql('fq', 1, 'consult')},
+ judged AS (SELECT c.item_id, c.text, f.docid, d.text AS question, d.source AS known, CASE WHEN f.docid IS NULL THEN 'clauses' WHEN contains(d.text, c.text) THEN 'answered' WHEN length(d.source) = 4 THEN 'clauses' ELSE 'unknown' END AS route
+   FROM consult c LEFT JOIN fq f ON f.qid = c.item_id LEFT JOIN documents d ON d.doc_id = f.docid),
+ opened AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS text, text AS query FROM judged WHERE route = 'clauses'), {hybrid_sql('cl', 3, 'opened')},
+ context AS (SELECT c.qid, list(c.docid ORDER BY c.rank) AS docids, string_agg('条款' || c.rank || '：' || chr(10) || d.text, chr(10) ORDER BY c.rank) AS ctx FROM cl c JOIN documents d ON d.doc_id = c.docid GROUP BY c.qid)
+ SELECT item_id AS qid, CASE WHEN item_id % 5 = 0 THEN 'chat' ELSE 'human' END AS route, '' AS docids, NULL AS matched, CASE WHEN item_id % 5 = 0 THEN length('turn ' || item_id || chr(10) || text)::VARCHAR END AS answer FROM benchmark WHERE item_id % 5 IN (0, 4)
+ UNION ALL SELECT item_id, route, docid::VARCHAR, question, CASE WHEN route = 'answered' THEN known END FROM judged WHERE route <> 'clauses'
+ UNION ALL SELECT o.item_id, 'clauses', coalesce(array_to_string(x.docids, ' '), ''), NULL, length('问题：' || chr(10) || o.query || chr(10) || coalesce(x.ctx, ''))::VARCHAR FROM opened o LEFT JOIN context x ON x.qid = o.item_id""")
+def _(t):
+    index = L.build_index(t.corpus)
+    last = F.col("qid") % 5
+    classify = lambda q: q.withColumn("probabilities", F.array(F.when(last == 0, 0.9).otherwise(0.1), F.lit(0.5), F.when(last == 4, 0.8).otherwise(0.2)))
+    service = Service(classify, echo_length, lexical_and_dense(t, index, 1), containment_judge, first_words, lexical_and_dense(t, index, 3), echo_length)
+    history = t.topics.select("qid", F.concat(F.lit("turn "), "qid").alias("history"))
+    out = question_turn(t.topics, faq(t), t.corpus, service, history)
+    return out.withColumn("docids", F.array_join(F.transform("docids", lambda d: d.cast("string")), " "))
+
+
 @register("intent_routes", """WITH p AS (SELECT doc_id, [0.4e0 - 0.1e0 * quality, 0.3e0 + 0.1e0 * quality, 0.25e0 + 0.3e0 * toxic] AS p FROM labels), l AS (SELECT doc_id, list_position(p, list_max(p)) - 1 AS label FROM p)
  SELECT CASE label WHEN 0 THEN 'chat' WHEN 1 THEN 'consult' ELSE 'human' END AS route, count(*) AS n FROM l GROUP BY route""")
 def _(t):

@@ -11,8 +11,8 @@ def num(x) -> str:
 WS = "string_split({c}, ' ')"
 
 
-def bm25(name="run", k=10, k1=0.9, b=0.4, length_norm=False, tok="string_split({c}, ' ')") -> str:
-    """CTEs ending in ``name(qid, docid, score, rank)`` for benchmark against documents."""
+def bm25(name="run", k=10, k1=0.9, b=0.4, length_norm=False, tok="string_split({c}, ' ')", queries="benchmark") -> str:
+    """CTEs ending in ``name(qid, docid, score, rank)`` for benchmark (or a like table) against documents."""
     norm = "dl.dl / n.avgdl" if length_norm else "dl.dl"
     doc_tok, q_tok = tok.format(c="text"), tok.format(c="text")
     return f"""
@@ -21,7 +21,7 @@ def bm25(name="run", k=10, k1=0.9, b=0.4, length_norm=False, tok="string_split({
 {name}_l AS (SELECT doc_id, len({doc_tok}) AS dl FROM documents),
 {name}_n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {name}_l),
 {name}_t AS (SELECT token, count(*) AS df FROM {name}_p GROUP BY token),
-{name}_q AS (SELECT item_id AS qid, unnest({q_tok}) AS token FROM benchmark),
+{name}_q AS (SELECT item_id AS qid, unnest({q_tok}) AS token FROM {queries}),
 {name}_s AS (SELECT q.qid, p.doc_id AS docid,
    round(sum(ln((n.n - t.df + 0.5e0) / (t.df + 0.5e0) + 1) * {num(k1 + 1)} * p.tf
        / (p.tf + {num(k1)} * ({num(1 - b)} + {num(b)} * {norm}))), 6) AS score
