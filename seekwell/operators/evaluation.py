@@ -8,8 +8,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seekwell.functions.scoring import best_of, f1_answer
-from seekwell.functions.text import contains_tokens, simple_tokens
-from seekwell.scale import running_total, running_totals, stack, top_rows
+from seekwell.operators.phrases import phrase_matches
+from seekwell.scale import cut, running_total, running_totals, stack, top_rows
 
 # Metric and category of the long-context benchmark datasets.
 DATASET_METRIC = {
@@ -36,23 +36,6 @@ def literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``(qid, docid)`` where a document contains all phrase tokens as one run.
-
-    Each phrase is looked up by its rarest token, so only documents with that token are
-    read again and verified; phrases are never paired with all documents.
-    """
-    low = lambda c: simple_tokens(c, lower=True)
-    postings = docs.select("docid", F.explode(F.array_distinct(low("text"))).alias("token"))
-    wanted = phrases.select("qid", F.explode(F.array_distinct(low("query"))).alias("token"))
-    frequency = postings.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    anchors = (wanted.join(frequency, "token", "left")
-               .groupBy("qid").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token")))
-    candidates = postings.join(anchors, "token").select("qid", "docid")
-    rows = candidates.join(docs.select("docid", "text"), "docid").join(phrases.select("qid", "query"), "qid")
-    return rows.filter(contains_tokens(low("text"), low("query"))).select("qid", "docid")
-
-
 def judge(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """Run rows with the ``grade`` of the document, zero when unlabelled."""
     grade = F.col("grade") if "grade" in qrels.columns else F.lit(1)
@@ -140,11 +123,14 @@ def add_average(per_language: DataFrame, by: str, values: list[str], digits: int
 
 def answer_recall(run: DataFrame, docs: DataFrame, answers: DataFrame, ks) -> DataFrame:
     """Share of questions with an answer inside the first ``k`` hits. Questions without
-    hits count as misses."""
-    low = lambda c: simple_tokens(c, lower=True)
-    hits = run.join(docs.select("docid", "text"), "docid").join(answers, "qid")
-    found = F.exists("answers", lambda a: contains_tokens(low("text"), low(a)))
-    first = hits.filter(found).groupBy("qid").agg(F.min("rank").alias("first"))
+    hits count as misses, an answer without tokens is found nowhere.
+
+    Only documents that are hits are tokenised, each once; the run is written once.
+    """
+    run = cut(run.select("qid", "docid", "rank"), "run")
+    texts = docs.select("docid", "text").join(run.select("docid").distinct(), "docid", "left_semi")
+    found = phrase_matches(texts, answers.select("qid", F.explode("answers").alias("query")))
+    first = run.join(found.distinct(), ["qid", "docid"]).groupBy("qid").agg(F.min("rank").alias("first"))
     every = answers.select("qid").join(first, "qid", "left")
     return every.agg(*[F.round(F.avg(F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0))), 6).alias(f"recall_{k}") for k in ks])
 
@@ -153,10 +139,12 @@ def rerank_quality(scored: DataFrame, k: int = 10, by: str = "qid", item: str =
     """Mean AP and MRR@k over queries that have both relevant and other candidates.
 
     ``scored`` is ``(qid, docid, score, rel)``; with several rows per candidate (sub
-    queries) the best score counts.
+    queries) the best score counts. The candidates of a query, a list as deep as the search
+    that made it, are ranked in one window; queries are spread over the tasks.
     """
     best = scored.groupBy(by, item).agg(F.max("score").alias("score"), F.max("rel").alias("rel"))
-    rows = running_totals(best.withColumn("_key", -F.col("score")), [by], "_key", {"rank": F.lit(1), "found": F.col("rel")}, [item])
+    order = W.partitionBy(by).orderBy(F.col("score").desc(), F.col(item))
+    rows = best.withColumns({"rank": F.row_number().over(order), "found": F.sum("rel").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))})
     per = rows.groupBy(by).agg(
         F.sum("rel").alias("pos"), F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("rel") == 1, F.col("found") / F.col("rank"))).alias("prec"),
