@@ -342,24 +342,37 @@ def stream(t, table):
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
 
 
+def shuffled_files(t, rows, name, files, *keys):
+    """``rows`` as files in an order that has nothing to do with theirs, read one file in a micro-batch."""
+    path = scratch_path(t.spark, name)
+    rows.repartition(files, F.xxhash64(*keys)).write.parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @register("stream_of_queries", f"WITH {S.bm25('run', 10, 0.82, 0.68, True)} SELECT * FROM run")
 def _(t):
     out, check = scratch_path(t.spark, "answers"), scratch_path(t.spark, "state")
-    arriving = stream(t, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    arriving = shuffled_files(t, t.topics, "topics", 3, "qid")
     St.answer_stream(arriving, L.build_index(t.corpus), out, check, 10, k1=0.82, b=0.68, length_norm=True).awaitTermination()
     return t.spark.read.parquet(out).drop("batch")
 
 
 @register("stream_of_documents", f"WITH {S.bm25('run', 10)} SELECT * FROM run")
 def _(t):
-    out, check = scratch_path(t.spark, "delta"), scratch_path(t.spark, "state")
-    St.index_stream(stream(t, "documents").select(F.col("doc_id").alias("docid"), "text"), out, check).awaitTermination()
+    """Every tenth document arrives twice, first with another text."""
+    out, check = scratch_path(t.spark, "parts"), scratch_path(t.spark, "state")
+    path = scratch_path(t.spark, "document-files")
+    old = t.corpus.filter("docid % 10 = 3").select("docid", F.reverse("text").alias("text"))
+    for rows, files in ((old, 1), (t.corpus, 4)):  # the second start goes on where the first ended
+        rows.repartition(files, F.xxhash64("docid")).write.mode("append").parquet(path)
+        arriving = t.spark.readStream.schema(t.corpus.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        St.index_stream(arriving, out, check).awaitTermination()
     return L.bm25_search(St.load_streamed_index(t.spark, out), t.topics, 10)
 
 
 @register("stream_of_turns", "SELECT conv_id, turn, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS history FROM conversations")
 def _(t):
     out, check = scratch_path(t.spark, "history"), scratch_path(t.spark, "state")
-    rows = St.rolling_history(stream(t, "conversations").select("conv_id", "turn", "text"), 3)
-    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(out)
+    turns = shuffled_files(t, t.conversations.select("conv_id", "turn", "text"), "turns", 4, "conv_id", "turn")
+    St.history_stream(turns, 3, out, check).awaitTermination()
+    return St.read_history(t.spark, out)

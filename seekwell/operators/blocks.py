@@ -292,3 +292,52 @@ def search_blocks(blocks: DataFrame, n_blocks: int, terms: pd.DataFrame, qid_typ
         known = {r["qid"]: r["score"] for r in first}  # one number per query of the block
         asked.least = np.array([known.get(q, -np.inf) for q in asked.qids])
     return top_k(_local_tops(blocks, asked, qid_type, impact, k), "qid", "score", k)
+
+
+def rebuilt(blocks: DataFrame, size: int = BLOCK_DOCS) -> DataFrame:
+    """``blocks`` put together into blocks of about ``size`` documents, without the documents whose places an array
+    column ``dead`` names (null: none). Each task joins neighbours only; nothing moves."""
+    kind = blocks.schema["docid"].dataType.elementType
+    id_type = to_arrow_type(kind)
+    names = [f.split()[0] for f in block_schema("x").split(", ")]
+
+    def joined(rows: list[dict]) -> pa.RecordBatch | None:
+        ids, lengths, tokens, docs, weights, before = [], [], [], [], [], 0
+        for r in rows:
+            dl, doc = r["dl"].to_numpy(), r["doc"].to_numpy().astype(np.int64)
+            keep = np.ones(len(dl), bool)
+            keep[r["dead"]] = False
+            place = np.cumsum(keep) - 1 + before
+            token = r["token"].take(pa.array(np.repeat(np.arange(len(r["token"])), r["n"].to_numpy())))
+            alive = keep[doc]
+            ids.append(r["docid"].filter(pa.array(keep)))
+            lengths.append(dl[keep])
+            tokens.append(token.filter(pa.array(alive)))
+            docs.append(place[doc[alive]])
+            weights.append(r["weight"].to_numpy()[alive])
+            before += int(keep.sum())
+        if not before:
+            return None
+        coded = pa.concat_arrays(tokens).cast(pa.string()).dictionary_encode()
+        code, doc = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(docs)
+        order = np.lexsort((doc, code))
+        return _batch([_block(pa.concat_arrays(ids), np.concatenate(lengths).astype(np.int64), code[order], coded.dictionary, doc[order], np.concatenate(weights)[order])], id_type)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for i in range(len(b)):
+                row = {c: b.column(c)[i].values for c in ("docid", "dl", "token", "n", "doc", "weight")}
+                row["dead"] = np.array(b.column("dead")[i].as_py() or [], dtype=np.int64)
+                held.append(row)
+                n += len(row["docid"]) - len(row["dead"])
+                if n >= size:
+                    made, held, n = joined(held), [], 0
+                    if made is not None:
+                        yield made
+        made = joined(held) if held else None
+        if made is not None:
+            yield made
+
+    rows = blocks if "dead" in blocks.columns else blocks.withColumn("dead", F.lit(None).cast("array<int>"))
+    return rows.select(*names, "dead").mapInArrow(build, block_schema(kind.simpleString()))

@@ -38,7 +38,7 @@ class LexicalIndex:
 
     def save(self, path: str) -> None:
         """Blocks of postings, and the document frequencies sorted by token, so that a search prunes their row groups."""
-        (blocks_of_texts(self.docs, None, self.stop) if self.docs is not None else self.blocks).write.mode("overwrite").parquet(f"{path}/blocks")
+        (self.blocks if self.blocks is not None else _made_blocks(self, None)).write.mode("overwrite").parquet(f"{path}/blocks")
         saved = self.postings.sparkSession.read.parquet(f"{path}/blocks")
         term_counts(saved).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/terms")
         corpus_counts(saved).write.mode("overwrite").parquet(f"{path}/stats")

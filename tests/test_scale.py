@@ -91,19 +91,6 @@ def stream_of(spark, rows, schema, name):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_turns_keep_their_order_over_arrow_batches(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-    try:
-        parts = [[(1, t, f"t{t}") for t in (3, 1, 4, 0, 2)], [(1, t, f"t{t}") for t in (6, 5)]]
-        out, check = scratch_path(spark, "turns"), scratch_path(spark, "state")
-        rows = St.rolling_history(stream_of(spark, parts, "conv_id long, turn long, text string", "turn-files"), 3)
-        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-        got = {r.turn: r.history for r in spark.read.parquet(out).collect()}
-        assert got == {t: "\n".join(f"t{x}" for x in range(max(0, t - 2), t + 1)) for t in range(7)}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-
-
 def test_document_that_arrives_again_replaces_itself(spark):
     parts = [[(1, "alpha beta"), (2, "alpha")], [(1, "gamma"), (3, "beta beta")]]
     out, check = scratch_path(spark, "deltas"), scratch_path(spark, "state")
