@@ -7,9 +7,11 @@ Strings for the same part leave a task as one compressed block. In a bucket equa
 windows of the different ones are sorted, and each run of equal windows gives the smallest document that has it. A
 bucket with one document needs no look at its strings.
 
-A sample of the documents shows which minimisers are hot (above ``HOT`` rows). Those rows take a second exact way
-without buckets: equal strings and equal windows are aggregated with partial sums in every task, and the result is
-joined back by string, where the engine may split skewed keys. The sample chooses the way, never the result.
+A sample of the documents shows which minimisers are hot (above ``HOT`` rows). Their strings take a second exact way
+without buckets: every task sends each of its distinct hot strings once, with the smallest document that has it there;
+equal strings and equal windows are aggregated; and a second scan of the documents looks its hot strings up in that
+table of distinct strings, which is broadcast below a measured size and joined by string and salt beyond. Only hot
+strings leave Python on this way, occurrences only in the salted join. The sample chooses the way, never the result.
 
 Defined results: null and empty texts have no words; a document with a null id neither loses words nor takes any from
 others; rows that share an id do not take words from each other; an empty table gives an empty result; other columns
@@ -25,12 +27,15 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from seekwell.llm.common import clean_input, cut, merged_spans, sized_broadcast, squeeze, unsqueeze
+from seekwell.llm.common import BROADCAST_BYTES, clean_input, cut, merged_spans, sized_broadcast, squeeze, unsqueeze
 
 WINDOW, GRAM = 13, 4
-HOT, MOST_HOT, SAMPLE = 200_000, 20_000, 0.02
+# Rows of a hot minimiser; numbers of hot minimisers that every task may hold (8 bytes each); share of the sample.
+HOT, MOST_HOT, SAMPLE = 200_000, 1_000_000, 0.02
+HELD_STRINGS, SALTS = 100_000, 16
 CHUNK_WORDS, BLOCK_WORDS, PART_BYTES = 100_000, 1_000_000, 8 << 20
 
 
@@ -76,28 +81,84 @@ def known_texts(docs: DataFrame) -> DataFrame:
     return clean_input(docs).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", rep_of("text").alias("rep"), "text")
 
 
-def super_kmers(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(mini, doc_id, place, packed): place holds a hash of the text in the upper and the first word in the lower half."""
+def chunks(batches: Iterator[pd.DataFrame], window: int) -> Iterator[tuple]:
+    """:func:`chunk` of some documents at a time."""
+    for b in batches:
+        rows, n = [], 0
+        for doc_id, rep, text in zip(b["doc_id"], b["rep"], b["text"]):
+            rows.append((doc_id, rep, word_list(text)))
+            n += len(rows[-1][2])
+            if n > CHUNK_WORDS:
+                yield chunk(rows, window)
+                rows, n = [], 0
+        if rows:
+            yield chunk(rows, window)
+
+
+def minimisers(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(mini, n): super-k-mers per minimiser, summed in chunks of documents first."""
+    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, mini, *_ in chunks(batches, window):
+            mini, n = np.unique(mini, return_counts=True)
+            yield pd.DataFrame({"mini": mini, "n": n})
+
+    return known_texts(docs).mapInPandas(emitted, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
+
+
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which ``values`` stand in the sorted array ``ordered``."""
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def hot_strings(docs: DataFrame, hot: Broadcast, window: int) -> DataFrame:
+    """(packed, first): the distinct super-k-mers of hot minimisers with the smallest document that has them. A task sends
+    a string once, unless it holds more than ``HELD_STRINGS``."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def of(rows: list[tuple]) -> pd.DataFrame:
-            rows, mini, owner, start, packed = chunk(rows, window)
-            place = np.array([r[1] for r in rows], dtype=np.int64)[owner] << 32 | start
-            return pd.DataFrame({"mini": mini, "doc_id": [rows[k][0] for k in owner.tolist()], "place": place, "packed": packed})
+        held: dict = {}
+        for rows, mini, owner, _, packed in chunks(batches, window):
+            for k in np.flatnonzero(among(mini, hot.value)).tolist():
+                doc_id, string = rows[owner[k]][0], packed[k]
+                if string not in held or doc_id < held[string]:
+                    held[string] = doc_id
+            if len(held) > HELD_STRINGS:
+                yield pd.DataFrame({"packed": list(held), "first": list(held.values())})
+                held = {}
+        if held:
+            yield pd.DataFrame({"packed": list(held), "first": list(held.values())})
 
-        for b in batches:
-            rows, n = [], 0
-            for doc_id, rep, text in zip(b["doc_id"], b["rep"], b["text"]):
-                rows.append((doc_id, rep, word_list(text)))
-                n += len(rows[-1][2])
-                if n > CHUNK_WORDS:
-                    yield of(rows)
-                    rows, n = [], 0
-            if rows:
-                yield of(rows)
+    return known_texts(docs).mapInPandas(emitted, f"packed binary, first {kind}").groupBy("packed").agg(F.min("first").alias("first"))
 
-    return known_texts(docs).mapInPandas(emitted, f"mini long, doc_id {kind}, place long, packed binary")
+
+def hot_places(docs: DataFrame, hot: Broadcast, window: int) -> DataFrame:
+    """(packed, doc_id, place) of every super-k-mer of a hot minimiser."""
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+
+    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, mini, owner, start, packed in chunks(batches, window):
+            mine = np.flatnonzero(among(mini, hot.value))
+            place = np.array([r[1] for r in rows], dtype=np.int64)[owner[mine]] << 32 | start[mine]
+            yield pd.DataFrame({"packed": [packed[k] for k in mine.tolist()], "doc_id": [rows[k][0] for k in owner[mine].tolist()], "place": place})
+
+    return known_texts(docs).mapInPandas(emitted, f"packed binary, doc_id {kind}, place long")
+
+
+def looked_up(docs: DataFrame, hot: Broadcast, table: Broadcast, window: int) -> DataFrame:
+    """(doc_id, place, size) of the covered runs, with the table of hot strings in every task."""
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+
+    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, mini, owner, start, packed in chunks(batches, window):
+            found = []
+            for k in np.flatnonzero(among(mini, hot.value)).tolist():
+                doc_id, rep, _ = rows[owner[k]]
+                found += covered_runs(doc_id, rep << 32 | int(start[k]), table.value.get(packed[k], ()), window)
+            yield pd.DataFrame(found, columns=["doc_id", "place", "size"])
+
+    return known_texts(docs).mapInPandas(emitted, f"doc_id {kind}, place long, size int")
 
 
 def rep_of(text: str):
@@ -105,7 +166,7 @@ def rep_of(text: str):
     return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 33).cast("int")
 
 
-def blocks(docs: DataFrame, parts: int, hot: np.ndarray, window: int = WINDOW) -> DataFrame:
+def blocks(docs: DataFrame, parts: int, hot: Broadcast, window: int = WINDOW) -> DataFrame:
     """(part, doc_ids, reps, mini, owner, start, sizes, packed): the super-k-mers of some documents for one part."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     names = ["part", "doc_ids", "reps", "mini", "owner", "start", "sizes", "packed"]
@@ -121,7 +182,7 @@ def blocks(docs: DataFrame, parts: int, hot: np.ndarray, window: int = WINDOW) -
             owner = np.concatenate([h[2] + lo for h, lo in zip(held, at)])
             held.clear()
             part = (mini.view(np.uint64) >> np.uint64(33)).astype(np.int64) % parts
-            keep = np.flatnonzero(~np.isin(mini, hot)) if len(hot) else np.arange(len(mini))
+            keep = np.flatnonzero(~among(mini, hot.value))
             keep = keep[np.argsort(part[keep], kind="stable")]
             cuts, out = np.searchsorted(part[keep], np.arange(parts + 1)).tolist(), []
             for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -172,14 +233,20 @@ def bucket(rows: list[tuple], window: int) -> list[tuple]:
     found = []
     for s, where in enumerate(seen.values()):
         for doc_id, place in where:
-            k = 0
-            while k < len(first[s]):
-                if first[s][k] < doc_id:
-                    start = k
-                    while k + 1 < len(first[s]) and first[s][k + 1] < doc_id:
-                        k += 1
-                    found.append((doc_id, place + start, k - start + window))
+            found += covered_runs(doc_id, place, first[s], window)
+    return found
+
+
+def covered_runs(doc_id, place: int, first, window: int) -> list[tuple]:
+    """(doc_id, place, words) of the runs of windows whose smallest document ``first`` lies below ``doc_id``."""
+    found, k = [], 0
+    while k < len(first):
+        if first[k] < doc_id:
+            start = k
+            while k + 1 < len(first) and first[k + 1] < doc_id:
                 k += 1
+            found.append((doc_id, place + start, k - start + window))
+        k += 1
     return found
 
 
@@ -211,28 +278,39 @@ def in_buckets(packed: DataFrame, kind: str, window: int) -> DataFrame:
     return packed.groupBy("part").applyInPandas(judged, f"doc_id {kind}, place long, size int")
 
 
-def without_buckets(rows: DataFrame, window: int) -> DataFrame:
-    """The same for hot minimisers, by aggregation and joins."""
-    strings = rows.groupBy("packed").agg(F.min("doc_id").alias("first")).withColumn("_w", F.split(F.col("packed").cast("string"), " "))
-    windows = strings.select("packed", "first", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - window + 1), lambda i: F.array_join(F.slice("_w", i, window), " "))).alias("k", "win"))
+def first_documents(strings: DataFrame, window: int) -> DataFrame:
+    """(packed, firsts): for each distinct string the smallest document of each of its windows, in order."""
+    named = strings.withColumn("_w", F.split(F.col("packed").cast("string"), " "))
+    windows = named.select("packed", "first", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - window + 1), lambda i: F.array_join(F.slice("_w", i, window), " "))).alias("k", "win"))
+    windows = cut(windows, "hot-windows")
     least = windows.groupBy("win").agg(F.min("first").alias("least"))
-    firsts = windows.join(least, "win").groupBy("packed").agg(F.collect_list(F.struct("k", "least")).alias("firsts"))  # as long as the string
-    hit = rows.join(firsts, "packed").select("doc_id", "place", F.explode("firsts").alias("f")).filter(F.col("f.least") < F.col("doc_id"))
-    return hit.select("doc_id", (F.col("place") + F.col("f.k")).alias("place"), F.lit(window).alias("size"))
+    rows = windows.join(least, "win").groupBy("packed").agg(F.array_sort(F.collect_list(F.struct("k", "least"))).alias("f"))  # as long as the string
+    return rows.select("packed", F.transform("f", lambda x: x["least"]).alias("firsts"))
+
+
+def without_buckets(docs: DataFrame, hot: Broadcast, window: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, place, size) of the covered runs of hot minimisers."""
+    table = cut(first_documents(hot_strings(docs, hot, window), window), "hot")
+    size = table.agg(F.coalesce(F.sum(F.octet_length("packed") + 40 * F.size("firsts") + 100), F.lit(0)).alias("bytes")).first()["bytes"]
+    if size <= limit:
+        held = {bytes(r["packed"]): tuple(r["firsts"]) for r in table.toLocalIterator()}  # below ``limit`` bytes
+        return looked_up(docs, hot, docs.sparkSession.sparkContext.broadcast(held), window)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    places = hot_places(docs, hot, window).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    hit = places.join(salted, ["packed", "_salt"]).select("doc_id", "place", F.posexplode("firsts").alias("k", "least")).filter(F.col("least") < F.col("doc_id"))
+    return hit.select("doc_id", (F.col("place") + F.col("k")).alias("place"), F.lit(window).alias("size"))
 
 
-def covered(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sample: float = SAMPLE) -> DataFrame:
+def covered(docs: DataFrame, window: int = WINDOW, hot: int = HOT, sample: float = SAMPLE, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, rep, spans): runs of words (start, size) to remove, for every text that has any."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     hot = max(hot, size // 32 // MOST_HOT)  # a super-k-mer takes more than 32 bytes of text, so at most MOST_HOT numbers come back
-    few = super_kmers(docs.sample(sample, seed=11), window).groupBy("mini").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(1, hot * sample)).select("mini").collect()
-    often = np.array(sorted(r["mini"] for r in few), dtype=np.int64)
+    few = minimisers(docs.sample(sample, seed=11), window).filter(F.col("n") > max(1, hot * sample)).select("mini").collect()
+    often = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r["mini"] for r in few), dtype=np.int64))
     found = in_buckets(blocks(docs, max(1, -(-size // PART_BYTES)), often, window), kind, window)
-    if len(often):
-        named = docs.sparkSession.createDataFrame([(int(m),) for m in often], "mini long")
-        rows = cut(super_kmers(docs, window).join(F.broadcast(named), "mini", "left_semi"), "hot")  # read three times below
-        found = found.unionAll(without_buckets(rows, window))
+    if few:
+        found = found.unionAll(without_buckets(docs, often, window, limit))
     return merged_spans(found.select("doc_id", F.shiftright("place", 32).cast("int").alias("rep"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"), "size"), ["doc_id", "rep"])
 
 
@@ -240,7 +318,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, with_text: bool = False,
     """One row per document: doc_id, n_words, n_removed, kept_sha256[, kept]."""
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     spans = covered(docs, window, **options).withColumnsRenamed({"doc_id": "_id", "rep": "_rep"})
-    spans = sized_broadcast_once(spans)
+    spans = sized_broadcast_once(spans, options.get("limit", BROADCAST_BYTES))
     keyed = clean_input(docs).withColumn("rep", rep_of("text"))
     joined = keyed.join(spans, (keyed["doc_id"] == spans["_id"]) & (keyed["rep"] == spans["_rep"]), "left").select("doc_id", "text", "spans")
 
@@ -262,9 +340,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, with_text: bool = False,
     return joined.mapInPandas(cut_out, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
-def sized_broadcast_once(spans: DataFrame) -> DataFrame:
+def sized_broadcast_once(spans: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The spans, written once, with a broadcast hint when small."""
-    return sized_broadcast(cut(spans, "spans"), 32 + 16 * F.size("spans"))
+    return sized_broadcast(cut(spans, "spans"), 32 + 16 * F.size("spans"), limit)
 
 
 def sql() -> str:

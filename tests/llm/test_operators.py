@@ -58,7 +58,7 @@ def test_quality_rules(spark, con):
     assert quality_rules.measures(overlapping).first()["n_repeat_words"] == 15
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 1, "sample": 1.0}])
+@pytest.mark.parametrize("options", [{}, {"hot": 1, "sample": 1.0}, {"hot": 1, "sample": 1.0, "limit": 0}])
 def test_substring_dedup(spark, con, options):
     out = substring_dedup.deduplicated(documents(spark), **options)
     assert rows_of(out) == sql_rows(con, substring_dedup.sql(), out.columns)
