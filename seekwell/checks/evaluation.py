@@ -159,7 +159,11 @@ def _(t):
     return p.select("conv_id", "turn", F.round(Q.rouge_n(F.col("a"), F.col("b"), 1), 6).alias("rouge1"), F.round(Q.rouge_n(F.col("a"), F.col("b"), 2), 6).alias("rouge2"))
 
 
-@register("rouge_l")
+ROUGE_SQL = f"""WITH {PAIRS_SQL}, w AS (SELECT row_number() OVER () AS id, conv_id, turn, {W.format(c='pred')} AS a, {W.format(c='gold')} AS b FROM p), {S.lcs('l', 'w')}
+ SELECT conv_id, turn, CASE WHEN len(a) + len(b) = 0 THEN 0 ELSE 2 * lcs / (len(a) + len(b)) END AS f1, CASE WHEN len(b) = 0 THEN 0 ELSE lcs / len(b) END AS recall FROM w JOIN l USING (id)"""
+
+
+@register("rouge_l", f"SELECT conv_id, turn, round(f1, 6) AS f1, round(recall, 6) AS recall FROM ({ROUGE_SQL})")
 def _(t):
     p = turn_pairs(t).select("conv_id", "turn", words("pred").alias("a"), words("gold").alias("b"))
     return p.select("conv_id", "turn", F.round(Q.rouge_l(F.col("a"), F.col("b")), 6).alias("f1"), F.round(Q.rouge_l(F.col("a"), F.col("b"), "r"), 6).alias("recall"))
@@ -248,6 +252,49 @@ def _(t):
     return E.dataset_scores(p.select("dataset", E.f1_over_answers(pred, F.array("gold")).alias("score")))
 
 
+CODE_LINE = "coalesce(list_filter(string_split(regexp_replace(pred, '^\\n+', ''), chr(10)), lambda x: NOT (contains(x, '`') OR contains(x, '#') OR contains(x, '//')))[1], '')"
+RATIO = "CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE round(200.0e0 * lcs / (len(a) + len(b))) / 100 END"
+LETTERS = "list_filter(string_split({c}, ''), lambda c: c <> '')"
+# every dataset with a metric, in the order of their names
+SCORED = sorted(d for d, kind in E.DATASET_METRIC.items() if kind in E.METRICS)
+NAMES_SQL = "[" + ", ".join(f"'{d}'" for d in SCORED) + "]"
+CLASSES = ("the", "he", "der", "de", "tion", "on", "la")
+
+
+def in_sql(kind: str) -> str:
+    return "dataset IN (" + ", ".join(f"'{d}'" for d, k in E.DATASET_METRIC.items() if k == kind) + ")"
+
+
+@register("dataset_report", f"""WITH {PAIRS_SQL.replace("a.text AS pred", "a.text || ' ' || a.turn || ' ' || a.conv_id % 3 AS pred")},
+ base AS (SELECT row_number() OVER () AS id, conv_id, turn, gold, len(string_split(gold, ' ')) * 100 AS length, {NAMES_SQL}[1 + (conv_id * 31 + turn) % {len(SCORED)}] AS dataset, pred FROM p),
+ cut1 AS (SELECT * REPLACE (CASE WHEN dataset IN ('trec', 'triviaqa', 'samsum', 'lsht') THEN split_part(ltrim(pred, chr(10)), chr(10), 1) ELSE pred END AS pred) FROM base),
+ en AS (SELECT id AS conv_id, 0 AS turn, {EN('pred')} AS a, {EN('gold')} AS b FROM cut1 WHERE {in_sql('f1')}), zh AS (SELECT id AS conv_id, 0 AS turn, {ZH('pred')} AS a, {ZH('gold')} AS b FROM cut1 WHERE {in_sql('f1_zh')}),
+ f_en AS (SELECT * FROM (WITH p AS (SELECT * FROM en), {f1_sql('a', 'b', "string_split({c}, ' ')")})), f_zh AS (SELECT * FROM (WITH p AS (SELECT * FROM zh), {f1_sql('a', 'b', "string_split({c}, '')")})),
+ toks AS (SELECT id, {W.format(c='pred')} AS a, {W.format(c='gold')} AS b FROM cut1 WHERE {in_sql('rouge')} UNION ALL
+   SELECT id, list_filter(string_split(pred, ''), lambda c: trim(c) <> ''), list_filter(string_split(gold, ''), lambda c: trim(c) <> '') FROM cut1 WHERE {in_sql('rouge_zh')} UNION ALL
+   SELECT id, {LETTERS.format(c=CODE_LINE)}, {LETTERS.format(c='gold')} FROM cut1 WHERE {in_sql('code')}), {S.lcs('l', 'toks')},
+ num AS (SELECT id, dataset, regexp_extract_all(pred, '[0-9]+') AS x, (conv_id % 3)::VARCHAR AS y, CASE turn % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'der' ELSE 'tion' END AS truth, pred FROM cut1),
+ cl AS (SELECT id, truth, list_filter({list(CLASSES)}, lambda x: contains(pred, x) AND NOT (contains(truth, x) AND x <> truth)) AS found FROM num WHERE {in_sql('class')}),
+ s AS (SELECT conv_id AS id, f1 AS score FROM f_en UNION ALL SELECT conv_id, f1 FROM f_zh UNION ALL SELECT id, CASE WHEN {in_sql('code')} THEN {RATIO} WHEN len(a) + len(b) = 0 THEN 0 ELSE 2 * lcs / (len(a) + len(b)) END FROM toks JOIN l USING (id) JOIN cut1 USING (id)
+   UNION ALL SELECT id, CASE WHEN list_contains(found, truth) THEN 1 / len(found) ELSE 0 END FROM cl
+   UNION ALL SELECT id, CASE WHEN len(x) = 0 THEN 0 ELSE len(list_filter(x, lambda v: v = y)) / len(x) END FROM num WHERE {in_sql('number')} OR {in_sql('paragraph')} OR {in_sql('paragraph_zh')}),
+ g AS (SELECT dataset, CASE WHEN length < 4000 THEN '0-4k' WHEN length < 8000 THEN '4-8k' ELSE '8k+' END AS bucket, round(score, 6) AS score FROM cut1 JOIN s USING (id)),
+ d AS (SELECT dataset, count(*) AS n, round(100 * avg(score), 2) AS value FROM g GROUP BY dataset)
+ SELECT 'dataset' AS level, dataset AS name, NULL AS bucket, n, value FROM d UNION ALL SELECT 'length', dataset, bucket, count(*), round(100 * avg(score), 2) FROM g GROUP BY dataset, bucket
+ UNION ALL SELECT 'category', c.category, NULL, sum(n)::BIGINT, round(avg(value), 2) FROM d JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in E.DATASET_CATEGORY.items())}) c(dataset, category) USING (dataset) GROUP BY c.category
+ UNION ALL SELECT 'overall', 'all', NULL, sum(n)::BIGINT, round(avg(value), 2) FROM d""")
+def _(t):
+    p = turn_pairs(t).withColumn("pred", F.concat_ws(" ", "pred", "turn", F.col("conv_id") % 3))
+    dataset = F.element_at(F.array(*[F.lit(d) for d in SCORED]), (1 + (F.col("conv_id") * 31 + F.col("turn")) % len(SCORED)).cast("int"))
+    p = p.withColumns({"dataset": dataset, "kind": F.element_at(E.literal_map(E.DATASET_METRIC), dataset)})
+    number = (F.col("conv_id") % 3).cast("string")
+    truth = (F.when(F.col("kind") == "class", F.when(F.col("turn") % 3 == 0, "the").when(F.col("turn") % 3 == 1, "der").otherwise("tion"))
+             .when(F.col("kind") == "number", number).when(F.col("kind") == "paragraph", F.concat(F.lit("Paragraph "), number))
+             .when(F.col("kind") == "paragraph_zh", F.concat(F.lit("段落"), number)).otherwise(F.col("gold")))
+    classes = F.array(*[F.lit(c) for c in CLASSES])
+    return E.dataset_report(p.select("dataset", F.col("pred").alias("prediction"), F.array(truth).alias("answers"), classes.alias("classes"), (F.size(F.split("gold", " ")) * 100).alias("length")))
+
+
 @register("dataset_scores_by_length", """WITH s AS (SELECT lang AS dataset, CASE WHEN len(string_split(text, ' ')) < 4000 THEN '0-4k' WHEN len(string_split(text, ' ')) < 8000 THEN '4-8k' ELSE '8k+' END AS bucket, quality FROM documents JOIN labels USING (doc_id))
  SELECT dataset, bucket, round(100 * avg(quality), 2) AS value FROM s GROUP BY dataset, bucket""")
 def _(t):
@@ -306,7 +353,8 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("score"))
 
 
-@register("code_similarity")
+@register("code_similarity", f"""WITH {PAIRS_SQL}, s AS (SELECT row_number() OVER () AS id, conv_id, turn, {LETTERS.format(c=CODE_LINE)} AS a, {LETTERS.format(c='gold')} AS b FROM p), {S.lcs('l', 's')}
+ SELECT conv_id, turn, {RATIO} AS ratio FROM s JOIN l USING (id)""")
 def _(t):
     return turn_pairs(t).select("conv_id", "turn", Q.edit_ratio(Q.code_line("pred"), F.col("gold")).alias("ratio"))
 
@@ -316,11 +364,15 @@ def _(t):
     return E.score_grid(t.documents.join(t.labels, "doc_id"), "lang", "toxic", "quality", [0, 1])
 
 
-@register("topic_accuracy", f"""WITH {PAIRS_SQL}, {f1_sql(EN('pred'), EN('gold'), "string_split({c}, ' ')").replace(" SELECT p.conv_id", ", f AS (SELECT p.conv_id", 1)})
- SELECT turn AS num, floor(avg(length(pred)))::BIGINT AS length, round(avg(contains(lower(pred), lower(split_part(gold, ' ', 1)))::INT), 6) AS accuracy FROM p JOIN f USING (conv_id, turn) GROUP BY turn""")
+WHOLE = PAIRS_SQL.replace("b.text AS gold", "array_to_string(string_split(a.text, ' ')[2:3], ' ') || (CASE a.turn % 2 WHEN 0 THEN '' ELSE ' ' || b.text END) AS gold")
+
+
+@register("topic_accuracy", f"""WITH {WHOLE}, {f1_sql(EN('pred'), EN('gold'), "string_split({c}, ' ')").replace(" SELECT p.conv_id", ", f AS (SELECT p.conv_id", 1)})
+ SELECT turn AS num, floor(avg(length(pred)))::BIGINT AS length, round(avg(contains(lower(pred), lower(gold))::INT), 6) AS accuracy, round(avg(f1), 4) AS f1 FROM p JOIN f USING (conv_id, turn) GROUP BY turn""")
 def _(t):
-    p = turn_pairs(t).select(F.col("turn").alias("num"), F.length("pred").alias("length"), F.split("gold", " ")[0].alias("target"), F.col("pred").alias("prediction"))
-    return E.topic_accuracy(p).drop("f1")
+    target = F.concat(F.array_join(F.slice(F.split("pred", " "), 2, 2), " "), F.when(F.col("turn") % 2 == 0, "").otherwise(F.concat(F.lit(" "), "gold")))
+    p = turn_pairs(t).select(F.col("turn").alias("num"), F.length("pred").alias("length"), target.alias("target"), F.col("pred").alias("prediction"))
+    return E.topic_accuracy(p)
 
 
 @register("language_average", f"WITH {PREDICTED.replace('SELECT quality', 'SELECT lang, quality')}, l AS (SELECT lang, round(avg((pred = label)::INT), 6) AS accuracy FROM c GROUP BY lang) SELECT * FROM l UNION ALL SELECT 'average', round(avg(accuracy), 6) FROM l")
@@ -407,3 +459,43 @@ def _(t):
 @register("leaderboard_markdown", f"""WITH {BOARD} SELECT model, '| ' || model || ' | ' || coalesce(en::VARCHAR, ' ') || ' | ' || coalesce(de::VARCHAR, ' ') || ' | ' || coalesce("CQADupstack"::VARCHAR, ' ') || ' | ' || coalesce(average::VARCHAR, ' ') || ' |' AS line FROM b""")
 def _(t):
     return E.markdown_rows(board(t))
+
+
+BOARD_TASKS = {"Quality": ["en", "de", "CQADupstack"], "Length": ["en-long", "de-long", "fr-long"]}
+
+
+def board_rows(t):
+    kind = predicted(t).withColumn("long", (F.col("n_chars") > 1500).cast("int"))
+    task = F.when(F.col("lang") == "es", "CQADupstackEs").when(F.col("lang") == "fr", "CQADupstackFr").otherwise(F.col("lang"))
+    quality = kind.groupBy(F.col("source").alias("model"), task.alias("task")).agg(F.avg("label").alias("value")).withColumn("type", F.lit("Quality"))
+    length = kind.groupBy(F.col("source").alias("model"), F.concat("lang", F.lit("-long")).alias("task")).agg(F.avg("long").alias("value")).withColumn("type", F.lit("Length"))
+    return stack(quality, length)
+
+
+BOARDS_SQL = """k AS (SELECT source AS model, lang, quality, (n_chars > 1500)::INT AS long FROM documents JOIN labels USING (doc_id)),
+ r AS (SELECT 'Quality' AS type, model, CASE WHEN lang IN ('es', 'fr') THEN 'CQADupstack' ELSE lang END AS task, round(avg(quality) * 100, 2) AS value FROM k GROUP BY model, lang
+   UNION ALL SELECT 'Length', model, lang || '-long', round(avg(long) * 100, 2) FROM k WHERE lang <> 'es' GROUP BY model, lang),
+ m AS (SELECT type, model, task, round(round(avg(value), 6), 2) AS value FROM r GROUP BY type, model, task),
+ c AS (SELECT type, model, sum(round(100 * value)::BIGINT)::BIGINT AS total, count(*) AS n FROM m GROUP BY type, model HAVING count(*) = 3),
+ boards AS (SELECT type AS board, model, task AS name, value FROM m UNION ALL SELECT type, model, 'Avg', ((2 * total + n) // (2 * n)) / 100 FROM c
+   UNION ALL SELECT 'Overall', model, type, ((2 * total + n) // (2 * n)) / 100 FROM c UNION ALL SELECT 'Overall', model, 'Avg', ((2 * sum(total)::BIGINT + sum(n)::BIGINT) // (2 * sum(n)::BIGINT)) / 100 FROM c GROUP BY model)"""
+
+
+@register("leaderboards", f"WITH {BOARDS_SQL} SELECT * FROM boards")
+def _(t):
+    return E.leaderboards(board_rows(t), BOARD_TASKS)
+
+
+def lines_sql() -> str:
+    parts = []
+    for board, names in {**BOARD_TASKS, "Overall": list(BOARD_TASKS)}.items():
+        title = "Overall" if board == "Overall" else f"Task Type: {board}"
+        parts += [f"SELECT '{board}' AS board, 0 AS number, '{title}' AS line", f"SELECT '{board}', 1, '| Model | {' | '.join(names)} | Avg |'", f"SELECT '{board}', 2, '|:---|{':---:|' * (len(names) + 1)}'"]
+        cells = " || ' | ' || ".join(f"coalesce(max(CASE WHEN name = '{n}' THEN value END)::VARCHAR, ' ')" for n in [*names, "Avg"])
+        parts.append(f"SELECT '{board}', (row_number() OVER (ORDER BY x.model) + 2)::INT, '| ' || x.model || ' | ' || {cells} || ' |' FROM (SELECT DISTINCT model FROM boards) x LEFT JOIN boards b ON b.model = x.model AND b.board = '{board}' GROUP BY x.model")
+    return f"WITH {BOARDS_SQL} " + " UNION ALL ".join(parts)
+
+
+@register("leaderboard_lines", lines_sql())
+def _(t):
+    return E.leaderboard_lines(E.leaderboards(board_rows(t), BOARD_TASKS), BOARD_TASKS)

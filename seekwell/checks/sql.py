@@ -48,6 +48,16 @@ def ranked(source: str, k: int | None = None, by="qid", score="score", tie="doci
             f"FROM {source}) {cut}")
 
 
+def lcs(name: str, source: str) -> str:
+    """CTE ``name(id, lcs)``: longest common subsequence of the token lists ``a`` and ``b`` of ``source(id, a, b)``, row by row."""
+    return f"""{name}_b AS (SELECT id, unnest(range(1, len(b) + 1)) AS i, unnest(b) AS u FROM {source}),
+{name} AS (WITH RECURSIVE r AS (
+   SELECT id, 0::BIGINT AS i, unnest(range(1, len(a) + 1)) AS j, unnest(a) AS t, 0 AS v FROM {source}
+   UNION ALL SELECT id, i, j, t, max(c) OVER (PARTITION BY id ORDER BY j) AS v FROM (
+     SELECT r.id, x.i, r.j, r.t, CASE WHEN r.t = x.u THEN coalesce(lag(r.v) OVER (PARTITION BY r.id ORDER BY r.j), 0) + 1 ELSE r.v END AS c FROM r JOIN {name}_b x ON x.id = r.id AND x.i = r.i + 1))
+ SELECT s.id, coalesce(max(r.v), 0) AS lcs FROM {source} s LEFT JOIN r ON r.id = s.id GROUP BY s.id)"""
+
+
 SIMPLE = r"regexp_extract_all({c}, '[\p{{L}}\p{{N}}\p{{M}}]+|[^\p{{Z}}\p{{C}}]')"
 
 

@@ -125,9 +125,13 @@ def turn_pairs(t):
     return a.join(b, ["conv_id", "turn"])
 
 
-@register("edit_similarity")
+CHARS = "string_split({c}, '')"
+
+
+@register("edit_similarity", f"""WITH {PAIRS_SQL}, s AS (SELECT row_number() OVER () AS id, conv_id, turn, {CHARS.format(c='pred')} AS a, {CHARS.format(c='gold')} AS b FROM p), {S.lcs('l', 's')}
+ SELECT conv_id, turn, round(200.0e0 * lcs / (len(a) + len(b))) / 100 AS ratio FROM s JOIN l USING (id)""")
 def _(t):
-    return turn_pairs(t).select("conv_id", "turn", Q.edit_ratio("pred", "gold").alias("ratio"))
+    return turn_pairs(t).select("conv_id", "turn", Q.edit_ratio(F.col("pred"), F.col("gold")).alias("ratio"))
 
 
 @register("length_filter", "SELECT doc_id, array_to_string(string_split(text, ' ')[1:512], ' ') AS text FROM documents WHERE len(string_split(text, ' ')) >= 128")

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from seekwell.functions.text import (
     answer_words, first_integer, first_line, integers, normalize_answer, normalize_answer_zh, token_counts, words)
@@ -67,23 +64,53 @@ def rouge_n(pred: Column, gold: Column, n: int) -> Column:
     return F.when(same == 0, F.lit(0.0)).otherwise(2.0 * same / (F.size(p) + F.size(g)))
 
 
-def _lcs(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence with one bit per token of ``a``."""
-    masks: dict[str, int] = {}
-    for i, token in enumerate(a):
-        masks[token] = masks.get(token, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for token in b:
-        hit = row & masks.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - bin(row).count("1")
+# Bits of one long that hold places of a token array; the rest takes the carry.
+_BITS = 62
+
+
+def _places(tokens: Column) -> Column:
+    """Map from each distinct token to its places as an array of longs, one bit a place. Sorting brings equal tokens
+    together, so each place is looked at once."""
+    n = F.size(tokens)
+    blocks = F.sequence(F.lit(0), F.ceil(n / F.lit(_BITS)).cast("int") - 1)
+    order = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+
+    def masks(s):
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i)["t"] != F.get(s, i - 1)["t"]))
+        mine = lambda st, p, j: F.slice(s, p + 1, F.coalesce(F.get(st, j + 1), n) - p)
+        bits = lambda rows: F.transform(blocks, lambda k: F.aggregate(
+            rows, F.lit(0).cast("long"), lambda acc, r: F.when(F.floor(r["i"] / F.lit(_BITS)) == k, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (r["i"] % _BITS).cast("int")))).otherwise(acc)))
+        return let(starts, lambda st: F.map_from_arrays(F.transform(st, lambda p: F.get(s, p)["t"]), F.transform(st, lambda p, j: bits(mine(st, p, j)))))
+
+    return let(order, masks)
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two token arrays, by bit-parallel rows: one bit for each token of
+    ``a``, as many longs as it takes, and one pass over ``b``. Built-in functions only; null counts as empty."""
+    none = F.array().cast("array<string>")
+    a, b = F.coalesce(F.filter(a, lambda t: t.isNotNull()), none), F.coalesce(b, none)
 
+    def length(x):
+        n, masks = F.size(x["a"]), x["m"]
+        count = F.ceil(n / F.lit(_BITS)).cast("int")
+        full = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n - k * _BITS, F.lit(_BITS)).cast("int")) - F.lit(1).cast("long")
+        whole = F.transform(F.sequence(F.lit(0), count - 1), lambda k: full(k))
+        start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("out"))
 
-@F.pandas_udf(T.LongType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence length of two token arrays."""
-    return pd.Series([0 if x is None or y is None else _lcs(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
+        def block(row, mask):
+            def put(s, k):
+                now, hit = F.get(row, k), F.get(row, k).bitwiseAND(F.get(mask, k))
+                total = now + hit + s["carry"]
+                return F.struct(F.when(total > full(k), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")).alias("carry"),
+                                F.concat(s["out"], F.array(total.bitwiseAND(full(k)).bitwiseOR(now - hit))).alias("out"))
+            return F.aggregate(F.sequence(F.lit(0), count - 1), start, put, lambda s: s["out"])
+
+        rows = F.aggregate(x["b"], whole, lambda row, token: let(F.try_element_at(masks, token), lambda m: F.when(m.isNull(), row).otherwise(block(row, m))))
+        return F.aggregate(rows, F.lit(0), lambda acc, v: acc - F.bit_count(v), lambda acc: acc + n)
+
+    some = (F.size(a) > 0) & (F.size(b) > 0)
+    return F.when(some, let(F.struct(a.alias("a"), b.alias("b"), _places(a).alias("m")), length)).otherwise(F.lit(0))
 
 
 def rouge_l(pred: Column, gold: Column, kind: str = "f") -> Column:
@@ -93,11 +120,17 @@ def rouge_l(pred: Column, gold: Column, kind: str = "f") -> Column:
     return F.when(bottom > 0, common / bottom).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf(T.DoubleType())
-def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity 0..1 from matching blocks, in whole percent."""
-    ratio = lambda x, y: round(100 * difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()) / 100
-    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)])
+def edit_ratio(a: Column, b: Column) -> Column:
+    """Similarity 0..1 of two texts in whole percent: the share of characters that stay when one text is turned into the
+    other by deletions and insertions, from their longest common subsequence."""
+    total = F.length(a) + F.length(b)
+    same = lcs_length(F.filter(F.split(a, ""), lambda x: x != ""), F.filter(F.split(b, ""), lambda x: x != ""))
+    return F.when(total == 0, F.lit(1.0)).otherwise(F.round(F.lit(200.0) * same / total) / 100)
+
+
+def characters(col) -> Column:
+    """Single characters without blanks."""
+    return F.filter(F.split(_c(col), ""), lambda x: F.trim(x) != "")
 
 
 def code_line(col) -> Column:
@@ -226,7 +259,5 @@ def task_score(task, pred, labels, classes=None) -> Column:
         .when(t == "longbook_choice_eng", score_choice(p, labels))
         .when(t == "longbook_qa_eng", best_of(labels, lambda a: f1_answer(p, a)))
         .when(t == "longbook_qa_chn", best_of(labels, lambda a: f1_answer_zh(p, a)))
+        .when(t == "longbook_sum_eng", best_of(labels, lambda a: rouge_l(words(p), words(a))))
     )
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["first_line"]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from seekwell.functions import scoring as Q
 from seekwell.functions.scoring import best_of, f1_answer
+from seekwell.functions.text import first_line, words
 from seekwell.operators.phrases import phrase_matches
 from seekwell.scale import cut, running_total, running_totals, stack, top_rows
 
@@ -189,6 +193,60 @@ def perplexity(losses: DataFrame) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.exp(F.avg("nll")), 6).alias("perplexity"))
 
 
+# Scorer of one answer by metric name: prediction, answer, class names.
+METRICS = {
+    "f1": lambda p, a, c: Q.f1_answer(p, a),
+    "f1_zh": lambda p, a, c: Q.f1_answer_zh(p, a),
+    "rouge": lambda p, a, c: Q.rouge_l(words(p), words(a)),
+    "rouge_zh": lambda p, a, c: Q.rouge_l(Q.characters(p), Q.characters(a)),
+    "class": lambda p, a, c: Q.class_score(p, a, c),
+    "paragraph": lambda p, a, c: Q.paragraph_share(p, a),
+    "paragraph_zh": lambda p, a, c: Q.paragraph_share(p, a, "zh"),
+    "number": lambda p, a, c: Q.number_share(p, a),
+    "code": lambda p, a, c: Q.edit_ratio(Q.code_line(p), a),
+}
+# Length buckets of the benchmark report, in tokens.
+LENGTH_BUCKETS = {"0-4k": 4000, "4-8k": 8000, "8k+": None}
+
+
+def dataset_score(dataset: Column, prediction: Column, answers: Column, classes: Column | None = None) -> Column:
+    """Best score over ``answers`` by the metric of the row's dataset: one expression for all datasets, in which only the
+    branch of the row's metric is evaluated. Null for a dataset without a metric here."""
+    text = F.when(dataset.isin(*FIRST_LINE_DATASETS), first_line(prediction)).otherwise(prediction)
+    names = F.coalesce(classes if classes is not None else F.lit(None).cast("array<string>"), F.array().cast("array<string>"))
+    best = lambda metric: best_of(answers, lambda a: metric(text, a, names).cast("double"))
+    out = F.lit(None).cast("double")
+    for kind, metric in METRICS.items():
+        out = F.when(dataset.isin(*[d for d, k in DATASET_METRIC.items() if k == kind]), best(metric)).otherwise(out)
+    return out
+
+
+def length_bucket(length: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, upper in reversed(LENGTH_BUCKETS.items()):
+        out = F.lit(name) if upper is None else F.when(length < upper, name).otherwise(out)
+    return out
+
+
+def dataset_report(rows: DataFrame) -> DataFrame:
+    """``(dataset, prediction, answers, classes, length)`` to ``(level, name, bucket, n, value)``.
+
+    Percent per dataset and per dataset and length bucket from one aggregate, then the means of the datasets per category
+    and overall.
+    """
+    scored = rows.select("dataset", length_bucket(F.col("length")).alias("bucket"),
+                         dataset_score(F.col("dataset"), F.col("prediction"), F.col("answers"), F.col("classes")).alias("score")).filter("score is not null")
+    ds, bucket = F.col("dataset"), F.col("bucket")
+    per = scored.groupingSets([[ds], [ds, bucket]], ds, bucket).agg(F.grouping("bucket").alias("_all"), F.count(F.lit(1)).alias("n"), F.round(100 * F.avg("score"), 2).alias("value"))
+    per = cut(per, "dataset-scores")
+    whole = per.filter("_all = 1")
+    part = lambda df, level, name: df.select(F.lit(level).alias("level"), name.alias("name"), F.lit(None).cast("string").alias("bucket"), "n", "value")
+    category = whole.groupBy(F.element_at(literal_map(DATASET_CATEGORY), ds).alias("category")).agg(F.sum("n").alias("n"), F.round(F.avg("value"), 2).alias("value"))
+    overall = whole.agg(F.sum("n").alias("n"), F.round(F.avg("value"), 2).alias("value"))
+    return stack(part(whole, "dataset", ds), per.filter("_all = 0").select(F.lit("length").alias("level"), ds.alias("name"), "bucket", "n", "value"),
+                 part(category, "category", F.col("category")), part(overall.filter("n > 0"), "overall", F.lit("all")))
+
+
 def dataset_scores(scored: DataFrame) -> DataFrame:
     """``(dataset, score)`` rows: percent per dataset, mean per category, overall mean."""
     per = scored.groupBy("dataset").agg(F.round(100 * F.avg("score"), 2).alias("value"))
@@ -317,5 +375,48 @@ def markdown_rows(board: DataFrame) -> DataFrame:
     return board.select(board.columns[0], F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+def leaderboards(results: DataFrame, tasks: dict[str, list[str]]) -> DataFrame:
+    """``(type, task, model, value)`` to long tables ``(board, model, name, value)`` in percent.
+
+    One board per task type has the tasks and ``Avg``, which needs every task of ``tasks[type]``. The board ``Overall`` has
+    the average of each type that a model completed, and ``Avg`` over all tasks of those types. Sub-forum tasks are
+    averaged into one first. Tasks, types and models come from one aggregate over grouping sets.
+    """
+    name = F.when(F.col("task").startswith(MERGED_TASK), MERGED_TASK).otherwise(F.col("task"))
+    pct = results.select("type", "model", name.alias("task"), F.round(F.col("value") * 100, 2).alias("value"))
+    known = reduce(Column.__or__, [(F.col("type") == t) & F.col("task").isin(*ts) for t, ts in tasks.items()])
+    merged = pct.filter(known).groupBy("type", "model", "task").agg(F.round(F.round(F.avg("value"), 6), 2).alias("value"))
+    t, m, k = F.col("type"), F.col("model"), F.col("task")
+    sets = merged.groupingSets([[t, m, k], [t, m]], t, m, k).agg(F.grouping("task").alias("_all"), F.count(F.lit(1)).alias("n"), F.sum(F.round(100 * F.col("value")).cast("long")).alias("total"))
+    sets = cut(sets, "board-sums")  # hundredths of percents, so that sums and ties are exact
+    done = sets.filter((F.col("_all") == 1) & (F.col("n") == F.element_at(literal_map({x: len(ts) for x, ts in tasks.items()}), t)))
+    mean = lambda total, n: F.floor((2 * total + n) / (2 * n)) / 100
+    overall = done.groupBy("model").agg(mean(F.sum("total"), F.sum("n")).alias("value"))
+    row = lambda df, board, label, value: df.select(board.alias("board"), "model", label.alias("name"), value.alias("value"))
+    return stack(row(sets.filter("_all = 0"), t, k, F.col("total") / 100), row(done, t, F.lit("Avg"), mean(F.col("total"), F.col("n"))),
+                 row(done, F.lit("Overall"), t, mean(F.col("total"), F.col("n"))), row(overall, F.lit("Overall"), F.lit("Avg"), F.col("value")))
+
+
+def leaderboard_lines(boards: DataFrame, tasks: dict[str, list[str]]) -> DataFrame:
+    """Markdown lines ``(board, number, line)`` of :func:`leaderboards`: title, header, rule, then one line per model that
+    has results anywhere, by name; a missing value is a blank cell."""
+    columns = {**tasks, "Overall": list(tasks)}
+    spark = boards.sparkSession
+    head = []
+    for board, names in columns.items():
+        title = "Overall" if board == "Overall" else f"Task Type: {board}"
+        head += [(board, 0, title), (board, 1, "| Model | " + " | ".join([*names, "Avg"]) + " |"), (board, 2, "|:---|" + ":---:|" * (len(names) + 1))]
+    cells = boards.groupBy("board", "model").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("cells"))  # one entry per task
+    every = boards.select("model").distinct().select("model", F.explode(F.array(*[F.lit(b) for b in columns])).alias("board"))
+    rows = every.join(cells, ["board", "model"], "left")
+    none = F.create_map().cast("map<string,double>")
+    line = F.lit(None).cast("string")
+    for board, names in columns.items():
+        values = [F.coalesce(F.try_element_at(F.coalesce("cells", none), F.lit(n)).cast("string"), F.lit(" ")) for n in [*names, "Avg"]]
+        line = F.when(F.col("board") == board, F.concat(F.lit("| "), F.concat_ws(" | ", "model", *values), F.lit(" |"))).otherwise(line)
+    number = F.row_number().over(W.partitionBy("board").orderBy("model")) + 2  # a board has as many rows as models were tested
+    return stack(spark.createDataFrame(head, "board string, number int, line string"), rows.select("board", number.alias("number"), line.alias("line")))
+
+
 def f1_over_answers(pred, answers) -> Column:
     return best_of(answers, lambda a: f1_answer(pred, a))
