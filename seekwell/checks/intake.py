@@ -25,10 +25,10 @@ def _(t):
 
 @register("corpus_json_array", "SELECT item_id::VARCHAR AS docid, text FROM benchmark")
 def _(t):
-    # arrays of many rows, one per file, as exported corpora have it
+    # arrays of 64 rows, one per file, as exported corpora have it
     path = folder(t, "array")
     row = F.struct(F.col("item_id").alias("id"), F.col("text").alias("contents"))
-    arrays = t.benchmark.groupBy(F.pmod("item_id", F.lit(4))).agg(F.to_json(F.collect_list(row)).alias("value"))
+    arrays = t.benchmark.groupBy(F.floor(F.col("item_id") / 64)).agg(F.to_json(F.collect_list(row)).alias("value"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return A.read_corpus(t.spark, path, "json").select("docid", "text")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from seekwell.functions.text import fill_template, tokens, truncate, truncate_left_of_pair
-from seekwell.scale import hash_rank, seeded, seeded_place, top_rows
+from seekwell.scale import BROADCAST_BYTES, cut, hash_rank, running_totals, seeded, seeded_place, top_rows
 
 # Instruction in front of queries and keys, by instruction family and task.
 INSTRUCTIONS = {
@@ -122,16 +122,35 @@ def same_task_random(queries: DataFrame, docs: DataFrame, k: int, seed: int = 42
     return wanted.join(order, ["task", "_pos"]).select("qid", "docid", "rank")
 
 
+# Examples of one block of the pool.
+POOL_BLOCK = 1_000
+
+
 def other_property_examples(queries: DataFrame, examples: DataFrame, per_property: int, seed: int = 42) -> DataFrame:
     """Seeded examples of every property except the query's own.
 
-    The pool has ``per_property`` rows per property of the relation list, so it travels as
-    one small array.
+    The pool has ``per_property`` rows per property, in one order by property and rank, so all but the query's own are two
+    ranges of places. The pool is dealt into blocks of ``POOL_BLOCK`` places; a query meets every block that is not wholly
+    its own property. Rows without a property take no part. Blocks travel to the queries when their measured size allows, otherwise queries are salted.
     """
-    pool = top_rows(examples.select("prop", "id", seeded(seed, "id").alias("_h")), ["prop"], [F.col("_h"), F.col("id")], per_property)
-    packed = pool.agg(F.array_sort(F.collect_list(F.struct("prop", "rank", "id"))).alias("p")).scalar()
-    rows = queries.select("qid", "prop").withColumn("_p", packed)
-    return rows.select("qid", F.inline(F.filter("_p", lambda e: e["prop"] != F.col("prop")))).select("qid", "prop", F.col("rank"), F.col("id").alias("docid"))
+    pool = top_rows(examples.filter("prop is not null").select("prop", "id", seeded(seed, "id").alias("_h")), ["prop"], [F.col("_h"), F.col("id")], per_property).drop("_h")
+    placed = cut(running_totals(pool, [], "prop", {"_place": F.lit(1).cast("long")}, ["rank", "id"]), "pool")
+    own = placed.groupBy("prop").agg(F.min("_place").alias("_lo"), F.max("_place").alias("_hi"))
+    block = F.floor((F.col("_place") - 1) / POOL_BLOCK)
+    blocks = placed.groupBy(block.alias("_block")).agg(F.collect_list(F.struct("_place", "prop", "rank", "id")).alias("_rows"))
+    size = placed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col("prop").cast("string")) + F.octet_length(F.col("id").cast("string")) + 40), F.lit(0)).alias("bytes")).first()
+    last = F.lit(max(size["n"] - 1, 0) // POOL_BLOCK)
+    asked = queries.filter("prop is not null").select("qid", "prop").join(own, "prop", "left").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    inside = (F.col("_block") * POOL_BLOCK + 1 >= F.col("_lo")) & ((F.col("_block") + 1) * POOL_BLOCK <= F.col("_hi"))
+    asked = asked.filter(~F.coalesce(inside, F.lit(False)))
+    if size["bytes"] <= BROADCAST_BYTES:
+        met = asked.join(F.broadcast(blocks), "_block")
+    else:
+        salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = asked.withColumn("_salt", F.pmod(F.xxhash64("qid"), F.lit(salts)).cast("int")).join(salted, ["_block", "_salt"])
+    others = F.filter("_rows", lambda e: F.coalesce((e["_place"] < F.col("_lo")) | (e["_place"] > F.col("_hi")), F.lit(True)))
+    return met.select("qid", F.explode(others).alias("e")).select("qid", F.col("e.prop").alias("prop"), F.col("e.rank").alias("rank"), F.col("e.id").alias("docid"))
 
 
 def fitting_prefix(items: Column, budget: Column, tokenizer="whitespace") -> Column:

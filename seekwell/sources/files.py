@@ -8,12 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from seekwell.scale import hash_rank, running_total, seeded, stack, top_rows
+from seekwell.sources.json_arrays import read_json_array
 
 # Accepted names of the document id, best first.
 ID_NAMES = ("docid", "id", "_id")
 # Languages of the two multilingual evaluation sets.
-OPEN_QA_LANGUAGES = ("en ar fi ja ko ru es sv he th da de fr it nl pl pt hu vi ms km no tr zh_cn zh_hk zh_tw").split()
-LONG_DOC_LANGUAGES = "ar de en es fr hi it ja ko pt ru th zh".split()
+OPEN_QA_LANGUAGES = ("en", "ar", "fi", "ja", "ko", "ru", "es", "sv", "he", "th", "da", "de", "fr", "it", "nl", "pl", "pt", "hu", "vi", "ms", "km", "no", "tr", "zh_cn", "zh_hk", "zh_tw")
+LONG_DOC_LANGUAGES = ("ar", "de", "en", "es", "fr", "hi", "it", "ja", "ko", "pt", "ru", "th", "zh")
 # Three intents of the router.
 INTENTS = {0: "chat", 1: "consult", 2: "human"}
 
@@ -36,6 +37,7 @@ def read_corpus(spark: SparkSession, path, fmt: str = "jsonl") -> DataFrame:
     """``(docid, text, title)`` from a JSON array, JSON lines or tab-separated text.
 
     The id is the first present of ``docid``, ``id``, ``_id``; a row without any is an error.
+    One large JSON array is read by many tasks.
     """
     if fmt == "tsv":
         f = F.split("value", "\t")
@@ -45,7 +47,7 @@ def read_corpus(spark: SparkSession, path, fmt: str = "jsonl") -> DataFrame:
     # ids are read as text so that 1 and "1" are the same document
     fields = [*ID_NAMES, "contents", "text", "title"]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in fields])
-    df = spark.read.schema(schema).json(path, multiLine=(fmt == "json"))
+    df = read_json_array(spark, path, schema) if fmt == "json" else spark.read.schema(schema).json(path)
     docid = F.coalesce(*[F.col(n) for n in ID_NAMES])
     missing = F.raise_error(F.lit("corpus row without docid, id or _id")).cast("string")
     return df.select(F.coalesce(docid, missing).alias("docid"), F.coalesce("contents", "text").alias("text"), "title")
