@@ -398,6 +398,19 @@ for _kind in ("relative", "absolute"):
         return E.rewrite_reward(bm25_run(t), other, t.topics, E.phrase_matches(t.corpus, t.topics), 10, kind)
 
 
+@register("rewrite_reward_mixed", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_reverse(embedding)::DOUBLE[] AS r, label FROM embeddings),
+ sa AS (SELECT a.vec_id AS qid, b.vec_id AS docid, round(list_dot_product(a.e, b.e), 6) AS score FROM v a CROSS JOIN v b), a AS (""" + S.ranked("sa", 10) + """),
+ sb AS (SELECT a.vec_id AS qid, b.vec_id AS docid, round(0.6e0 * list_dot_product(a.r, b.e) + 0.4e0 * list_dot_product(a.e, b.e), 6) AS score FROM v a CROSS JOIN v b), b AS (""" + S.ranked("sb", 10) + """),
+ rel AS (SELECT a.vec_id AS qid, b.vec_id AS docid FROM v a JOIN v b ON a.label = b.label AND b.vec_id % 7 = 0), n AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid),
+ ha AS (SELECT qid, sum(1 / log10(9 + rank)) AS o FROM a JOIN rel USING (qid, docid) GROUP BY qid), hb AS (SELECT qid, sum(1 / log10(9 + rank)) AS r FROM b JOIN rel USING (qid, docid) GROUP BY qid)
+ SELECT vec_id AS qid, CASE WHEN n.n IS NULL THEN 0 ELSE least(greatest(round((coalesce(hb.r / n.n, 1 / log10(24)) - coalesce(ha.o / n.n, 1 / log10(24))) * 10, 3), -2), 2) END AS reward FROM v LEFT JOIN n ON n.qid = vec_id LEFT JOIN ha ON ha.qid = vec_id LEFT JOIN hb ON hb.qid = vec_id""")
+def _(t):
+    side = t.embeddings.select("vec_id", "label")
+    rel = side.withColumnRenamed("vec_id", "qid").join(side.filter("vec_id % 7 = 0").withColumnRenamed("vec_id", "docid"), "label").select("qid", "docid")
+    rewritten = t.vec_queries.select("qid", F.reverse("embedding").alias("embedding"))
+    return E.mixed_rewrite_reward(t.vec_queries, rewritten, t.vec_corpus, t.vec_queries.select("qid", F.lit("q").alias("query")), rel, 0.6, 10)
+
+
 PAIR_SCORES = S.dense("run", 20) + ", s AS (SELECT r.score, (a.label = b.label)::INT AS gold FROM run r JOIN embeddings a ON a.vec_id = r.qid JOIN embeddings b ON b.vec_id = r.docid)"
 
 

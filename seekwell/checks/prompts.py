@@ -143,6 +143,29 @@ def _(t):
     return P.render_templates(rows, TEMPLATES, 300).select("doc_id", "prompt", F.array_join(gold, " ").alias("gold"))
 
 
+BENCH_TEMPLATES = {"code_run": "{context}\nReturn value of {func_call}? {func} is defined above.", "code_debug": "{context}\nA. {OPTION_A}\nB. {OPTION_B}\nC. {OPTION_C}\nD. {OPTION_D}",
+                   "math_find": "{prefix}\n{context}\n{input}", "longbook_qa_eng": "{context}\nQ: {question}"}
+LETTER = "['A', 'B', 'C', 'D']"
+
+
+@register("benchmark_prompts", f"""WITH d AS (SELECT doc_id, text, lang, source, ['en', 'de', 'fr', 'es'] AS options, CASE doc_id % 4 WHEN 0 THEN 'code_run' WHEN 1 THEN 'code_debug' WHEN 2 THEN 'math_find' ELSE 'longbook_qa_eng' END AS task FROM documents)
+ SELECT doc_id, CASE task WHEN 'code_run' THEN text || chr(10) || 'Return value of func_' || doc_id || '(-' || length(text) || ')? func_' || doc_id || ' is defined above.'
+   WHEN 'code_debug' THEN text || chr(10) || 'A. en' || chr(10) || 'B. de' || chr(10) || 'C. fr' || chr(10) || 'D. es'
+   WHEN 'math_find' THEN 'What is the ' || lower(source) || ' number in the following list?' || chr(10) || text || chr(10) || 'The ' || upper(source) || ' Number of all'
+   ELSE text || chr(10) || 'Q: ' || source END AS prompt,
+   CASE WHEN task = 'code_debug' THEN lang || ' ' || {LETTER}[list_position(options, lang)] ELSE lang END AS gold FROM d""")
+def _(t):
+    which = F.col("doc_id") % 4
+    task = F.when(which == 0, "code_run").when(which == 1, "code_debug").when(which == 2, "math_find").otherwise("longbook_qa_eng")
+    call = F.concat(F.lit("What is func_"), "doc_id", F.lit("(-"), F.length("text"), F.lit(") and func_1(2)?"))
+    asked = F.when(which == 0, call).when(which == 2, F.concat(F.lit("The "), F.upper("source"), F.lit(" Number of all"))).otherwise(F.col("source"))
+    rows = t.documents.select("doc_id", task.alias("dataset"), F.col("text").alias("content"), asked.alias("input"), F.array("lang").alias("answer"),
+                              F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]).alias("options"))
+    out = P.render_templates(P.derived_fields(rows), BENCH_TEMPLATES)
+    gold = P.gold_answers(F.col("dataset"), F.col("answer"), F.col("options"))
+    return out.select("doc_id", "prompt", F.array_join(gold, " ").alias("gold"))
+
+
 @register("hook_embeddings", r"""WITH t AS (SELECT item_id AS qid, unnest(list_filter(string_split_regex('query: ' || array_to_string(string_split(text, ' ')[1:128], ' '), '\s+'), lambda x: x <> '')) AS w FROM benchmark),
  v AS (SELECT qid, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos, sum(CASE WHEN ('0x' || substr(md5(w), 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END) AS s FROM t GROUP BY ALL),
  n AS (SELECT qid, sqrt(sum(s * s)) AS n FROM v GROUP BY qid), g AS (SELECT item_id AS qid, unnest(range(64)) AS pos FROM benchmark)

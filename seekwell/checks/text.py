@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seekwell.checks import sql as S
 from seekwell.checks.registry import register
 from seekwell.functions import scoring as Q, text as X
+from seekwell.operators.prompts import explode_options, few_counts
 from seekwell.operators.ranking import sort_by_score
 from seekwell.sources.files import LONG_DOC_LANGUAGES, check_languages
 
@@ -155,12 +156,12 @@ def _(t):
 @register("exploded_options", "SELECT doc_id, unnest([lang, source, quality::VARCHAR, toxic::VARCHAR]) AS choice, unnest([0, 1, 2, 3]) AS pos FROM documents JOIN labels USING (doc_id)")
 def _(t):
     d = t.documents.join(t.labels, "doc_id")
-    return d.select("doc_id", F.posexplode(F.array("lang", "source", F.col("quality").cast("string"), F.col("toxic").cast("string"))).alias("pos", "choice"))
+    return explode_options(d.select("doc_id", F.array("lang", "source", F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("options")))
 
 
 @register("few_topic_filter", "SELECT source, count(*) AS n, avg(n_chars) AS mean_chars FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY source")
 def _(t):
-    return t.documents.filter(F.col("source").isin("src0", "src1", "src2")).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean_chars"))
+    return few_counts(t.documents, "source", ["src0", "src1", "src2"]).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean_chars"))
 
 
 @register("sorted_payload", "SELECT conv_id, turn, array_to_string(list_transform(list_sort(list_transform(range(0, len(w)), lambda i: {'s': -length(w[i + 1]), 'i': i, 'x': w[i + 1]})), lambda r: r.x), ' ') AS ordered FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)")

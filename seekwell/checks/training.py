@@ -11,7 +11,7 @@ from seekwell.checks.retrieval import bm25_run, dense_run
 from seekwell.checks.text import turn_pairs, PAIRS_SQL
 from seekwell.functions.text import space_tokens
 from seekwell.operators import context as C, evaluation as E, packing as P, ranking as R, training as H
-from seekwell.scale import stack
+from seekwell.scale import running_total, stack
 
 TRIPLES = S.dense("run", 20) + """,
 j AS (SELECT r.qid, r.docid, r.rank, r.score, a.label = b.label AS rel FROM run r JOIN embeddings a ON a.vec_id = r.qid JOIN embeddings b ON b.vec_id = r.docid),
@@ -198,7 +198,21 @@ def _(t):
 
 @register("stride_batches_relaxed", f"WITH {STRIDES} SELECT doc_id, strides, (g - 1) // 4 AS batch FROM r")
 def _(t):
-    return H.stride_batches(stride_rows(t), "length", "doc_id", 256, 128, 4, "relaxed").drop("length")
+    return H.stride_batches(stride_rows(t), "length", "doc_id", 256, 128, 4, "relaxed").drop("length", "batch_order")
+
+
+@register("stride_batches_ascending", f"WITH {STRIDES}, b AS (SELECT doc_id, strides, (g - 1) // 4 AS batch FROM r), m AS (SELECT *, max(strides) OVER (PARTITION BY batch) AS most FROM b) SELECT doc_id, strides, batch, dense_rank() OVER (ORDER BY most, batch)::BIGINT AS place FROM m")
+def _(t):
+    rows = H.stride_batches(stride_rows(t), "length", "doc_id", 256, 128, 4, "relaxed", sort="ascend").drop("length")
+    order = rows.select("batch_order").distinct()
+    return rows.join(running_total(order, [], "batch_order", F.lit(1).cast("long"), "place"), "batch_order").drop("batch_order")
+
+
+@register("stride_batches_descending", f"WITH {STRIDES}, b AS (SELECT doc_id, strides, (p - 1) // 4 AS batch FROM r WHERE n - (p - 1) // 4 * 4 >= 4) SELECT doc_id, strides, batch, dense_rank() OVER (ORDER BY -strides, batch)::BIGINT AS place FROM b")
+def _(t):
+    rows = H.stride_batches(stride_rows(t), "length", "doc_id", 256, 128, 4, sort="descend").drop("length")
+    order = rows.select("batch_order").distinct()
+    return rows.join(running_total(order, [], "batch_order", F.lit(1).cast("long"), "place"), "batch_order").drop("batch_order")
 
 
 @register("shuffled_thirds", f"""WITH d AS (SELECT doc_id, text, length(text) // 3 + 1 AS z, ('0x' || substr(md5('42|draw|' || doc_id), 1, 8))::BIGINT / 4294967296 AS u FROM documents),
@@ -277,6 +291,17 @@ def _(t):
     return rows.select("qid", F.array_join(F.transform("teacher_scores", lambda s: F.format_string("%.6f", s)), " ").alias("teacher_scores"))
 
 
+@register("collated_losses", f"""WITH {TRIPLES}, h AS (SELECT qid, CASE WHEN qid % 2 = 0 THEN list_reverse(pos || neg) ELSE pos || neg END AS keys FROM trip), u AS (SELECT qid, unnest(keys) AS docid, generate_subscripts(keys, 1) AS place FROM h)
+ SELECT u.qid, string_agg(printf('%.6f', -(j.score + u.place)), ' ' ORDER BY u.place) AS teacher_scores FROM u JOIN j ON j.qid = u.qid AND j.docid = u.docid GROUP BY u.qid""")
+def _(t):
+    """Even samples have their candidates as history, the others as positives and negatives."""
+    d = triples(t).withColumn("history", F.when(F.col("qid") % 2 == 0, F.reverse(F.concat("pos", "neg"))))
+    places = d.select("qid", F.posexplode(F.coalesce("history", F.concat("pos", "neg"))).alias("place", "docid"))
+    losses = places.join(dense_run(t, 20), ["qid", "docid"]).select("qid", "place", (F.col("score") + F.col("place") + 1).alias("loss"))
+    rows = H.collate_losses(d.drop("teacher_scores"), losses)
+    return rows.select("qid", F.array_join(F.transform("teacher_scores", lambda s: F.format_string("%.6f", s)), " ").alias("teacher_scores"))
+
+
 @register("first_rows_per_group", "SELECT lang, doc_id, rank FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 5")
 def _(t):
     return R.first_per_group(t.documents.select("lang", "doc_id"), "lang", "doc_id", 5)

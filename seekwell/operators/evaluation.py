@@ -278,7 +278,7 @@ def rewrite_reward(original: DataFrame, rewritten: DataFrame, queries: DataFrame
     if kind == "absolute":
         low, high = 0.0, 1.0
         gain = lambda r: F.lit(1.0) / F.log(3.0, F.lit(2) + r)
-    elif kind == "relative":
+    elif kind in ("relative", "mixed_relative"):
         low, high = -2.0, 2.0
         gain = lambda r: F.lit(1.0) / F.log10(F.lit(9) + r)
     else:
@@ -296,6 +296,14 @@ def rewrite_reward(original: DataFrame, rewritten: DataFrame, queries: DataFrame
     return rows.select("qid", reward.alias("reward"))
 
 
+def mixed_rewrite_reward(original: DataFrame, rewritten: DataFrame, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, ratio: float, k: int) -> DataFrame:
+    """Relative reward where the rewritten query is searched with ``ratio`` of its own vector and the rest of the original
+    one. ``original`` and ``rewritten`` are ``(qid, embedding)``, ``corpus`` is ``(docid, embedding)``."""
+    from seekwell.operators.dense import dense_search, mix_search
+
+    return rewrite_reward(dense_search(original, corpus, k), mix_search(rewritten, original, corpus, ratio, k), queries, qrels, k, "mixed_relative")
+
+
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """``(value, average rank)``, ties share the mean. Equal values are grouped first, so a
     value that fills most of the table is one row of the running count."""

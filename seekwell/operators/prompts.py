@@ -238,3 +238,51 @@ def choice_gold(answer: Column, options: Column) -> Column:
     """Right option text and its letter."""
     at = F.array_position(options, answer).cast("int")
     return F.when(at > 0, F.array(answer, F.get(F.array(*[F.lit(x) for x in LETTERS]), at - 1)))
+
+
+# A function call in a code question, the number a list question asks for, and tasks with option letters.
+CALL = r"func_[0-9]+\(-?[0-9]+\)"
+ASKED_NUMBER = r"The .+ of"
+OPTION_TASKS = ("code_debug", "longbook_choice_eng")
+
+
+def derived_fields(df: DataFrame) -> DataFrame:
+    """Template fields that follow from ``input``, ``options`` and ``content``: ``question``, ``func`` and ``func_call`` (the
+    first call in the input), ``prefix`` (the question for the number that the input names) and ``OPTION_A`` to ``OPTION_D``.
+    ``context`` falls back to ``content``. A field that does not apply is null."""
+    call = F.regexp_extract("input", f"({CALL})", 1)
+    asked = F.regexp_extract("input", f"({ASKED_NUMBER})", 1)
+    some = lambda value, when: F.when(when != "", value)
+    number = F.lower(F.expr("substring(_asked, 1, length(_asked) - 3)"))
+    out = df.withColumn("_asked", asked)
+    fields = {
+        "question": F.col("input"), "func_call": some(call, call), "func": some(F.split(call, "\\(")[0], call),
+        "prefix": some(F.concat(F.lit("What is "), number, F.lit(" in the following list?")), F.col("_asked")),
+    }
+    if "content" in df.columns:
+        fields["context"] = F.coalesce("context", "content") if "context" in df.columns else F.col("content")
+    options = F.col("options") if "options" in df.columns else F.array().cast("array<string>")
+    fields |= {f"OPTION_{x}": F.get(options, i) for i, x in enumerate(LETTERS[:4])}
+    return out.withColumns(fields).drop("_asked")
+
+
+def gold_answers(task: Column, answer: Column, options: Column) -> Column:
+    """``answer`` (an array) as it is scored. Tasks with option letters need the text and its letter: a single text gets
+    the letter of its place in ``options``, a pair must end in a letter; anything else is null."""
+    letters = F.array(*[F.lit(x) for x in LETTERS[:4]])
+    first, second = F.get(answer, 0), F.get(answer, 1)
+    at = F.array_position(options, first).cast("int")
+    alone = F.when(at > 0, F.array(first, F.get(letters, at - 1)))
+    pair = F.when(F.array_contains(letters, second), answer)
+    return F.when(task.isin(*OPTION_TASKS), F.when(F.size(answer) == 1, alone).when(F.size(answer) == 2, pair)).otherwise(answer)
+
+
+def explode_options(df: DataFrame, options: str = "options", choice: str = "choice") -> DataFrame:
+    """One row per option with its place ``pos``; rows without options go."""
+    others = [c for c in df.columns if c != options]
+    return df.select(*others, F.posexplode(options).alias("pos", choice))
+
+
+def few_counts(df: DataFrame, column: str, allowed: list) -> DataFrame:
+    """Evaluation rows whose number of topics or lines is one of ``allowed``; none allowed keeps all."""
+    return df.filter(F.col(column).isin(list(allowed))) if allowed else df

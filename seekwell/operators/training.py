@@ -215,20 +215,33 @@ def stride_count(length: Column, window: int, stride: int) -> Column:
     return (F.ceil((length - window) / F.lit(stride)) + 1).cast("int")
 
 
-def stride_batches(df: DataFrame, length: str, key: str, window: int, stride: int, size: int, mode: str = "strict", seed: int = 42) -> DataFrame:
+def stride_batches(df: DataFrame, length: str, key: str, window: int, stride: int, size: int, mode: str = "strict", seed: int = 42, sort: str | None = None) -> DataFrame:
     """Batches of rows with the same number of strides. ``relaxed`` lets a batch run over
-    into the next stride count, so only the very last batch can be short."""
+    into the next stride count, so only the very last batch can be short.
+
+    ``batch_order`` orders the batches: shuffled, or with ``sort`` by their (largest) number
+    of strides, ``ascend`` or ``descend``.
+    """
+    if mode not in ("strict", "relaxed"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if sort not in (None, "ascend", "descend"):
+        raise ValueError(f"unknown sort {sort!r}")
     rows = df.withColumn("strides", stride_count(F.col(length), window, stride))
     if mode == "strict":
-        return batches(rows, "strides", key, size, seed)
-    if mode != "relaxed":
-        raise ValueError(f"unknown mode {mode!r}")
-    ranked = hash_rank(rows.withColumn("_h", seeded(seed, key)), ["strides"], "_h", [key], "_pos")
-    counts = rows.groupBy(F.col("strides").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per stride count, bounded by the longest text
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return (ranked.join(before, F.col("strides") == F.col("_s"))
-            .withColumn("batch", F.floor((F.col("_before") + F.col("_pos") - 1) / F.lit(size))).drop("_h", "_pos", "_s", "_n", "_before"))
+        out, most = batches(rows, "strides", key, size, seed).drop("batch_order"), F.col("strides")
+        name = F.concat_ws("|", "strides", "batch")
+    else:
+        ranked = hash_rank(rows.withColumn("_h", seeded(seed, key)), ["strides"], "_h", [key], "_pos")
+        counts = rows.groupBy(F.col("strides").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+        # one row per stride count, bounded by the longest text
+        before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        out = (ranked.join(before, F.col("strides") == F.col("_s"))
+               .withColumn("batch", F.floor((F.col("_before") + F.col("_pos") - 1) / F.lit(size))).drop("_h", "_pos", "_s", "_n", "_before"))
+        most, name = F.max("strides").over(W.partitionBy("batch")), F.col("batch").cast("string")
+    if sort is None:
+        return out.withColumn("batch_order", seeded(seed, name))
+    place = most if sort == "ascend" else F.lit(2**31) - most
+    return out.withColumn("batch_order", F.concat_ws("|", F.lpad(place.cast("string"), 10, "0"), F.lpad(F.col("batch").cast("string"), 19, "0")))
 
 
 def shuffle_text(text: Column, key: Column, ratio: float, seed: int = 42) -> Column:
@@ -273,3 +286,19 @@ def collate_scores(candidates: DataFrame, scores: DataFrame) -> DataFrame:
         "score", F.coalesce("score", F.raise_error(F.lit("candidate without score")).cast("double")))
     lists = rows.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "score"))), lambda x: x["score"]).alias("teacher_scores"))
     return candidates.join(lists, "qid", "left")
+
+
+def collate_losses(samples: DataFrame, losses: DataFrame) -> DataFrame:
+    """``teacher_scores`` of each sample: the negated losses ``(qid, place, loss)`` of its candidates in order.
+
+    The candidates are the ``history`` of a sample if it has one, otherwise ``pos`` and ``neg``; another number of losses
+    is an error.
+    """
+    lists = losses.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "loss"))), lambda x: -x["loss"]).alias("teacher_scores"))
+    size = lambda name: F.coalesce(F.size(name), F.lit(0)) if name in samples.columns else F.lit(0)
+    wanted = size("pos") + size("neg")
+    if "history" in samples.columns:
+        wanted = F.when(F.col("history").isNotNull(), F.size("history")).otherwise(wanted)
+    rows = samples.join(lists, "qid", "left").withColumn("teacher_scores", F.coalesce("teacher_scores", F.array().cast("array<double>")))
+    wrong = F.raise_error(F.concat(F.lit("sample "), F.col("qid").cast("string"), F.lit(": number of losses and candidates differ"))).cast("array<double>")
+    return rows.withColumn("teacher_scores", F.when(F.size("teacher_scores") == wanted, F.col("teacher_scores")).otherwise(wrong))
