@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from seekwell.scale import let
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -55,9 +57,16 @@ def sigmoid(col) -> Column:
 
 
 def colbert_score(query, passage) -> Column:
-    """Mean over query token vectors of the best dot product with a passage token vector."""
-    best = F.transform(_c(query), lambda q: F.array_max(F.transform(_c(passage), lambda p: vec_dot(q, p))))
-    return _sum(best) / F.size(_c(query))
+    """Mean over query token vectors of the best dot product with a passage token vector. Both sides are cast once, before
+    the loop over their pairs."""
+    dot = lambda a, b: _sum(F.zip_with(a, b, lambda x, y: x * y))
+    vectors = lambda c: _c(c).cast("array<array<double>>")
+
+    def score(s):
+        best = F.transform(s["q"], lambda q: F.array_max(F.transform(s["p"], lambda p: dot(q, p))))
+        return _sum(best) / F.size(s["q"])
+
+    return let(F.struct(vectors(query).alias("q"), vectors(passage).alias("p")), score)
 
 
 def sparse_dot(a, b) -> Column:

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from seekwell.functions.text import token_counts, tokens
 from seekwell.functions.vectors import vec_dot
-from seekwell.scale import seeded, top_rows
+from seekwell.scale import MAX_HOT_KEYS, ROWS_PER_SALT, seeded, top_rows
 
 
 def local_bm25(items: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """BM25 inside groups: ``items (grp, item, toks)``, ``queries (grp, q, toks)``.
 
     Keys are (group, token), so a large group is spread over its tokens. Every group has
-    its own document frequencies and size.
+    its own document frequencies and size. A group of more than ``ROWS_PER_SALT`` items is
+    spread over salts as well: its postings by item, its few query weights copied to each.
     """
     postings = items.select("grp", "item", F.size("toks").alias("dl"), F.inline(token_counts(F.col("toks"))))
     df = postings.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("df"))
@@ -22,7 +23,16 @@ def local_bm25(items: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b:
     idf = F.log((F.col("n_items") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weights = q.join(df, ["grp", "token"]).join(size, "grp").select("grp", "q", "token", (F.col("qtf") * idf * F.lit(k1 + 1)).alias("w"))
     part = F.col("w") * F.col("n") / (F.col("n") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl")))
-    scored = postings.join(weights, ["grp", "token"]).groupBy("grp", "q", "item").agg(F.round(F.sum(part), 6).alias("score"))
+    # the list of large groups is short: their items add up to the table, and never more than MAX_HOT_KEYS pass the cut
+    total = size.agg(F.sum("n_items").alias("n")).first()["n"] or 0
+    cut = max(ROWS_PER_SALT, total / MAX_HOT_KEYS)
+    large = size.filter(F.col("n_items") > cut).select("grp", F.ceil(F.col("n_items") / cut).cast("int").alias("_salts"))
+    if total > cut:
+        salts = F.broadcast(large)
+        postings = postings.join(salts, "grp", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("item"), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+        weights = weights.join(salts, "grp", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    keys = ["grp", "token", "_salt"] if total > cut else ["grp", "token"]
+    scored = postings.join(weights, keys).groupBy("grp", "q", "item").agg(F.round(F.sum(part), 6).alias("score"))
     return top_rows(scored.filter(F.col("score") != 0), ["grp", "q"], [F.col("score").desc(), F.col("item")], k)
 
 

@@ -66,13 +66,18 @@ def score_pairs(df: DataFrame, query: str, passage: str, scorer: Callable, norma
     return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-value)) if normalize else value)
 
 
-def generate(df: DataFrame, prompt: str, model: Callable, retries: int = 3, out: str = "answer") -> DataFrame:
+def generate(df: DataFrame, prompt: str, model: Callable, retries: int = 3, out: str = "answer", batch_size: int = 64) -> DataFrame:
     """Add answers from ``model``, a factory that returns ``prompt -> text``. A prompt that
-    still fails after ``retries`` attempts gets an empty answer."""
+    still fails after ``retries`` attempts gets an empty answer.
+
+    A model with a ``batch`` method (a list of prompts to a list of texts) is asked for up to
+    ``batch_size`` prompts at once; a batch that fails is asked prompt by prompt.
+    """
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ask = model()
+        many = getattr(ask, "batch", None)
 
         def attempt(text):
             for _ in range(retries):
@@ -82,8 +87,19 @@ def generate(df: DataFrame, prompt: str, model: Callable, retries: int = 3, out:
                     continue
             return ""
 
+        def answers(texts: list) -> list:
+            try:
+                got = list(many(texts))
+            except Exception:
+                got = []
+            return got if len(got) == len(texts) else [attempt(t) for t in texts]
+
         for batch in batches:
-            yield batch.map(attempt)
+            if many is None:
+                yield batch.map(attempt)
+            else:
+                texts = batch.tolist()
+                yield pd.Series([a for at in range(0, len(texts), batch_size) for a in answers(texts[at:at + batch_size])], dtype=object)
 
     return df.withColumn(out, run(F.col(prompt)))
 
