@@ -4,6 +4,9 @@ The windows of all benchmark items form a hash table that is broadcast when its
 row produces its window hashes in generated code, looks them up without a shuffle, and a hit counts only if the words
 themselves agree. Of a document only the hits and one carrier row leave the task.
 
+A larger table is joined by hash: documents are cut into words once, only (document, place, hash) meet the hashes of the
+table, and the few that agree are verified against the words, so no text is moved for each of its places.
+
 Defined results: null or empty texts have no words and are never contaminated; an item without words has no window;
 null item ids still mark words but are not listed; repeated documents are judged each; empty tables give empty
 results or no hits; other columns are ignored.
@@ -13,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seekwell.llm.common import ascii_lower, by_key, clean_input, cut, same_key, sized_broadcast, with_row_key
+from seekwell.llm.common import BROADCAST_BYTES, ascii_lower, by_key, clean_input, cut, same_key, sized_broadcast, with_row_key
 
 # A word is a run of digits, Latin letters and everything beyond ASCII; A-Z is lowered after splitting.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -39,11 +42,13 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             .withColumn("_hash", F.xxhash64(*[F.get("_window", F.lit(i)) for i in range(window)])))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, hit word positions, item ids, and what follows from them."""
-    table = item_windows(benchmark, window)
-    lengths = sorted(r[0] for r in table.select("_len").distinct().collect())  # at most ``window`` numbers
-    table = sized_broadcast(table, F.octet_length(F.array_join("_window", " ")) + 16 * F.size("_items") + 64)
+    windows = item_windows(benchmark, window)
+    lengths = sorted(r[0] for r in windows.select("_len").distinct().collect())  # at most ``window`` numbers
+    table = sized_broadcast(windows, F.octet_length(F.array_join("_window", " ")) + 16 * F.size("_items") + 64, limit)
+    if table is windows:
+        return _shuffled(docs, cut(windows, "windows"), lengths or [window], limit)
     rows = clean_input(docs).select(F.monotonically_increasing_id().alias("_uid"), "doc_id", words(F.col("text")).alias("_words"))
     # missing words at the end of a text are null and skipped by the hash; the comparison of words rejects such hits
     at = rows.select("_uid", "doc_id", "_words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_words") - 1, F.lit(0)))).alias("_at"))
@@ -59,10 +64,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     each = spans.groupBy("_uid", "doc_id", "n_words").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("_span")))).alias("hit_words"),
         F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("_items"))), lambda i: i.cast("string"))).alias("items"))
+    return _counted(each)
+
+
+def _counted(each: DataFrame) -> DataFrame:
     return each.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"), "hit_words", "items")
 
 
+def _shuffled(docs: DataFrame, table: DataFrame, lengths: list[int], limit: int) -> DataFrame:
+    """The same for a table of windows that is too large for every task."""
+    rows = cut(clean_input(docs).select(F.monotonically_increasing_id().alias("_uid"), "doc_id", words(F.col("text")).alias("_words")), "words")
+    at = rows.filter(F.size("_words") > 0).select("_uid", "_words", F.explode(F.sequence(F.lit(0), F.size("_words") - 1)).alias("_at"))
+    probes = [F.struct(F.lit(n).alias("_len"), window_hash("_words", F.col("_at"), n).alias("_hash")) for n in lengths]
+    probed = at.select("_uid", "_at", F.explode(F.array(*[F.when(F.col("_at") + n <= F.size("_words"), p) for n, p in zip(lengths, probes)])).alias("p")).filter("p IS NOT NULL").select("_uid", "_at", "p.*")
+    # places that agree by hash, written before they fetch the words and meet their items
+    agreed = cut(probed.join(table.select("_len", "_hash").distinct(), ["_len", "_hash"], "left_semi"), "agreed")
+    near = sized_broadcast(agreed.join(table, ["_len", "_hash"]), F.octet_length(F.array_join("_window", " ")) + 16 * F.size("_items") + 64, limit)
+    found = rows.select("_uid", "_words").join(near, "_uid").filter(F.slice("_words", F.col("_at") + 1, F.col("_len")) == F.col("_window"))
+    spans = found.select("_uid", "_items", F.sequence("_at", F.col("_at") + F.col("_len") - 1).alias("_span"))
+    each = spans.groupBy("_uid").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_span")))).alias("hit_words"),
+        F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("_items"))), lambda i: i.cast("string"))).alias("items"))
+    named = rows.select("_uid", "doc_id", F.size("_words").cast("long").alias("n_words")).join(each, "_uid", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return _counted(named.select("doc_id", "n_words", none("hit_words", "int"), none("items", "string")))
+
+
 def without_spans(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """``docs`` whose hit words are cut out of the text; separators stay. ``hits``: rows of :func:`contamination` for
     documents with unique ids."""

@@ -49,6 +49,33 @@ def test_decontamination(spark, con):
     assert decontamination.without_spans(one, decontamination.contamination(one, benchmark(spark))).first()["text"].split() == ["Alpha,", "!", "omega"]
 
 
+def test_decontamination_beyond_the_broadcast(spark, con):
+    """The same rows when the windows are joined by hash, and no exchange carries the words of a text."""
+    out = decontamination.contamination(documents(spark), benchmark(spark), limit=-1)
+    assert rows_of(out) == rows_of(decontamination.contamination(documents(spark), benchmark(spark)))
+    near = decontamination.contamination(documents(spark), benchmark(spark), limit=100)  # table too large, agreed places too
+    assert rows_of(near) == rows_of(out)
+    empty = decontamination.contamination(documents(spark), benchmark(spark).limit(0), limit=-1)
+    assert {r.contaminated for r in empty.collect()} == {False} and empty.count() == len(ROWS)
+    seen = []
+    write = decontamination.cut
+
+    def watched(df, name="cut"):
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    decontamination.cut = watched
+    try:
+        decontamination.contamination(documents(spark), benchmark(spark), limit=-1)
+    finally:
+        decontamination.cut = write
+    plan = dict(seen)["agreed"]
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "_words" not in line
+    assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan or "BroadcastHashJoin" in plan
+
+
 def test_quality_rules(spark, con):
     out = quality_rules.quality_rules(documents(spark))
     assert rows_of(out) == sql_rows(con, quality_rules.sql(), out.columns)
