@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, folder, name):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert {*queries.QUERIES, "pipeline"} <= names and len([n for n in names if re.match(r"op\d+_", n)]) == 10
+    assert {*queries.QUERIES, "pipeline"} <= names and len([n for n in names if re.match(r"op\d+_", n)]) == 13
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
 
 
