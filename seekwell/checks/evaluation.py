@@ -281,8 +281,8 @@ def in_sql(kind: str) -> str:
  g AS (SELECT dataset, CASE WHEN length < 4000 THEN '0-4k' WHEN length < 8000 THEN '4-8k' ELSE '8k+' END AS bucket, round(score, 6) AS score FROM cut1 JOIN s USING (id)),
  d AS (SELECT dataset, count(*) AS n, round(100 * avg(score), 2) AS value FROM g GROUP BY dataset)
  SELECT 'dataset' AS level, dataset AS name, NULL AS bucket, n, value FROM d UNION ALL SELECT 'length', dataset, bucket, count(*), round(100 * avg(score), 2) FROM g GROUP BY dataset, bucket
- UNION ALL SELECT 'category', c.category, NULL, sum(n)::BIGINT, round(avg(value), 2) FROM d JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in E.DATASET_CATEGORY.items())}) c(dataset, category) USING (dataset) GROUP BY c.category
- UNION ALL SELECT 'overall', 'all', NULL, sum(n)::BIGINT, round(avg(value), 2) FROM d""")
+ UNION ALL SELECT 'category', c.category, NULL, sum(n)::BIGINT, ((2 * sum(round(100 * value)::BIGINT)::BIGINT + count(*)) // (2 * count(*))) / 100 FROM d JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in E.DATASET_CATEGORY.items())}) c(dataset, category) USING (dataset) GROUP BY c.category
+ UNION ALL SELECT 'overall', 'all', NULL, sum(n)::BIGINT, ((2 * sum(round(100 * value)::BIGINT)::BIGINT + count(*)) // (2 * count(*))) / 100 FROM d""")
 def _(t):
     p = turn_pairs(t).withColumn("pred", F.concat_ws(" ", "pred", "turn", F.col("conv_id") % 3))
     dataset = F.element_at(F.array(*[F.lit(d) for d in SCORED]), (1 + (F.col("conv_id") * 31 + F.col("turn")) % len(SCORED)).cast("int"))

@@ -241,8 +241,11 @@ def dataset_report(rows: DataFrame) -> DataFrame:
     per = cut(per, "dataset-scores")
     whole = per.filter("_all = 1")
     part = lambda df, level, name: df.select(F.lit(level).alias("level"), name.alias("name"), F.lit(None).cast("string").alias("bucket"), "n", "value")
-    category = whole.groupBy(F.element_at(literal_map(DATASET_CATEGORY), ds).alias("category")).agg(F.sum("n").alias("n"), F.round(F.avg("value"), 2).alias("value"))
-    overall = whole.agg(F.sum("n").alias("n"), F.round(F.avg("value"), 2).alias("value"))
+    # means of hundredths, so that ties are exact
+    cents, count = F.sum(F.round(100 * F.col("value")).cast("long")), F.count(F.lit(1))
+    mean = (F.floor((2 * cents + count) / (2 * count)) / 100).alias("value")
+    category = whole.groupBy(F.element_at(literal_map(DATASET_CATEGORY), ds).alias("category")).agg(F.sum("n").alias("n"), mean)
+    overall = whole.agg(F.sum("n").alias("n"), mean)
     return stack(part(whole, "dataset", ds), per.filter("_all = 0").select(F.lit("length").alias("level"), ds.alias("name"), "bucket", "n", "value"),
                  part(category, "category", F.col("category")), part(overall.filter("n > 0"), "overall", F.lit("all")))
 
