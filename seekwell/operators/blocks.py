@@ -20,9 +20,15 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from seekwell.operators.ranking import top_k
+from seekwell.scale import scratch_path
 
 # Documents of one block.
 BLOCK_DOCS = 256
+# Bytes of one row group of stored blocks. A row is a whole block, and readers hold the rows of a row group at once, so
+# with the usual row groups a task would hold a hundred blocks and more, decoded.
+ROW_GROUP_BYTES = 4 * 1024 * 1024
+# Bytes of the blocks a search makes ready at a time.
+CHUNK_BYTES = 16 * 1024 * 1024
 # Blocks that give the first lower bounds; up to twice as many blocks are searched without a pilot.
 PILOT = 32
 # Scores are rounded to this many digits before they are compared.
@@ -143,6 +149,26 @@ def postings_of(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(rows, f"docid {kind}, token string, tf int, dl int")
 
 
+def write_blocks(blocks: DataFrame, path: str) -> DataFrame:
+    """Store blocks (and columns beside them) in row groups that a task can hold, and read them back."""
+    options = {"parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.size.row.check.min": "2", "parquet.page.size.row.check.max": "16"}
+    blocks.write.mode("overwrite").options(**options).parquet(path)
+    return blocks.sparkSession.read.schema(blocks.schema).parquet(path)
+
+
+def cut_blocks(blocks: DataFrame, name: str = "blocks") -> DataFrame:
+    """:func:`write_blocks` below the shared folder."""
+    return write_blocks(blocks, scratch_path(blocks.sparkSession, name))
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of blocks in slices of about ``size`` bytes, one block at least."""
+    for b in batches:
+        step = max(1, len(b) * (size or CHUNK_BYTES) // max(b.nbytes, 1))
+        for at in range(0, len(b), step):
+            yield b.slice(at, step)
+
+
 def term_counts(blocks: DataFrame) -> DataFrame:
     """``(token, df)``: documents per token."""
     return blocks.select(F.inline(F.arrays_zip("token", "n"))).groupBy("token").agg(F.sum("n").cast("long").alias("df"))
@@ -260,9 +286,7 @@ def _local_tops(blocks: DataFrame, asked: Asked, qid_type, impact: Impact, k: in
         q = shared.value
         vocabulary = pa.array(q.vocabulary, pa.string())
         tops: list = [None] * len(q.qids)
-        for b in batches:
-            if not len(b):
-                continue
+        for b in chunks(batches):
             chunk = Chunk(b, vocabulary, impact)
             names = chunk.ids.to_numpy(zero_copy_only=False)
             for i, (tokens, w) in enumerate(zip(q.tokens, q.weights)):

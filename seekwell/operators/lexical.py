@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seekwell.functions.text import token_counts, tokens
-from seekwell.operators.blocks import blocks_of_postings, blocks_of_texts, corpus_counts, postings_of, search_blocks, term_counts
-from seekwell.scale import BROADCAST_BYTES, BROADCAST_TERM_ROWS, cut
+from seekwell.operators.blocks import blocks_of_postings, blocks_of_texts, corpus_counts, cut_blocks, postings_of, search_blocks, term_counts, write_blocks
+from seekwell.scale import BROADCAST_BYTES, BROADCAST_TERM_ROWS
 
 
 @dataclass
@@ -38,8 +38,7 @@ class LexicalIndex:
 
     def save(self, path: str) -> None:
         """Blocks of postings, and the document frequencies sorted by token, so that a search prunes their row groups."""
-        (self.blocks if self.blocks is not None else _made_blocks(self, None)).write.mode("overwrite").parquet(f"{path}/blocks")
-        saved = self.postings.sparkSession.read.parquet(f"{path}/blocks")
+        saved = write_blocks(self.blocks if self.blocks is not None else _made_blocks(self, None), f"{path}/blocks")
         term_counts(saved).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/terms")
         corpus_counts(saved).write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -103,12 +102,12 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, k: int, k1: float = 0.9
     qid_type = queries.schema["qid"].dataType
     blocks = index.blocks
     if blocks is None and len(parts) > 1:
-        blocks = cut(_made_blocks(index, None), "blocks")
+        blocks = cut_blocks(_made_blocks(index, None))
     runs = []
     for part in parts:
         asked = part.toPandas()
         vocabulary = sorted(set(asked["token"]))
-        mine = blocks if blocks is not None else cut(_made_blocks(index, vocabulary), "blocks")
+        mine = blocks if blocks is not None else cut_blocks(_made_blocks(index, vocabulary))
         stats = _stats(index, mine)
         known = index.terms if index.terms is not None else term_counts(mine)
         names = mine.sparkSession.createDataFrame([(t,) for t in vocabulary], "token string")
@@ -167,7 +166,7 @@ def impact_topic(vector: Column) -> Column:
 
 def impact_index(d_weights: DataFrame) -> LexicalIndex:
     """An index of ``(docid, token, w)`` rows, brought together by document once."""
-    blocks = cut(blocks_of_postings(d_weights.select("docid", "token", F.col("w").alias("weight"), F.lit(1).alias("dl"))), "impacts")
+    blocks = cut_blocks(blocks_of_postings(d_weights.select("docid", "token", F.col("w").alias("weight"), F.lit(1).alias("dl"))), "impacts")
     return LexicalIndex.of_blocks(blocks)
 
 

@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seekwell.operators.blocks import blocks_of_texts, corpus_counts, rebuilt, term_counts
+from seekwell.operators.blocks import blocks_of_texts, corpus_counts, rebuilt, term_counts, write_blocks
 from seekwell.operators.lexical import LexicalIndex
 from seekwell.scale import BROADCAST_BYTES
 
@@ -85,8 +85,7 @@ class GrowingIndex:
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={batch_id}")
 
     def _write(self, blocks: DataFrame, name: str, level: int, first: int, last: int) -> Part:
-        blocks.withColumn("block", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{self.path}/parts/{name}")
-        saved = self._read(f"parts/{name}")
+        saved = write_blocks(blocks.withColumn("block", F.monotonically_increasing_id()), f"{self.path}/parts/{name}")
         saved.select("block", F.posexplode("docid").alias("place", "docid")).select("docid", "block", "place").write.mode("overwrite").parquet(f"{self.path}/places/{name}")
         term_counts(saved).write.mode("overwrite").parquet(f"{self.path}/terms/{name}")
         return Part(name, level, first, last, **corpus_counts(saved).first().asDict())

@@ -141,3 +141,29 @@ def test_empty_sides(spark):
     assert L.bm25_search(L.build_index(docs.limit(0)), q, 5).count() == 0
     assert L.bm25_search(L.build_index(docs), q.limit(0), 5).count() == 0
     assert B.Asked.of(pd.DataFrame({"qid": [], "token": [], "w": []})).qids == []
+
+
+def test_stored_blocks_lie_in_small_row_groups(spark, tmp_path, monkeypatch):
+    """A reader holds a row group at once, and a row is a whole block; before, a file was one row group."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(3000).select(F.col("id").alias("docid"), F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(str(i)))) for i in range(12)], F.lit("shared")).alias("text")).coalesce(1)
+    monkeypatch.setattr(B, "ROW_GROUP_BYTES", 100_000)
+    monkeypatch.setattr(B.blocks_of_texts, "__defaults__", (None, None, 32))
+    monkeypatch.setattr(B, "CHUNK_BYTES", 50_000)
+    L.build_index(docs).save(str(tmp_path / "i"))
+    groups = [pq.ParquetFile(f).metadata.row_group(g).num_rows for f in glob.glob(str(tmp_path / "i/blocks/*.parquet")) for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert sum(groups) >= 94 and max(groups) <= 20
+    topics = spark.createDataFrame([(1, "shared"), (2, "nothing")], "qid long, query string")
+    saved = L.bm25_search(L.LexicalIndex.load(spark, str(tmp_path / "i")), topics, 5).collect()
+    assert sorted((r["rank"], r.docid) for r in saved) == [(i + 1, i) for i in range(5)]
+
+
+def test_batches_of_blocks_are_searched_in_slices():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([[i] * 100 for i in range(50)])], ["doc"])
+    parts = list(B.chunks(iter([batch, batch.slice(0, 0)]), batch.nbytes // 10))
+    assert len(parts) >= 10 and max(map(len, parts)) <= 5 and pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
