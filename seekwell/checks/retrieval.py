@@ -150,7 +150,7 @@ def _(t):
 @register("dense_search_blocked", f"WITH {S.dense('dense', 10)} SELECT * FROM dense")
 def _(t):
     q, c = t.vec_queries, t.vec_corpus
-    return R.top_k(D._grid(q, c, D.BROADCAST_BYTES // 3, 10, "ip", True), "qid", "score", 10)
+    return R.top_k(D._grid(q, c, max(3 * D.QUERY_BYTES, D._held(q, 10)), 10, "ip", True), "qid", "score", 10)
 
 
 @register("dense_search_approximate")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -10,10 +13,14 @@ from seekwell.functions.vectors import mix, vec_cos, vec_dot, vec_l2
 from seekwell.operators.ranking import top_k
 from seekwell.scale import BROADCAST_BYTES, scratch_path
 
-# Vectors scored against one query block at a time inside a task.
-BLOCK_ROWS = 50_000
+# Corpus vectors of one block of the grid.
+BLOCK_ROWS = 100_000
 # Cells of one score block, which bounds the memory of a task.
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 2_000_000
+# Bytes of the queries a task holds, with their vectors and running best.
+QUERY_BYTES = 32 * 1024 * 1024
+# Scores are compared after rounding to this many digits; nothing further below the border can round up to it.
+DIGITS, _MARGIN = 6, 2e-6
 
 
 def _matrix(column) -> np.ndarray:
@@ -28,52 +35,99 @@ def _prepare(m: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
-    """Larger is better; L2 is negated."""
+    """Larger is better; L2 is negated. Not rounded."""
     if metric == "l2":
         sq = (q * q).sum(1)[:, None] + (d * d).sum(1)[None, :] - 2 * q @ d.T
-        return -np.round(np.sqrt(np.maximum(sq, 0)), 6)
-    return np.round(q @ d.T, 6)
-
-
-def _local_top(qids, q, ids, d, k, metric, skip_self) -> pd.DataFrame:
-    """Best ``k`` of one block per query, ties by id."""
-    out_q, out_d, out_s = [], [], []
-    order = np.argsort(ids, kind="stable")
-    ids, d = ids[order], d[order]
-    step = max(1, BLOCK_CELLS // max(len(ids), 1))
-    for at in range(0, len(qids), step):
-        scores = _scores(q[at:at + step], d, metric)
-        if skip_self:
-            scores = np.where(qids[at:at + step, None] == ids[None, :], -np.inf, scores)
-        row, column = _top_cells(scores, k)
-        out_q.append(qids[at:at + step][row]); out_d.append(ids[column]); out_s.append(scores[row, column])
-    if not out_q:
-        return pd.DataFrame({"qid": qids[:0], "docid": ids[:0], "score": np.zeros(0)})
-    return pd.DataFrame({"qid": np.concatenate(out_q), "docid": np.concatenate(out_d), "score": np.concatenate(out_s)})
-
-
-def _top_cells(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the best ``k`` finite cells of each row, best first, equal cells by column. A partial sort finds the
-    border of each row; only the cells at or above it are sorted."""
+        return -np.sqrt(np.maximum(sq, 0))
+    return q @ d.T
+
+
+def _borders(scores: np.ndarray, k: int) -> np.ndarray:
+    """A lower bound of the ``k``-th best cell of each row: the ``k``-th best of the largest cells of many runs of columns."""
     width = scores.shape[1]
-    if width > k:
-        border = np.partition(scores, width - k, axis=1)[:, width - k]
-        row, column = np.nonzero((scores >= border[:, None]) & np.isfinite(scores))
-    else:
-        row, column = np.nonzero(np.isfinite(scores))
-    order = np.lexsort((column, -scores[row, column], row))
-    row, column = row[order], column[order]
-    starts = np.searchsorted(row, np.arange(len(scores)))
-    keep = np.arange(len(row)) - starts[row] < k
-    return row[keep], column[keep]
-
-
-def _best_of(tops: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    """Best ``k`` per query of several local tops, ties by id."""
-    if len(tops) == 1:
-        return tops[0]  # one block is its own top k
-    rows = pd.concat(tops, ignore_index=True).sort_values(["qid", "score", "docid"], ascending=[True, False, True])
-    return rows[rows.groupby("qid").cumcount() < k]
+    if width <= k:
+        return np.full(len(scores), -np.inf)
+    runs = width // max(1, width // (8 * k))
+    cells = scores[:, :width // runs * runs].reshape(len(scores), runs, -1)
+    most = cells.max(axis=2)
+    if not (most < np.inf).all():  # cells that are no numbers count for nothing
+        most = np.where(np.isfinite(cells), cells, -np.inf).max(axis=2)
+    return np.partition(most, runs - k, axis=1)[:, runs - k]
+
+
+class Tops:
+    """Running best ``k`` of each query, equal scores by id, in arrays of a fixed size: the ``n`` best found so far lie
+    first, best first."""
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, metric: str, skip_self: bool):
+        self.qids, self.q, self.k, self.metric, self.skip_self = qids, q, k, metric, skip_self
+        self.ids, self.best, self.n = None, np.full((len(qids), k), -np.inf), np.zeros(len(qids), np.int64)
+
+    def add(self, ids: np.ndarray, d: np.ndarray, mine: np.ndarray | None = None) -> None:
+        """Take in vectors ``d`` for all queries, or for those at the places ``mine``."""
+        places = np.arange(len(self.qids)) if mine is None else mine
+        if not len(ids) or not len(places):
+            return
+        if self.ids is None:
+            self.ids = np.zeros((len(self.qids), self.k), ids.dtype if ids.dtype.kind in "iuf" else object)
+        order = np.argsort(ids, kind="stable")
+        ids, d = ids[order], d[order]
+        own = self._own(ids) if self.skip_self else None
+        for left in range(0, len(ids), BLOCK_CELLS):  # one row of cells at least is held
+            part, vectors = ids[left:left + BLOCK_CELLS], d[left:left + BLOCK_CELLS]
+            step = max(1, BLOCK_CELLS // len(part))
+            for at in range(0, len(places), step):
+                self._add(places[at:at + step], part, vectors, left, own)
+
+    def _own(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """For each query the range of places that have its id."""
+        if (ids.dtype == object) != (self.qids.dtype == object):
+            return None  # ids of other types are never equal
+        return np.searchsorted(ids, self.qids, "left"), np.searchsorted(ids, self.qids, "right")
+
+    def _add(self, at: np.ndarray, ids: np.ndarray, d: np.ndarray, left: int, own) -> None:
+        scores = _scores(self.q[at], d, self.metric)
+        if own is not None:
+            low, high = (np.clip(x[at] - left, 0, len(ids)) for x in own)
+            for row in np.flatnonzero(high > low):
+                scores[row, low[row]:high[row]] = -np.inf
+        known = self.best[at, self.k - 1]  # -inf until k are known
+        border = known if np.isfinite(known).all() else np.maximum(known, _borders(scores, self.k))
+        row, column = np.divmod(np.flatnonzero(scores >= (border - _MARGIN - 1e-15 * np.abs(border))[:, None]), scores.shape[1])
+        value = np.round(scores[row, column], DIGITS)
+        use = np.isfinite(value)
+        row, column, value = row[use], column[use], value[use]
+        if not len(row):
+            return
+        # the best so far of the rows that have something new, and the new cells, as one list to be ranked
+        hit = np.unique(row)
+        n = self.n[at[hit]]
+        old_row, old_place = np.repeat(hit, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        every_id = np.concatenate([self.ids[at[old_row], old_place], ids[column]])
+        every, rows = np.concatenate([self.best[at[old_row], old_place], value]), np.concatenate([old_row, row])
+        by_id = np.argsort(every_id, kind="stable")
+        order = by_id[np.lexsort((-every[by_id], rows[by_id]))]
+        rows = rows[order]
+        starts = np.searchsorted(rows, np.arange(len(at)))
+        place = np.arange(len(rows)) - starts[rows]
+        keep = place < self.k
+        rows, place, order = rows[keep], place[keep], order[keep]
+        self.ids[at[rows], place], self.best[at[rows], place] = every_id[order], every[order]
+        self.n[at[hit]] = np.bincount(rows, minlength=len(at))[hit]
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        """(qid, docid, score) of all queries, a bounded number of rows at a time."""
+        step = max(1, BLOCK_CELLS // 8 // self.k)
+        for at in range(0, len(self.qids) if self.ids is not None else 0, step):
+            n = self.n[at:at + step]
+            row, place = np.repeat(np.arange(at, at + len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pd.DataFrame({"qid": self.qids[row], "docid": self.ids[row, place], "score": self.best[row, place]})
+
+
+def query_bytes(dims, k: int):
+    """Bytes a task holds for one query of ``dims`` cells (a number or a Column): its vector and its best ``k``, which are
+    written out once."""
+    return dims * 8 + 48 * k + 64
 
 
 def _run_schema(q: DataFrame, c: DataFrame) -> str:
@@ -84,49 +138,52 @@ def _run_schema(q: DataFrame, c: DataFrame) -> str:
 def dense_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", skip_self: bool = False) -> DataFrame:
     """Exact top ``k`` by inner product, cosine or (ascending) L2.
 
-    ``queries`` is ``(qid, embedding)``, ``corpus`` is ``(docid, embedding)``. Queries whose matrix stays below the broadcast bound travel to every task, and
-    the corpus is scanned in place without a shuffle. More queries are cut into blocks and
-    paired with corpus blocks. Both ways each task returns only its own top ``k``.
+    ``queries`` is ``(qid, embedding)``, ``corpus`` is ``(docid, embedding)``. Queries that stay below a bound, with
+    their best ``k``, travel to every task, and the corpus is scanned in place without a shuffle. More queries are cut into
+    blocks and paired with corpus blocks. Both ways a task holds a running top ``k`` in arrays of a fixed size.
     """
     q = queries.select("qid", "embedding")
     c = corpus.select("docid", "embedding")
-    size = q.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("cells")).first()["cells"]
-    best = _scan(q, c, k, metric, skip_self) if size * 8 <= BROADCAST_BYTES else _grid(q, c, size, k, metric, skip_self)
+    size = _held(q, k)
+    best = _scan(q, c, k, metric, skip_self) if size <= min(QUERY_BYTES, BROADCAST_BYTES) else _grid(q, c, size, k, metric, skip_self)
     run = top_k(best, "qid", "score", k)
     return run.withColumn("score", -F.col("score")) if metric == "l2" else run
 
 
+def _held(q: DataFrame, k: int) -> int:
+    return q.agg(F.coalesce(F.sum(query_bytes(F.greatest(F.coalesce(F.size("embedding"), F.lit(0)), F.lit(0)).cast("long"), k)), F.lit(0)).alias("bytes")).first()["bytes"]
+
+
 def _scan(q: DataFrame, c: DataFrame, k: int, metric: str, skip_self: bool) -> DataFrame:
     local = q.toPandas().sort_values("qid")
     shared = q.sparkSession.sparkContext.broadcast(
         (local["qid"].to_numpy(), _prepare(_matrix(local["embedding"]), metric)))
 
     def search(batches):
-        qids, qm = shared.value
-        held = []
+        tops = Tops(*shared.value, k, metric, skip_self)
         for pdf in batches:
-            if len(pdf) and len(qids):
-                held.append(_local_top(qids, qm, pdf["docid"].to_numpy(), _prepare(_matrix(pdf["embedding"]), metric), k, metric, skip_self))
-                if sum(map(len, held)) > 4 * k * len(qids):
-                    held = [_best_of(held, k)]
-        if held:
-            yield _best_of(held, k)
+            tops.add(pdf["docid"].to_numpy(), _prepare(_matrix(pdf["embedding"]), metric))
+        yield from tops.frames()
 
     return c.mapInPandas(search, _run_schema(q, c))
 
 
-def _grid(q: DataFrame, c: DataFrame, cells: int, k: int, metric: str, skip_self: bool) -> DataFrame:
-    """Hash blocks of queries against hash blocks of the corpus, one task group per pair."""
-    q_blocks = int(np.ceil(cells * 8 / BROADCAST_BYTES))
-    c_blocks = max(1, int(np.ceil(c.count() / BLOCK_ROWS)))
+def _grid(q: DataFrame, c: DataFrame, size: int, k: int, metric: str, skip_self: bool) -> DataFrame:
+    """Hash blocks of queries, which hold ``size`` bytes in all, against hash blocks of the corpus, one task group per pair.
+    There are enough pairs for all cores."""
+    q_blocks = max(1, math.ceil(size / min(QUERY_BYTES, BROADCAST_BYTES)))
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    c_blocks = max(1, math.ceil(c.count() / BLOCK_ROWS), math.ceil(2 * cores / q_blocks))
     left = q.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).alias("qb"),
                     F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
     right = c.select("docid", "embedding", F.pmod(F.xxhash64("docid"), F.lit(c_blocks)).cast("int").alias("cb"),
                      F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"))
 
     def pair(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        return _local_top(lp["qid"].to_numpy(), _prepare(_matrix(lp["embedding"]), metric),
-                          rp["docid"].to_numpy(), _prepare(_matrix(rp["embedding"]), metric), k, metric, skip_self)
+        tops = Tops(lp["qid"].to_numpy(), _prepare(_matrix(lp["embedding"]), metric), k, metric, skip_self)
+        tops.add(rp["docid"].to_numpy(), _prepare(_matrix(rp["embedding"]), metric))
+        found = list(tops.frames())
+        return pd.concat(found) if found else pd.DataFrame({"qid": lp["qid"][:0], "docid": rp["docid"][:0], "score": np.zeros(0)})
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(pair, _run_schema(q, c))
 

@@ -2,7 +2,8 @@
 
 A folder holds the centroids with the number of lists to probe (one small file), the vectors partitioned by their nearest centroid below a delta, and the
 ids each delta replaced. A search assigns every query to its nearest lists, reads only the partitions of probed lists
-(partition pruning, no vector is shuffled) and keeps one running top k per task. New vectors join as a further delta
+(partition pruning, no vector is shuffled) and keeps one running top k per task. More queries than a task may hold are
+cut into blocks that meet blocks of lists. New vectors join as a further delta
 without a new fit; a vector that is added again replaces its earlier version.
 """
 
@@ -12,7 +13,6 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from seekwell.operators.dense import _best_of, _local_top, _matrix, _prepare, _run_schema, dense_search
+from seekwell.operators.dense import BLOCK_CELLS, BLOCK_ROWS, QUERY_BYTES, Tops, _held, _matrix, _prepare, _run_schema, dense_search
 from seekwell.operators.ranking import top_k
 from seekwell.scale import BROADCAST_BYTES
 
@@ -44,11 +44,17 @@ def nearest_lists(centroids: np.ndarray, metric: str):
         if not len(vectors) or not c.shape[1]:
             return pd.Series([[0]] * len(vectors), dtype=object)
         m = _prepare(_matrix(vectors), metric)
-        far = (c * c).sum(1)[None, :] - 2 * m @ c.T
-        n = min(int(count.iloc[0]), len(c))
-        part = np.argpartition(far, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(len(c)), (len(m), 1))
-        order = np.take_along_axis(part, np.argsort(np.take_along_axis(far, part, 1), axis=1, kind="stable"), 1)
-        return pd.Series(order.astype(np.int32).tolist())
+        n, out = min(int(count.iloc[0]), len(c)), []
+        step = max(1, BLOCK_CELLS // 4 // len(c))  # the more lists, the fewer vectors at a time
+        for at in range(0, len(m), step):
+            far = (c * c).sum(1)[None, :] - 2 * m[at:at + step] @ c.T
+            if n == 1:
+                out += far.argmin(axis=1)[:, None].astype(np.int32).tolist()
+                continue
+            part = np.argpartition(far, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(len(c)), (len(far), 1))
+            order = np.take_along_axis(part, np.argsort(np.take_along_axis(far, part, 1), axis=1, kind="stable"), 1)
+            out += order.astype(np.int32).tolist()
+        return pd.Series(out)
 
     return nearest
 
@@ -116,9 +122,9 @@ class VectorLists:
 
     def _write(self, points: DataFrame, delta: int, mode: str) -> None:
         placed = points.withColumn("list", nearest_lists(self.centroids, self.metric)("embedding", F.lit(1))[0])
-        # a list that holds most vectors is written by many tasks, as its rows are dealt by id too
-        salted = placed.repartition("list", F.pmod(F.xxhash64("docid"), F.lit(8)))
-        salted.write.mode("overwrite").partitionBy("list").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.path}/lists/delta={delta}")
+        # one file for each list, as a search opens them all; a list that holds most vectors is split over many tasks
+        dealt = placed.hint("rebalance", "list")
+        dealt.write.mode("overwrite").partitionBy("list").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.path}/lists/delta={delta}")
         row = [(delta, points.schema.json())]
         self.spark.createDataFrame(row, "delta int, kinds string").coalesce(1).write.mode(mode).parquet(f"{self.path}/deltas")
 
@@ -145,38 +151,91 @@ class VectorLists:
         """Top ``k`` of ``(qid, embedding)`` among the vectors of each query's ``n_probe`` nearest lists; unless
         given, the number that the build measured."""
         n_probe = min(n_probe or self.n_probe, len(self.centroids))
+        every = n_probe == len(self.centroids)
         q = queries.select("qid", "embedding")
-        size = q.agg(F.coalesce(F.sum(F.size("embedding") * 8 + 4 * n_probe), F.lit(0)).alias("bytes")).first()["bytes"]
-        n = max(1, math.ceil(size / BROADCAST_BYTES))
-        parts = [q] if n == 1 else [q.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
-        runs = [self._scan(part.withColumn("lists", nearest_lists(self.centroids, self.metric)("embedding", F.lit(n_probe))), k, skip_self) for part in parts]
-        return top_k(reduce(DataFrame.unionAll, runs), "qid", "score", k)
-
-    def _scan(self, part: DataFrame, k: int, skip_self: bool) -> DataFrame:
-        """Each task's best ``k`` per query; ``part`` is small enough for every task."""
-        local = part.toPandas()
+        size = _held(q, k) + (0 if every else 16 * n_probe * q.count())
+        asked = q if every else q.withColumn("lists", nearest_lists(self.centroids, self.metric)("embedding", F.lit(n_probe)))
+        best = self._scan(asked, k, skip_self) if size <= min(QUERY_BYTES, BROADCAST_BYTES) else self._grid(asked, size, k, skip_self)
+        return top_k(best, "qid", "score", k)
+
+    def _scan(self, asked: DataFrame, k: int, skip_self: bool) -> DataFrame:
+        """Each task's best ``k`` per query; ``asked`` is small enough for every task."""
+        local = asked.toPandas()
         if len(local):
             local = local.sort_values("qid")
-        asked: dict[int, list[int]] = {}
-        for at, lists in enumerate(local["lists"]):
-            for x in lists:
-                asked.setdefault(int(x), []).append(at)
+        wanted = _by_list(local)
         metric = self.metric
-        shared = self.spark.sparkContext.broadcast((local["qid"].to_numpy(), _prepare(_matrix(local["embedding"]), metric), {x: np.array(a) for x, a in asked.items()}))
+        shared = self.spark.sparkContext.broadcast((local["qid"].to_numpy(), _prepare(_matrix(local["embedding"]), metric), wanted))
         stored = self.vectors()
-        probed = stored.filter(F.col("list").isin(sorted(asked))) if len(asked) < len(self.centroids) else stored
+        probed = stored if wanted is None or len(wanted) == len(self.centroids) else stored.filter(F.col("list").isin(sorted(wanted)))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qids, m, wanted = shared.value
-            held: list[pd.DataFrame] = []
+            qids, m, by_list = shared.value
+            tops = Tops(qids, m, k, metric, skip_self)
             for pdf in batches:
-                for x, rows in pdf.groupby("list", sort=False):
-                    mine = wanted.get(int(x))
-                    if mine is not None:
-                        held.append(_local_top(qids[mine], m[mine], rows["docid"].to_numpy(), _prepare(_matrix(rows["embedding"]), metric), k, metric, skip_self))
-                if sum(map(len, held)) > max(4 * k * len(qids), 100_000):
-                    held = [_best_of(held, k)]
-            if held:
-                yield _best_of(held, k)
-
-        return probed.select("docid", "embedding", "list").mapInPandas(scan, _run_schema(part, stored))
+                _add_lists(tops, pdf, by_list)
+            yield from tops.frames()
+
+        return probed.select("docid", "embedding", "list").mapInPandas(scan, _run_schema(asked, stored))
+
+    def _grid(self, asked: DataFrame, size: int, k: int, skip_self: bool) -> DataFrame:
+        """Hash blocks of queries, which hold ``size`` bytes in all, against blocks of lists, one task group per pair. A query
+        goes only to blocks that hold a list it asked for; a list of more than ``BLOCK_ROWS`` vectors is several blocks."""
+        stored = self.vectors()
+        limit = min(QUERY_BYTES, BROADCAST_BYTES)
+        q_blocks = max(1, math.ceil(size / limit))
+        counts = {r["list"]: r["count"] for r in stored.groupBy("list").count().collect()}  # one row per list
+        least = math.ceil(2 * self.spark.sparkContext.defaultParallelism / q_blocks)
+        rows = max(1, min(BLOCK_ROWS, math.ceil(sum(counts.values()) / least)))
+        first, parts, n_blocks, held = np.zeros(len(self.centroids), np.int32), np.ones(len(self.centroids), np.int32), 1, 0
+        for x in range(len(self.centroids)):
+            n = counts.get(x, 0)
+            if held and held + n > rows:
+                n_blocks, held = n_blocks + 1, 0
+            first[x], parts[x] = n_blocks - 1, max(1, math.ceil(n / rows))
+            n_blocks, held = n_blocks + int(parts[x]) - 1, rows if parts[x] > 1 else held + n
+
+        @F.pandas_udf("array<int>")
+        def blocks_of(lists: pd.Series) -> pd.Series:
+            return pd.Series([sorted({b for x in row for b in range(first[x], first[x] + parts[x])}) for row in lists], dtype=object)
+
+        @F.pandas_udf("int")
+        def block_of(lists: pd.Series, salt: pd.Series) -> pd.Series:
+            at = lists.to_numpy()
+            return pd.Series(first[at] + salt.to_numpy() % parts[at])
+
+        targets = blocks_of("lists") if "lists" in asked.columns else F.sequence(F.lit(0), F.lit(n_blocks - 1))
+        left = asked.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks))).withColumn("cb", F.explode(targets))
+        right = stored.select("docid", "embedding", "list", block_of("list", F.pmod(F.xxhash64("docid"), F.lit(1 << 30))).alias("cb"),
+                              F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"))
+        metric = self.metric
+
+        def pair(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+            tops = Tops(lp["qid"].to_numpy(), _prepare(_matrix(lp["embedding"]), metric), k, metric, skip_self)
+            if len(lp) and len(rp):
+                _add_lists(tops, rp, _by_list(lp))
+            found = list(tops.frames())
+            return pd.concat(found) if found else pd.DataFrame({"qid": lp["qid"][:0], "docid": rp["docid"][:0], "score": np.zeros(0)})
+
+        return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(pair, _run_schema(asked, stored))
+
+
+def _by_list(queries: pd.DataFrame) -> dict[int, np.ndarray] | None:
+    """The places of the queries that asked for each list; None if all asked for all."""
+    if "lists" not in queries.columns:
+        return None
+    asked = np.array(queries["lists"].tolist(), dtype=np.int32)
+    if not asked.size:
+        return {}
+    flat = asked.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    names, starts = np.unique(flat[order], return_index=True)
+    return {int(x): places for x, places in zip(names, np.split((order // asked.shape[1]).astype(np.int32), starts[1:]))}
+
+
+def _add_lists(tops: Tops, rows: pd.DataFrame, by_list: dict[int, np.ndarray] | None) -> None:
+    """Take in the vectors of each list for the queries that asked for it."""
+    for x, mine in rows.groupby("list", sort=False):
+        places = None if by_list is None else by_list.get(int(x))
+        if by_list is None or places is not None:
+            tops.add(mine["docid"].to_numpy(), _prepare(_matrix(mine["embedding"]), tops.metric), places)
