@@ -406,7 +406,7 @@ for _kind in ("relative", "absolute"):
  SELECT vec_id AS qid, CASE WHEN n.n IS NULL THEN 0 ELSE least(greatest(round((coalesce(hb.r / n.n, 1 / log10(24)) - coalesce(ha.o / n.n, 1 / log10(24))) * 10, 3), -2), 2) END AS reward FROM v LEFT JOIN n ON n.qid = vec_id LEFT JOIN ha ON ha.qid = vec_id LEFT JOIN hb ON hb.qid = vec_id""")
 def _(t):
     side = t.embeddings.select("vec_id", "label")
-    rel = side.withColumnRenamed("vec_id", "qid").join(side.filter("vec_id % 7 = 0").withColumnRenamed("vec_id", "docid"), "label").select("qid", "docid")
+    rel = E.ClassLabels(side.withColumnRenamed("vec_id", "qid"), side.filter("vec_id % 7 = 0").withColumnRenamed("vec_id", "docid"))
     rewritten = t.vec_queries.select("qid", F.reverse("embedding").alias("embedding"))
     return E.mixed_rewrite_reward(t.vec_queries, rewritten, t.vec_corpus, t.vec_queries.select("qid", F.lit("q").alias("query")), rel, 0.6, 10)
 

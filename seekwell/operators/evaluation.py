@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -272,11 +273,35 @@ def topic_accuracy(df: DataFrame) -> DataFrame:
                                  F.round(F.avg(f1_answer("prediction", "target")), 4).alias("f1"))
 
 
-def rewrite_reward(original: DataFrame, rewritten: DataFrame, queries: DataFrame, qrels: DataFrame, k: int, kind: str = "relative") -> DataFrame:
+@dataclass(frozen=True)
+class ClassLabels:
+    """Labels given by classes: a document is relevant to every query it shares a class with. ``queries`` is
+    ``(qid, label)``, ``docs`` is ``(docid, label)``; a null class is shared with nothing. The pairs are never made, as a
+    class of a tenth of both sides has a hundredth of all pairs."""
+
+    queries: DataFrame
+    docs: DataFrame
+
+    def totals(self) -> DataFrame:
+        """``(qid, n_rel)`` of the queries with a relevant document. Queries with the same classes, nearly always one, are
+        counted together."""
+        q = self.queries.filter("label is not null").groupBy("qid").agg(F.sort_array(F.collect_set("label")).alias("_set"))
+        sets = q.select("_set").distinct().select("_set", F.explode("_set").alias("label"))
+        n = self.docs.select("docid", "label").distinct().join(sets, "label").filter("docid is not null").select("_set", "docid").distinct()
+        return q.join(n.groupBy("_set").agg(F.count(F.lit(1)).alias("n_rel")), "_set").select("qid", "n_rel")
+
+    def hits(self, run: DataFrame) -> DataFrame:
+        """The rows of ``run`` whose document is relevant."""
+        pairs = run.select("qid", "docid").distinct().join(self.queries.select("qid", "label").distinct(), "qid")
+        pairs = pairs.join(self.docs.select("docid", "label").distinct(), ["docid", "label"]).select("qid", "docid")
+        return run.join(pairs, ["qid", "docid"], "left_semi")
+
+
+def rewrite_reward(original: DataFrame, rewritten: DataFrame, queries: DataFrame, qrels: DataFrame | ClassLabels, k: int, kind: str = "relative") -> DataFrame:
     """Reward of a rewritten query from the ranking gain over the original.
 
-    ``queries`` is ``(qid, query)``. An empty query gets the lower clip, a query without
-    labels zero.
+    ``queries`` is ``(qid, query)``, ``qrels`` is ``(qid, docid)`` or classes. An empty query gets the lower clip, a query
+    without labels zero.
     """
     if kind == "absolute":
         low, high = 0.0, 1.0
@@ -287,9 +312,12 @@ def rewrite_reward(original: DataFrame, rewritten: DataFrame, queries: DataFrame
     else:
         raise ValueError(f"unknown reward {kind!r}")
     base = gain(F.lit(int(1.5 * k)))
-    labels = qrels.select("qid", "docid").distinct()
-    totals = labels.groupBy("qid").agg(F.count(F.lit(1)).alias("n_rel"))
-    hits = lambda run, out: run.join(labels, ["qid", "docid"], "left_semi").groupBy("qid").agg(F.sum(gain(F.col("rank"))).alias(out))
+    if isinstance(qrels, ClassLabels):
+        totals, relevant = qrels.totals(), qrels.hits
+    else:
+        labels = qrels.select("qid", "docid").distinct()
+        totals, relevant = labels.groupBy("qid").agg(F.count(F.lit(1)).alias("n_rel")), lambda run: run.join(labels, ["qid", "docid"], "left_semi")
+    hits = lambda run, out: relevant(run).groupBy("qid").agg(F.sum(gain(F.col("rank"))).alias(out))
     rows = (queries.join(totals, "qid", "left").join(hits(original, "o"), "qid", "left").join(hits(rewritten, "r"), "qid", "left"))
     o = F.coalesce(F.col("o") / F.col("n_rel"), base)
     r = F.coalesce(F.col("r") / F.col("n_rel"), base)
@@ -299,7 +327,7 @@ def rewrite_reward(original: DataFrame, rewritten: DataFrame, queries: DataFrame
     return rows.select("qid", reward.alias("reward"))
 
 
-def mixed_rewrite_reward(original: DataFrame, rewritten: DataFrame, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, ratio: float, k: int) -> DataFrame:
+def mixed_rewrite_reward(original: DataFrame, rewritten: DataFrame, corpus: DataFrame, queries: DataFrame, qrels: DataFrame | ClassLabels, ratio: float, k: int) -> DataFrame:
     """Relative reward where the rewritten query is searched with ``ratio`` of its own vector and the rest of the original
     one. ``original`` and ``rewritten`` are ``(qid, embedding)``, ``corpus`` is ``(docid, embedding)``."""
     from seekwell.operators.dense import dense_search, mix_search

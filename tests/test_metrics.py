@@ -176,3 +176,16 @@ def test_answer_normalisers(spark):
     assert value(spark, X.normalize_answer(L("The  Cat, and an Apple!"))) == "cat and apple"
     assert value(spark, X.normalize_answer_zh(L("保险，A b！"))) == "保险ab"
     assert value(spark, X.contains_chinese(L("abc保")))
+
+
+def test_reward_by_classes_equals_pairs(spark):
+    """Classes stand for all their pairs, repeated ids and several classes included; before, the pairs had to be made."""
+    q = spark.createDataFrame([(0, "a"), (0, "b"), (1, "a"), (2, None), (3, "c"), (3, "c")], "qid long, label string")
+    d = spark.createDataFrame([(5, "a"), (5, "b"), (5, "a"), (6, "a"), (7, None), (8, "b")], "docid long, label string")
+    pairs = q.join(d, "label").select("qid", "docid")
+    asked = q.select("qid", F.lit("x").alias("query")).distinct()
+    run = lambda data: spark.createDataFrame(data, "qid long, docid long, rank int")
+    one = run([(0, 5, 1), (0, 9, 2), (1, 6, 3), (1, 6, 1), (2, 7, 1), (3, 5, 1)])
+    two = run([(0, 8, 1), (0, 5, 2), (1, 5, 1), (1, 9, 2), (3, 6, 1)])
+    got, want = [sorted(tuple(r) for r in E.rewrite_reward(one, two, asked, rel, 10).collect()) for rel in (E.ClassLabels(q, d), pairs)]
+    assert got == want and len(got) == 4
