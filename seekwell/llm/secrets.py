@@ -4,12 +4,13 @@ Three base patterns find certain credentials. Their values are the labelled exam
 most ``EXAMPLES`` distinct values (those with the smallest hashes over all documents) are parted by the classes of
 characters they have, and a prefix tree of each part is folded into a
 probabilistic automaton by merging states whose symbol and ending frequencies are statistically compatible. One more
-automaton, the null model, is inferred from ordinary words. Every
+automaton, the null model, is inferred from all ordinary words: states of their prefix tree merge when their last
+``CONTEXT`` characters agree, so that its counts are one aggregate over the words. Every
 other run of at least ``SHORTEST`` credential characters in every document is then a candidate, dots inside included
 and dots around it not, scored by its likelihood per character under each automaton against even odds. It is added when
 it fits a format as well as all but a hundredth of the examples do, cut to its length; a run without digits has to fit
-better, too, than all but a thousandth of the ordinary words (letter runs that occur in two documents or more; at most
-``WORDS`` of them, with the smallest hashes), no run may fit the null model as well as its format, and one without letters better than as many random numbers. If a dotted
+better, too, than all but a thousandth of the ordinary words (letter runs that occur in two documents or more, all of
+them, in a histogram of their scores in steps of ``STEP``), no run may fit the null model as well as its format, and one without letters better than as many random numbers. If a dotted
 run is not added as a whole, its parts between the dots are judged.
 
 One pass over the texts writes the base spans and the candidates (slim rows); the other steps read only those.
@@ -30,7 +31,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from seekwell.llm.common import by_key, clean_input, cut, same_key, sized_broadcast, with_row_key
@@ -43,10 +43,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{6,}[A-Za-z0-9+/_=-]")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 HEX_ONLY, LOWER, UPPER, OTHER = re.compile(r"[0-9a-f]+|[0-9A-F]+"), re.compile(r"[a-z]"), re.compile(r"[A-Z]"), re.compile(r"[^A-Za-z0-9]")
-DIGIT, LETTER, WORD = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), re.compile(r"[A-Za-z][a-z]+")
+DIGIT, LETTER, WORD = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), r"^[A-Za-z][a-z]+$"
 
 EXAMPLES, LONGEST_EXAMPLE, ALPHA, LIKE_EXAMPLES = 400, 256, 0.05, 0.01
-SHORTEST, WORDS, HELD_WORDS, LIKE_WORDS, LEAST_SHAPE = 8, 4000, 20_000, 0.001, 10
+SHORTEST, NUMBERS, LIKE_WORDS, LEAST_SHAPE = 8, 4000, 0.001, 10
+CONTEXT, STEP = 2, 0.001
 PIECE_ROWS = 250
 # An unseen value of a format scores below the examples, which the automaton knows by heart.
 SLACK = 0.6
@@ -89,6 +90,22 @@ class Automaton:
         self._merge()
         self._compact()
 
+    @classmethod
+    def of_contexts(cls, counts: list[tuple[str, str, int]]) -> "Automaton":
+        """From (last characters, next character or empty at the end, times) of all examples."""
+        made = cls([])
+        number = {"": 0} | {c: i for i, c in enumerate(sorted({c for c, _, _ in counts if c}), 1)}
+        n = len(number)
+        made.passed, made.ended, made.seen, made.to = [0] * n, [0] * n, [{} for _ in range(n)], [{} for _ in range(n)]
+        for context, c, times in counts:
+            at = number[context]
+            made.passed[at] += times
+            if c:
+                made.seen[at][c], made.to[at][c] = times, number[(context + c)[-CONTEXT:]]
+            else:
+                made.ended[at] += times
+        return made
+
     def _differ(self, f: int, n: int, g: int, m: int) -> bool:
         return bool(n and m) and abs(f / n - g / m) > self.margin * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
@@ -188,7 +205,7 @@ class Format:
 def numbers() -> list[str]:
     """Random numbers of 8 to 16 digits."""
     rnd = random.Random(0)
-    return ["".join(rnd.choice("0123456789") for _ in range(SHORTEST + i % 9)) for i in range(WORDS)]
+    return ["".join(rnd.choice("0123456789") for _ in range(SHORTEST + i % 9)) for i in range(NUMBERS)]
 
 
 def shape(value: str) -> tuple[bool, ...]:
@@ -207,10 +224,9 @@ def by_format(texts: list[str]) -> list[list[str]]:
     return large + [rest] * bool(rest)
 
 
-def learn(examples: dict[int, list[str]], words: list[str]) -> list[Format]:
-    """One format for each shape of the values of each kind; the order is fixed."""
+def learn(examples: dict[int, list[str]]) -> list[tuple[Automaton, list[float]]]:
+    """An automaton and its least scores for each shape of the values of each kind; the order is fixed."""
     out = []
-    null = Automaton(sorted(words))
     for _, every in sorted(examples.items()):
         for texts in by_format(every):
             automaton = Automaton(sorted(texts))
@@ -219,34 +235,57 @@ def learn(examples: dict[int, list[str]], words: list[str]) -> list[Format]:
             for length in range(1, max(map(len, runs)) + 1):
                 reached = sorted(r[min(length, len(r)) - 1] for r in runs)
                 least.append(max(0.0, SLACK * reached[int(LIKE_EXAMPLES * len(reached))]))
-            below = []
-            for ordinary in (words, numbers()):
-                reached = sorted(map(automaton.score, ordinary))
-                below.append(reached[int((1 - LIKE_WORDS) * len(reached))] if reached else -math.inf)
-            out.append(Format(automaton, least, *below, null))
+            out.append((automaton, least))
     return out
 
 
-def ordinary_words(slim: DataFrame) -> list[str]:
-    """At most ``WORDS`` candidates of letters alone that two documents have, with the smallest hashes."""
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[str, tuple[int, int]] = {}
-        border = 1 << 64
+def ordinary_words(slim: DataFrame) -> DataFrame:
+    """(word): all candidates of letters alone that two documents have."""
+    words = F.array_distinct(F.transform(F.filter("candidates", lambda c: c["value"].rlike(WORD)), lambda c: c["value"]))
+    return cut(slim.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("word"), "words")
+
+
+def null_model(words: DataFrame) -> Automaton:
+    """The automaton of all ordinary words; its counts are bounded by the alphabet."""
+    places = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word") + 1)).alias("at"))
+    before = F.expr(f"substring(word, greatest(at - {CONTEXT}, 1), least(at - 1, {CONTEXT}))")
+    counts = places.groupBy(before.alias("context"), F.expr("substring(word, at, 1)").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    return Automaton.of_contexts(sorted((r["context"], r["c"], r["n"]) for r in counts.collect()))
+
+
+def borders(words: DataFrame, automata: list[Automaton]) -> list[float]:
+    """The score under each automaton that all but ``LIKE_WORDS`` of the ordinary words stay below or reach, rounded up to
+    whole steps."""
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple[int, int], int] = {}
         for b in batches:
-            for row in b["candidates"]:
-                for word in {x["value"] for x in row}:
-                    if word in found:
-                        found[word] = (found[word][0], found[word][1] + 1)
-                    elif WORD.fullmatch(word) and (h := xxhash.xxh64_intdigest(word.encode())) < border:
-                        found[word] = (h, 1)
-                if len(found) > 4 * HELD_WORDS:  # smaller hashes are counted in full wherever they occur
-                    found = dict(sorted(found.items(), key=lambda x: x[1][0])[:HELD_WORDS])
-                    border = max(h for h, _ in found.values()) + 1
-        words = sorted(found.items(), key=lambda x: x[1][0])[:HELD_WORDS]
-        yield pd.DataFrame([(w, f"{h:016x}", n) for w, (h, n) in words], columns=["word", "hash", "n"])
-
-    counted = slim.select("candidates").mapInPandas(kept, "word string, hash string, n long").groupBy("word", "hash").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.filter("n > 1").orderBy("hash").limit(WORDS).collect()]
+            for word in b["word"]:
+                for i, a in enumerate(automata):
+                    key = (i, math.ceil(a.score(word) / STEP))
+                    found[key] = found.get(key, 0) + 1
+        yield pd.DataFrame([(i, at, n) for (i, at), n in found.items()], columns=["i", "at", "n"])
+
+    out = [-math.inf] * len(automata)
+    rows = words.mapInPandas(counted, "i int, at long, n long").groupBy("i", "at").agg(F.sum("n").alias("n")).collect()  # scores lie between -10 and 5
+    for i in {r["i"] for r in rows}:
+        steps = sorted((r["at"], r["n"]) for r in rows if r["i"] == i)
+        left = int((1 - LIKE_WORDS) * sum(n for _, n in steps))
+        for at, n in steps:
+            left -= n
+            if left < 0:
+                out[i] = at * STEP
+                break
+    return out
+
+
+def formats_of(examples: dict[int, list[str]], slim: DataFrame) -> list[Format]:
+    """What the values of the base patterns look like, beside the ordinary words of all documents."""
+    learned = learn(examples)
+    if not learned:
+        return []
+    words, random_ = ordinary_words(slim), numbers()
+    null, below = null_model(words), borders(words, [a for a, _ in learned])
+    return [Format(a, least, border, sorted(map(a.score, random_))[int((1 - LIKE_WORDS) * len(random_))], null) for (a, least), border in zip(learned, below)]
 
 
 def pieces(batches: Iterator[pd.DataFrame], rows: int = PIECE_ROWS) -> Iterator[pd.DataFrame]:
@@ -282,7 +321,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     for k in range(3):  # at most EXAMPLES short strings of each kind reach the driver
         picked = values.filter(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(EXAMPLES)
         examples[k] = [r["value"] for r in picked.collect()]
-    formats = learn(examples, ordinary_words(slim) if any(examples.values()) else [])
+    formats = formats_of(examples, slim)
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

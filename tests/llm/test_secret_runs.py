@@ -54,3 +54,21 @@ def test_words_are_not_secrets_beside_random_passwords(spark):
     got = {r.doc_id: r.spans for r in secrets.digest(secrets.find_secrets(documents(spark, rows))).collect()}
     assert not [i for i in range(400) if got[i]] and not [i for i in range(1000, 1120) if "format" in got[i]]
     assert sum(got[d] == f"format:5:{5 + len(k)}" for d, k in keys) >= 80
+
+
+def test_all_ordinary_words_count(spark):
+    """More words than any fixed number: each counts in the null model and for the border; before, 4,000 of them did."""
+    rnd = random.Random(11)
+    words = sorted({"".join(rnd.choice("aeinorst") for _ in range(rnd.randint(8, 12))) for _ in range(6000)})
+    slim = spark.createDataFrame([([(0, 1, w) for w in words[at:at + 100]] + [(0, 1, f"once{'x' * (at // 100 + 4)}")],) for at in range(0, len(words), 100)] * 2 + [([(0, 1, "onlyhere"), (0, 1, "onlyhere")],)],
+                                 "candidates array<struct<start:int,end:int,value:string>>").repartition(5)
+    found = secrets.ordinary_words(slim)
+    got = sorted(r.word for r in found.collect() if not r.word.startswith("once"))
+    assert got == words and len(words) > 5000
+    null = secrets.null_model(found)
+    assert null.passed[0] == sum(null.seen[0].values()) == found.count() == sum(null.ended)
+    automaton = secrets.Automaton(sorted("".join(rnd.choice("abcdefnrst") for _ in range(16)) for _ in range(50)))
+    reached = sorted(automaton.score(r.word) for r in found.collect())
+    exact = reached[int((1 - secrets.LIKE_WORDS) * len(reached))]
+    assert exact <= secrets.borders(found, [automaton])[0] < exact + secrets.STEP + 1e-9
+    assert secrets.borders(found.limit(0), [automaton]) == [float("-inf")]
