@@ -30,7 +30,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seekwell.llm.common import by_key, clean_input, cut, same_key, sized_broadcast, with_row_key
@@ -48,7 +50,8 @@ DIGIT, LETTER, WORD = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), r"^[A-Za-z]
 EXAMPLES, LONGEST_EXAMPLE, ALPHA, LIKE_EXAMPLES = 400, 256, 0.05, 0.01
 SHORTEST, NUMBERS, LIKE_WORDS, LEAST_SHAPE = 8, 4000, 0.001, 10
 CONTEXT, STEP = 2, 0.001
-PIECE_ROWS = 250
+# Characters of the texts, or candidates, that are turned into Python objects at once.
+PIECE_CHARS, PIECE_CANDIDATES = 1_000_000, 50_000
 # An unseen value of a format scores below the examples, which the automaton knows by heart.
 SLACK = 0.6
 
@@ -288,11 +291,16 @@ def formats_of(examples: dict[int, list[str]], slim: DataFrame) -> list[Format]:
     return [Format(a, least, border, sorted(map(a.score, random_))[int((1 - LIKE_WORDS) * len(random_))], null) for (a, least), border in zip(learned, below)]
 
 
-def pieces(batches: Iterator[pd.DataFrame], rows: int = PIECE_ROWS) -> Iterator[pd.DataFrame]:
-    """A few rows at a time: the candidates of a text are many times as many objects as the text."""
-    for b in batches:
-        for at in range(0, len(b), rows):
-            yield b.iloc[at:at + rows]
+def pieces(sizes, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold ``most`` in all, or a single row."""
+    at, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > at and total + size > most:
+            yield at, i
+            at, total = i, 0
+        total += size
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 def scan_base(docs: DataFrame) -> DataFrame:
@@ -300,19 +308,48 @@ def scan_base(docs: DataFrame) -> DataFrame:
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in pieces(batches):
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                text = text or ""
-                base = base_matches(text)
-                rows.append((doc_id, [(k, s, e) for k, s, e, _ in base], [(k, v) for k, _, _, v in base if len(v) <= LONGEST_EXAMPLE], candidates(text, base)))
-            yield pd.DataFrame(rows, columns=["doc_id", "base", "values", "candidates"])
+        for b in batches:
+            # the candidates of a text are many times as many objects as the text
+            for at, end in pieces([len(text or "") for text in b["text"]], PIECE_CHARS):
+                rows = []
+                for doc_id, text in zip(b["doc_id"].iloc[at:end], b["text"].iloc[at:end]):
+                    text = text or ""
+                    base = base_matches(text)
+                    rows.append((doc_id, [(k, s, e) for k, s, e, _ in base], [(k, v) for k, _, _, v in base if len(v) <= LONGEST_EXAMPLE], candidates(text, base)))
+                yield pd.DataFrame(rows, columns=["doc_id", "base", "values", "candidates"])
 
     schema = (f"doc_id {kind}, base array<struct<kind:int,start:int,end:int>>, values array<struct<kind:int,value:string>>, "
               "candidates array<struct<start:int,end:int,value:string>>")
     return clean_input(docs).mapInPandas(scanned, schema)
 
 
+def judged(batches: Iterator[pa.RecordBatch], formats: list[Format]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, spans) from (doc_id, base, candidates). Candidates stay in Arrow: the different ones of a piece are judged
+    once, and only those that fit are looked up in the rows."""
+    fits = lru_cache(20_000)(lambda value: any(f.fits(value) for f in formats))
+
+    def fitting(value: str) -> list[tuple[int, int]]:
+        if fits(value):
+            return [(0, len(value))]
+        parts = re.finditer(r"[^.]+", value) if "." in value else []
+        return [m.span() for m in parts if m.end() - m.start() >= SHORTEST and fits(m.group())]
+
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        ids, bases, runs = (batch.column(name) for name in ("doc_id", "base", "candidates"))
+        edges = runs.offsets.to_numpy()
+        for at, end in pieces(np.diff(edges), PIECE_CANDIDATES):
+            spans = [[(x["kind"], x["start"], x["end"]) for x in base] for base in bases.slice(at, end - at).to_pylist()]
+            found = runs.values.slice(edges[at], edges[end] - edges[at])
+            values = found.field("value").dictionary_encode()
+            inside = {i: f for i, value in enumerate(values.dictionary.to_pylist()) if (f := fitting(value))}
+            hits = np.flatnonzero(np.isin(values.indices.to_numpy(), list(inside)))
+            rows = np.searchsorted(edges[at:end + 1] - edges[at], hits, "right") - 1
+            for row, start, value in zip(rows, found.field("start").to_numpy()[hits].tolist(), values.indices.to_numpy()[hits].tolist()):
+                spans[row] += [(3, start + s, start + e) for s, e in inside[value]]
+            yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array([sorted(x, key=lambda x: (x[1], x[0])) for x in spans], kind)], ["doc_id", "spans"])
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id and all spans (kind, start, end) by start and kind."""
     slim = cut(scan_base(docs), "secrets")
@@ -323,25 +360,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         examples[k] = [r["value"] for r in picked.collect()]
     formats = formats_of(examples, slim)
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-
-    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fits = lru_cache(20_000)(lambda value: any(f.fits(value) for f in formats))
-
-        def fitting(start: int, end: int, value: str) -> list[tuple[int, int, int]]:
-            if fits(value):
-                return [(3, start, end)]
-            parts = re.finditer(r"[^.]+", value) if "." in value else []
-            return [(3, start + m.start(), start + m.end()) for m in parts if m.end() - m.start() >= SHORTEST and fits(m.group())]
-
-        for b in pieces(batches):
-            spans = []
-            for base, more in zip(b["base"], b["candidates"]):
-                all_ = [(x["kind"], x["start"], x["end"]) for x in base]
-                all_ += [span for x in more for span in fitting(x["start"], x["end"], x["value"])]
-                spans.append(sorted(all_, key=lambda x: (x[1], x[0])))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "spans": spans})
-
-    return slim.select("doc_id", "base", "candidates").mapInPandas(judged, f"doc_id {kind}, spans array<struct<kind:int,start:int,end:int>>")
+    return slim.select("doc_id", "base", "candidates").mapInArrow(lambda batches: judged(batches, formats), f"doc_id {kind}, spans array<struct<kind:int,start:int,end:int>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 """Bare secrets of every length and shape that fit a learned format."""
 
 import random
+import tracemalloc
+
+import pyarrow as pa
 
 from seekwell.llm import secrets
 
@@ -72,3 +75,58 @@ def test_all_ordinary_words_count(spark):
     exact = reached[int((1 - secrets.LIKE_WORDS) * len(reached))]
     assert exact <= secrets.borders(found, [automaton])[0] < exact + secrets.STEP + 1e-9
     assert secrets.borders(found.limit(0), [automaton]) == [float("-inf")]
+
+
+SLIM = pa.schema([("doc_id", pa.struct([("_k1", pa.int64()), ("_k2", pa.int64())])),
+                  ("base", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))),
+                  ("candidates", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])))])
+
+
+class Long:
+    """A format that every value of 12 or more letters fits."""
+
+    def fits(self, value):
+        return len(value) >= 12
+
+
+def test_candidates_stay_in_arrow():
+    """Before, all candidates of a batch became Python objects at once, whatever their number."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("aeinorst") for _ in range(rnd.randint(8, 11))) for _ in range(300)]
+    rows = []
+    for i in range(600):
+        base = [(0, 5, 30)] if i % 3 else []
+        runs = [(40 + 20 * k, 40 + 20 * k + len(w), w) for k, w in enumerate(rnd.choices(words, k=500))]
+        if i % 50 == 7:
+            runs[3] = (100, 112, "longerword12")
+            runs[9] = (220, 248, "a.thirteenchars.fourteenchars")
+            runs += [(0, 3, "ab."), (1, 15, "fourteenchars.")]
+        rows.append({"doc_id": {"_k1": i, "_k2": -i}, "base": base, "candidates": runs if i % 100 else []})
+    table = pa.Table.from_pylist(rows, SLIM)
+    batch = table.combine_chunks().to_batches()[0].slice(5)  # a batch need not start at the first row of its buffers
+    del rows
+    tracemalloc.start()
+    out = [b for b in secrets.judged(iter([batch, batch.slice(0, 0)]), [Long()])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000, peak
+    got = {r["doc_id"]["_k1"]: [tuple(s.values()) for s in r["spans"]] for b in out for r in b.to_pylist()}
+    assert sorted(got) == list(range(5, 600))
+    for i, spans in got.items():
+        want = [(0, 5, 30)] if i % 3 else []
+        if i % 50 == 7:
+            want += [(3, 100, 112), (3, 220, 249), (3, 1, 15)]
+        assert spans == sorted(want, key=lambda x: (x[1], x[0])), i
+
+
+def test_pieces_are_bounded_by_their_text(monkeypatch):
+    assert list(secrets.pieces([], 10)) == []
+    assert list(secrets.pieces([4, 4, 4, 30, 0, 1], 10)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(secrets.pieces([0, 0, 0], 10)) == [(0, 3)]
+
+
+def test_no_format_and_odd_rows(spark):
+    """Null texts and ids, repeated rows and texts without any run keep their rows."""
+    rows = [(None, "password = abcdefgh12"), (1, None), (1, None), (2, ""), (2, "no runs")]
+    got = secrets.digest(secrets.find_secrets(documents(spark, rows))).collect()
+    assert sorted((str(r.doc_id), r.spans) for r in got) == [("1", ""), ("1", ""), ("2", ""), ("2", ""), ("None", "assign:0:21")]
