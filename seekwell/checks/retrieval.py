@@ -10,7 +10,7 @@ from seekwell.functions import vectors as V
 from seekwell.functions.text import simple_tokens, space_tokens
 from seekwell.operators import dense as D, fusion as X, lexical as L, ranking as R
 from seekwell.operators.vector_lists import VectorLists
-from seekwell.scale import scratch_path, stack
+from seekwell.scale import cut, scratch_path, stack
 
 APP_BM25 = dict(k1=0.82, b=0.68, length_norm=True)
 
@@ -215,6 +215,11 @@ def two_runs(t):
     return dense_run(t, 20), other
 
 
+def saved_runs(t):
+    """The two runs, searched and written once for queries that read a run more than once."""
+    return tuple(cut(run, "runs") for run in two_runs(t))
+
+
 @register("hybrid_search", f"""WITH {NEIGHBOUR_SQL},
  p AS (SELECT coalesce(d.qid, s.qid) AS qid, coalesce(d.docid, s.docid) AS docid, d.score AS d, s.score AS s FROM dense d FULL JOIN other s ON d.qid = s.qid AND d.docid = s.docid),
  f AS (SELECT qid, docid, round(0.3e0 * coalesce(s, min(s) OVER (PARTITION BY qid), 0) + coalesce(d, min(d) OVER (PARTITION BY qid), 0), 8) AS score FROM p) """
@@ -252,8 +257,8 @@ def slices(col):
     return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(col, i * 16 + 1, F.lit(16)))
 
 
-def multi_scores(t):
-    d, s = two_runs(t)
+def multi_scores(t, runs=None):
+    d, s = runs or two_runs(t)
     pairs = stack(d, s).select("qid", "docid").distinct()
     a = t.embeddings.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("a"))
     b = t.embeddings.select(F.col("vec_id").alias("docid"), F.col("embedding").alias("b"))
@@ -270,8 +275,8 @@ def _(t):
  u AS (SELECT qid, docid, 0.3e0 * score / 0.3e0 AS part FROM other UNION ALL SELECT qid, docid, 0.2e0 * score FROM dense UNION ALL SELECT qid, docid, 0.4e0 * score FROM multi),
  f AS (SELECT qid, docid, round(sum(part), 6) AS score FROM u GROUP BY qid, docid) """ + S.ranked("f", 1000))
 def _(t):
-    d, s = two_runs(t)
-    return X.fuse_runs({"sparse": (s, 0.3, 0.3), "dense": (d, 0.2, 1), "multi": (multi_scores(t), 0.4, 1)})
+    d, s = saved_runs(t)
+    return X.fuse_runs({"sparse": (s, 0.3, 0.3), "dense": (d, 0.2, 1), "multi": (multi_scores(t, (d, s)), 0.4, 1)})
 
 
 @register("multi_mode_scores", f"""WITH {THREE_SQL},
@@ -295,7 +300,8 @@ def _(t):
 
 @register("rerank_by_mode", f"WITH {THREE_SQL}, j AS (SELECT d.qid, d.docid, m.score FROM dense d JOIN multi m USING (qid, docid)) " + S.ranked("j"))
 def _(t):
-    return X.rerank(dense_run(t, 20), multi_scores(t), "score", 20)
+    d, s = saved_runs(t)
+    return X.rerank(d, multi_scores(t, (d, s)), "score", 20)
 
 
 @register("dense_rerank", f"""WITH {NEIGHBOUR_SQL}, j AS (SELECT o.qid, o.docid, round(list_dot_product(a.e, b.e), 3) AS score
